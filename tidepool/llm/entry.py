@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, embdup, licenses, packing, quality, secrets, simhash, topk
+from tidepool.llm import bpe, embdup, licenses, packing, quality, secrets, simhash, topk, toxicity
 from tidepool.llm.common import table
 
 
@@ -36,6 +36,16 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), *toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -51,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_license_scan, op4_quality, op6_top_k, op8_byte_bpe, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_license_scan, op4_quality, op6_top_k, op7_toxicity, op8_byte_bpe, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
