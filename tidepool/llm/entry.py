@@ -1,13 +1,14 @@
 """Queries of the numbered operators, and the SQL that states what they return."""
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, embdup, licenses, packing, quality, secrets, simhash, topk, toxicity
-from tidepool.llm.common import table
+from tidepool.llm import bpe, compaction, embdup, licenses, packing, quality, secrets, simhash, topk, toxicity
+from tidepool.llm.common import shared_dir, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,18 +32,28 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("h")
 
 
+def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive by language, are merged, and come back from the newest version."""
+    store = compaction.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"), arrival="lang")
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("text_length"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
-    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
-    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple:
+    """Learned from docs and those of their labels that are not held out."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(table(spark, sf_dir, "documents"), *toxicity_model(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, *toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -61,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_license_scan, op4_quality, op6_top_k, op7_toxicity, op8_byte_bpe, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_license_scan, op4_quality, op5_compaction, op6_top_k, op7_toxicity, op8_byte_bpe, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

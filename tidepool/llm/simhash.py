@@ -37,15 +37,20 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def row_key() -> F.Column:
+    """Tells documents with other ids or texts apart, together with doc_id."""
+    return F.xxhash64("doc_id", "text")
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, h, fp long) of every row; h is its row_key."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t or "", words) for t in b.column(1).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or "", words) for t in b.column(2).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", row_key().alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 class BKTree:
@@ -123,16 +128,30 @@ def link(distinct: DataFrame, radius: int = 3, shard: int = 1000) -> DataFrame:
     return rows.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shard: int = 1000) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable by links."""
+def _grouped(docs: DataFrame, words: int, radius: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, fp), the root of each fingerprint (fp, root), the first row of each root (root, first)."""
     prints = save(fingerprints(docs, words), "fingerprints")
-    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
+    distinct = save(prints.groupBy("fp").agg(first), "distinct")
     roots = components(link(distinct, radius, shard))
     rooted = save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
-    smallest = save(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    named = save(rooted.join(smallest, "root").select("fp", "component_id"), "named")
+    return prints, rooted.select("fp", "root"), save(rooted.groupBy("root").agg(F.min("first").alias("first")), "smallest")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shard: int = 1000) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable by links."""
+    prints, rooted, smallest = _grouped(docs, words, radius, shard)
+    named = save(rooted.join(smallest, "root").select("fp", F.col("first.doc_id").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3, shard: int = 1000) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id; all columns."""
+    kept = _grouped(docs, words, radius, shard)[2].select("first.*").select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"))
+    rows = docs.withColumn("_row_key", row_key())
+    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_key") == F.col("_kept_h")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_row_key"]).select(*docs.columns)
+
+
 def hex16(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
