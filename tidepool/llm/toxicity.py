@@ -155,7 +155,7 @@ def scorer(chosen: np.ndarray, weights: np.ndarray):
     def score(text: str | None) -> float:
         found = {k for w in words_of(text) for k in hits(w)}
         z = float(weights[sorted(found)].sum() + weights[-1])
-        return 1 / (1 + float(np.exp(-np.clip(z, -700, 700))))
+        return float(np.exp(-np.logaddexp(0.0, -z)))
 
     return score
 
