@@ -1,8 +1,8 @@
 """Secrets in memories: detection of 21 kinds, overlap resolution, redaction, findings.
 
-A pattern is written as prefix, secret, suffix; its spans come from the matches and the gaps between them, inside the JVM.
-A cheap test for a kind's marker comes first, so clean texts run no pattern. Only texts with a key block, or with several
-candidates, pass through Arrow. Offsets are code points, ends exclusive.
+A test for the kinds' markers comes first, inside the JVM, so clean texts run no pattern; the others pass through Arrow in
+batches. A pattern is written as prefix, secret, suffix. Offsets are code points, ends exclusive. Redaction, previews and
+findings are column expressions again.
 """
 
 import bisect
@@ -58,37 +58,6 @@ def _flags(prefix: str) -> tuple[str, str]:
     return ("(?i)", prefix[4:]) if prefix.startswith("(?i)") else ("", prefix)
 
 
-def _env_ok(prefix: Column, value: Column) -> Column:
-    colon = F.rtrim(F.regexp_replace(prefix, "[\"']$", "")).endswith(":")
-    return prefix.rlike(ENV_NAME) & F.when(colon, (F.length(value) >= 12) & value.rlike("[0-9]|[^A-Za-z0-9]")).otherwise(F.length(value) >= 8)
-
-
-def _jwt_ok(value: Column) -> Column:
-    head = F.substring_index(value, ".", 1)
-    padded = F.rpad(F.translate(head, "-_", "+/"), (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
-    keys = F.json_object_keys(F.try_to_binary(padded, F.lit("base64")).cast("string"))
-    return F.coalesce(F.array_contains(keys, "alg"), F.lit(False))
-
-
-def _spans(text: Column, low: Column, kind: str, rank: int, markers: tuple[str, ...], prefix: str, secret: str, suffix: str) -> Column:
-    flags, prefix = _flags(prefix)
-    pattern = f"{flags}({prefix})({secret})({suffix})"
-    each = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(each(0))).alias("gap"), each(0).alias("all"), each(1).alias("before"), each(2).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.length(x["gap"]) + F.length(x["before"])
-        span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), first.alias("start"), (first + F.length(x["value"])).alias("end"))
-        ok = _env_ok(x["before"], x["value"]) if kind == "env-secret" else _jwt_ok(x["value"]) if kind == "jwt" else F.lit(True)
-        return F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["all"])).alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    marked = low.contains(markers[0])
-    for m in markers[1:]:
-        marked = marked | low.contains(m)
-    return F.when(marked, F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
 def key_blocks(text: str) -> list[dict]:
     """Spans of private keys and PuTTY files, in linear time: BEGIN to the next END of its label, else to the next blank line."""
     out = []
@@ -120,30 +89,60 @@ def disjoint(spans: list[dict]) -> list[dict]:
     return taken
 
 
-@F.pandas_udf(SPANS)
-def _key_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else key_blocks(t))
+def spans(text: str) -> list[dict]:
+    """The disjoint spans of one text, in order; every pattern and every step is linear in the text."""
+    found = key_blocks(text) if re.search(r"private key|putty-user-key-file-", text, re.I) else []
+    low = text.lower()
+    for kind, rank, markers, prefix, secret, suffix in PATTERNS:
+        if any(m in low for m in markers):
+            flags, prefix = _flags(prefix)
+            for m in re.finditer(f"{flags}({prefix})({secret})({suffix})", text):
+                if kind == "env-secret":
+                    if not re.search(ENV_NAME, m[1]):
+                        continue
+                    colon = re.sub("[\"']$", "", m[1]).rstrip(" ").endswith(":")
+                    if len(m[2]) < (12 if colon else 8) or colon and not re.search("[0-9]|[^A-Za-z0-9]", m[2]):
+                        continue
+                if kind == "jwt" and not _has_alg(m[2]):
+                    continue
+                found.append({"kind": kind, "rank": rank, "start": m.start(2), "end": m.end(2)})
+    return disjoint(found)
+
+
+def _has_alg(token: str) -> bool:
+    import base64
+
+    head = token.split(".")[0]
+    try:
+        return "alg" in dict(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))))
+    except (ValueError, TypeError):
+        return False
 
 
 @F.pandas_udf(SPANS)
-def _disjoint(spans: pd.Series) -> pd.Series:
-    return spans.map(lambda x: None if x is None else disjoint(list(x)))
+def _found(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else spans(t))
+
+
+MARKERS = sorted({m for p in PATTERNS for m in p[2]} | {"private key", "putty-user-key-file-"})
+
+
+def marked(text: Column) -> Column:
+    """Whether a text holds the marker of any kind; the others need no pattern, and never leave the JVM."""
+    return F.lower(text).rlike("|".join(re.escape(m) for m in MARKERS))
 
 
 def detect(rows: DataFrame, column: str = "text") -> DataFrame:
     """Adds `findings`, array<struct<kind, start, end, preview>> in order; empty for null text."""
-    text = F.coalesce(F.col(column), F.lit(""))
-    low = F.lower(text)
-    blocks = F.when(low.contains("private key") | low.contains("putty-user-key-file-"), text)
-    found = rows.withColumn("_blocks", _key_blocks(blocks))
-    found = found.withColumn("_all", F.concat(F.coalesce("_blocks", F.array().cast(f"array<{SPAN}>")), *[_spans(text, low, *p) for p in PATTERNS]))
-    found = found.withColumn("_kept", F.coalesce(_disjoint(F.when(F.size("_all") > 1, F.col("_all"))), F.col("_all")))
+    text = F.col(column)
+    found = rows.withColumn("_found", _found(F.when(marked(text), text)))
 
     def shown(s: Column) -> Column:
         value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), masked(value, s["kind"]).alias("preview"))
 
-    return found.withColumn("findings", F.transform("_kept", shown)).drop("_blocks", "_all", "_kept")
+    none = F.array().cast(f"array<{SPAN}>")
+    return found.withColumn("findings", F.transform(F.coalesce("_found", none), shown)).drop("_found")
 
 
 def spliced(text: Column, findings: Column) -> Column:
@@ -177,39 +176,9 @@ def findings_rows(redacted: DataFrame, ts: Column) -> DataFrame:
     return each.select(ts.alias("ts"), F.when(F.col("blocked"), null).otherwise(F.col("id")).alias("memory_id"), F.when(F.col("blocked"), null).otherwise(F.col("episode_id")).alias("episode_id"), "scope", "source_client", "f.kind", "f.start", "f.end", "f.preview", F.when(F.col("blocked"), "blocked").otherwise("redacted").alias("action"))
 
 
-def python_spans(text: str) -> list[dict]:
-    """What detect finds, from the same patterns by Python's re: for JSON leaves, and to hold detect against."""
-    found = key_blocks(text) if re.search(r"private key|putty-user-key-file-", text, re.I) else []
-    low = text.lower()
-    for kind, rank, markers, prefix, secret, suffix in PATTERNS:
-        if any(m in low for m in markers):
-            flags, prefix = _flags(prefix)
-            for m in re.finditer(f"{flags}({prefix})({secret})({suffix})", text):
-                if kind == "env-secret":
-                    if not re.search(ENV_NAME, m[1]):
-                        continue
-                    colon = re.sub("[\"']$", "", m[1]).rstrip(" ").endswith(":")
-                    if len(m[2]) < (12 if colon else 8) or colon and not re.search("[0-9]|[^A-Za-z0-9]", m[2]):
-                        continue
-                if kind == "jwt" and not _has_alg(m[2]):
-                    continue
-                found.append({"kind": kind, "rank": rank, "start": m.start(2), "end": m.end(2)})
-    return disjoint(found)
-
-
-def _has_alg(token: str) -> bool:
-    import base64
-
-    head = token.split(".")[0]
-    try:
-        return "alg" in dict(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))))
-    except (ValueError, TypeError):
-        return False
-
-
 def _clean(value, depth: int):
     if isinstance(value, str):
-        for s in reversed(python_spans(value)):
+        for s in reversed(spans(value)):
             value = f"{value[: s['start']]}[redacted:{s['kind']}]{value[s['end'] :]}"
         return value
     if depth and isinstance(value, dict):
@@ -232,9 +201,7 @@ def redact_metadata(rows: DataFrame, column: str = "metadata", depth: int = 4) -
 
         return values.map(one)
 
-    markers = sorted({m for p in PATTERNS for m in p[2]} | {"private key", "putty-user-key-file-"})
-    marked = F.lower(column).rlike("|".join(re.escape(m) for m in markers))
-    return rows.withColumn(column, F.coalesce(clean(F.when(marked, F.col(column))), F.col(column)))
+    return rows.withColumn(column, F.coalesce(clean(F.when(marked(F.col(column)), F.col(column))), F.col(column)))
 
 
 def forget_findings(findings: DataFrame, ids: DataFrame) -> DataFrame:

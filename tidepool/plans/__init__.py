@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.plans import retrieval as _retrieval  # noqa: F401  registers its queries
+from tidepool.plans import state as _state  # noqa: F401
 from tidepool.plans import tables as _tables  # noqa: F401
 from tidepool.plans.registry import QUERIES, SQL
 

@@ -24,7 +24,7 @@ def x01(spark, d):
     return docs(spark, d).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 
 
-TERMS = f"list_filter(regexp_extract_all(text, '{TERM}'), t -> lower(t) NOT IN ({STOP}))[1:32]"
+TERMS = f"list_filter(regexp_extract_all(text, '{TERM}'), lambda t: lower(t) NOT IN ({STOP}))[1:32]"
 
 
 @query("X02", f"SELECT item_id, array_to_string({TERMS}, ' ') AS terms FROM benchmark")
@@ -33,7 +33,7 @@ def x02(spark, d):
     return b.select("item_id", F.array_join(text.content_terms(F.col("text")), " ").alias("terms"))
 
 
-ASKED = rf"""terms AS (SELECT query_id, unnest(list_filter(regexp_extract_all(query, '{TERM}'), t -> lower(t) NOT IN ({STOP}))[1:32]) AS t FROM fx_queries),
+ASKED = rf"""terms AS (SELECT query_id, unnest(list_filter(regexp_extract_all(query, '{TERM}'), lambda t: lower(t) NOT IN ({STOP}))[1:32]) AS t FROM fx_queries),
 asked AS (SELECT query_id, array_to_string(regexp_extract_all(lower(strip_accents(t)), '{TOKEN}'), ' ') AS phrase, len(regexp_extract_all(lower(strip_accents(t)), '{TOKEN}')) AS n_tokens, count(*) AS times FROM terms GROUP BY 1, 2, 3)"""
 
 
@@ -47,8 +47,8 @@ def x04(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
 
 
-@query("X05", f"""WITH t AS (SELECT doc_id, list_transform({TERMS.replace('[1:32]', '[1:8]')}, x -> lower(strip_accents(x))) AS terms, list_transform(regexp_extract_all(substr(text, 1, length(text) // 2), '{TERM}'), x -> lower(strip_accents(x))) AS own FROM documents)
-SELECT doc_id, CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(least(1.0, len(list_filter(terms, x -> list_contains(own, x))) / least(len(terms), 5)), 6) END AS coverage FROM t""")
+@query("X05", f"""WITH t AS (SELECT doc_id, list_transform({TERMS.replace('[1:32]', '[1:8]')}, lambda x: lower(strip_accents(x))) AS terms, list_transform(regexp_extract_all(substr(text, 1, length(text) // 2), '{TERM}'), lambda x: lower(strip_accents(x))) AS own FROM documents)
+SELECT doc_id, CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(least(1.0, len(list_filter(terms, lambda x: list_contains(own, x))) / least(len(terms), 5)), 6) END AS coverage FROM t""")
 def x05(spark, d):
     """How much of its first eight terms the first half of each text covers."""
     terms = F.transform(text.content_terms(F.col("text"), 8), text.fold)
@@ -107,7 +107,7 @@ def x12(spark, d):
     return both.select("seq", F.round(vector.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@query("X13", "WITH s AS (SELECT seq, list_transform(embedding, x -> CAST(x AS DOUBLE) * (seq + 1)) AS v FROM fx_vectors) SELECT seq, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, 1.0 AS length FROM s", ("vectors",))
+@query("X13", "WITH s AS (SELECT seq, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (seq + 1)) AS v FROM fx_vectors) SELECT seq, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, 1.0 AS length FROM s", ("vectors",))
 def x13(spark, d):
     v = fixtures.view(spark, d, "vectors").select("seq", vector.normalized(F.transform("embedding", lambda x: x.cast("double") * (F.col("seq") + 1))).alias("v"))
     return v.select("seq", F.round(F.col("v")[0], 6).alias("first"), F.round(vector.norm(F.col("v")), 6).alias("length"))
@@ -136,7 +136,7 @@ HEX = "sha256(text)"
 
 
 @query("X18", f"""WITH h AS (SELECT doc_id, concat({HEX}, {', '.join(f"sha256(concat(text, '{k}'))" for k in (1, 2, 3))}) AS h FROM documents),
-v AS (SELECT doc_id, list_transform(range(32), k -> CAST(CAST(CAST(concat('0x', substr(h, 8 * k + 1, 8)) AS BIGINT) AS DOUBLE) / 4294967295 * 2 - 1 AS FLOAT)) AS v FROM h)
+v AS (SELECT doc_id, list_transform(range(32), lambda k: CAST(CAST(CAST(concat('0x', substr(h, 8 * k + 1, 8)) AS BIGINT) AS DOUBLE) / 4294967295 * 2 - 1 AS FLOAT)) AS v FROM h)
 SELECT doc_id, round(CAST(v[1] AS DOUBLE) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 5) AS first, round(CAST(v[32] AS DOUBLE) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 5) AS last FROM v""")
 def x18(spark, d):
     v = docs(spark, d).select("doc_id", vector.hash_embedding(F.col("text")).alias("v"))
@@ -160,8 +160,8 @@ bm AS (SELECT query_id, i.seq, round(sum(times * greatest(ln((n_docs - df + 0.5)
 FROM asked JOIN index i ON i.term = phrase JOIN dfs ON dfs.term = phrase CROSS JOIN stats JOIN fx_memories m ON m.seq = i.seq AND {LIVE} GROUP BY query_id, i.seq),
 best AS (SELECT * FROM (SELECT query_id, concat('m', lpad(CAST(seq AS STRING), 8, '0')) AS id, seq, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, seq) AS rank FROM bm) WHERE rank <= {{limit}}),
 floored AS (SELECT * FROM (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS most FROM best) WHERE bm25 >= 0.1 * most),
-own AS (SELECT query_id, list_transform(list_filter(regexp_extract_all(query, '{TERM}'), t -> lower(t) NOT IN ({STOP}))[1:32], x -> lower(strip_accents(x))) AS terms FROM fx_queries),
-fts AS (SELECT f.query_id, f.id, f.seq, bm25, rank, round(CASE WHEN len(terms) = 0 THEN 1 ELSE least(1.0, len(list_filter(terms, x -> list_contains(list_transform(regexp_extract_all(m.text, '{TERM}'), y -> lower(strip_accents(y))), x))) / least(len(terms), 5)) END, 9) AS coverage
+own AS (SELECT query_id, list_transform(list_filter(regexp_extract_all(query, '{TERM}'), lambda t: lower(t) NOT IN ({STOP}))[1:32], lambda x: lower(strip_accents(x))) AS terms FROM fx_queries),
+fts AS (SELECT f.query_id, f.id, f.seq, bm25, rank, round(CASE WHEN len(terms) = 0 THEN 1 ELSE least(1.0, len(list_filter(terms, lambda x: list_contains(list_transform(regexp_extract_all(m.text, '{TERM}'), lambda y: lower(strip_accents(y))), x))) / least(len(terms), 5)) END, 9) AS coverage
 FROM floored f JOIN own USING (query_id) JOIN fx_memories m ON m.seq = f.seq)"""
 
 
@@ -379,10 +379,13 @@ def p02(spark, d):
     return rows.select("doc_id", F.get(F.filter("findings", lambda f: f["kind"] == "jwt"), F.lit(0))["kind"].alias("kind"))
 
 
-@query("P03", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN length(text) + 66 WHEN 1 THEN length(text) + 36 ELSE length(text) + 26 END AS last FROM documents")
+KEYS = ("-----BEGIN RSA PRIVATE KEY-----\nAA\n-----end RSA private key-----", "-----BEGIN EC PRIVATE KEY-----\nBBBB", "PuTTY-User-Key-File-3:  x\n")
+
+
+@query("P03", f"SELECT doc_id, length(text) + 1 + CASE doc_id % 3 WHEN 0 THEN {len(KEYS[0])} WHEN 1 THEN {len(KEYS[1])} ELSE {len(KEYS[2])} END AS last FROM documents")
 def p03(spark, d):
     """Keys after every text: with its END, without one before a blank line, and a PuTTY file to the end."""
-    key = F.when(F.col("doc_id") % 3 == 0, "-----BEGIN RSA PRIVATE KEY-----\nAA\n-----end RSA private key-----\n\n x").when(F.col("doc_id") % 3 == 1, "-----BEGIN EC PRIVATE KEY-----\nBBBB\n\n after").otherwise("PuTTY-User-Key-File-3:  x\n")
+    key = F.when(F.col("doc_id") % 3 == 0, KEYS[0] + "\n\n x").when(F.col("doc_id") % 3 == 1, KEYS[1] + "\n\n after").otherwise(KEYS[2])
     rows = privacy.detect(docs(spark, d).select("doc_id", F.concat("text", F.lit("\n"), key).alias("text")))
     block = F.filter("findings", lambda f: f["kind"].isin("private-key-block", "putty-private-key"))
     return rows.select("doc_id", F.array_max(F.transform(block, lambda f: f["end"])).cast("long").alias("last"))
