@@ -31,6 +31,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Memo(dict):
+    """make(key), remembered for the last `most` to 2 * `most` keys that were asked for."""
+
+    def __init__(self, make, most: int = 1 << 19):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest position reachable from each of n positions by the links (i[x], j[x])."""
     root = np.arange(n)

@@ -10,18 +10,19 @@ Null text counts as empty and has the end id alone. Repeated rows are packed onc
 Documents of any length are cut freely. A null doc_id takes part. Further columns are ignored.
 """
 
-import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import save
+from tidepool.llm.common import Memo, save
 
 DIMS, BITS, FEATURES = 4, 8, 256
-KEPT = 1 << 18  # white-space-delimited strings whose ids a worker remembers; it starts anew beyond
+#: Fixed value: how the tokenizer splits normalised text into pieces; white space falls away.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 _made: dict[str, tuple] = {}
 
@@ -54,17 +55,32 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def tokenizer(path: str) -> tuple:
-    """(tokenizer, projection of each id) of a vocabulary file, made once in each Python worker."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if visible, else the next from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def tokenizer(path: str) -> tuple[Memo, np.ndarray]:
+    """(ids of a string, projection of each id) of a vocabulary file, made once in each Python worker.
+
+    Strings, and the pieces in them, are remembered, so the tokenizer sees a piece once.
+    """
     if path not in _made:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        letters, model, normalise = byte_letters(), t.model, t.normalizer.normalize_str
+        pieces = Memo(lambda p: np.array([x.id for x in model.tokenize(p.encode().decode("latin-1").translate(letters))], "<u2").tobytes())
+
+        def ids(string: bytes) -> bytes:
+            text = string.decode()
+            return b"".join(map(pieces.__getitem__, PIECES(text.lower() if string.isascii() else normalise(text))))
+
         rnd = np.random.default_rng(11)
         sign, slot = rnd.choice([-1.0, 1.0], t.get_vocab_size()), rnd.integers(0, FEATURES, t.get_vocab_size())
-        _made[path] = t, (sign[:, None] * rnd.standard_normal((FEATURES, DIMS))[slot]).astype(np.float32)
+        _made[path] = Memo(ids), (sign[:, None] * rnd.standard_normal((FEATURES, DIMS))[slot]).astype(np.float32)
     return _made[path]
 
 
@@ -73,19 +89,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     tokenizer's own split never crosses white space, so the ids of a text are those of its strings in turn."""
 
     def run(batches):
-        t, projection = tokenizer(path)
-        known: dict[bytes, bytes] = {}
+        known, projection = tokenizer(path)
         end = np.array([end_id], "<u2").tobytes()
         for b in batches:
-            ids = []
-            for text in b.column(1).to_pylist():
-                strings = (text or "").encode().split()
-                if new := [s for s in dict.fromkeys(strings) if s not in known]:
-                    if len(known) + len(new) > KEPT:
-                        known.clear()
-                        new = list(dict.fromkeys(strings))
-                    known.update(zip(new, (np.array(e.ids, "<u2").tobytes() for e in t.encode_batch_fast([s.decode() for s in new], add_special_tokens=False))))
-                ids.append(b"".join(map(known.__getitem__, strings)) + end)
+            ids = [b"".join(map(known.__getitem__, (text or "").encode().split())) + end for text in b.column(1).to_pylist()]
             vectors = np.zeros((len(ids), DIMS))
             for k, x in enumerate(ids):
                 v = projection[np.frombuffer(x, "<u2")].sum(axis=0, dtype=np.float64)
