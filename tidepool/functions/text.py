@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidepool.functions.bind import let
+
 #: English function words that a query does without.
 STOP_WORDS = (
     "a an the is are was were be been being do does did have has had will would can could shall should may might must "
@@ -74,7 +76,7 @@ def text_terms(c: Column) -> Column:
 def coverage(terms: Column, text_terms: Column, most: int = 5) -> Column:
     """Share of a query's folded terms among a text's, the denominator held to `most`; 1 without terms."""
     n = F.size(terms)
-    hit = F.size(F.filter(terms, lambda t: F.array_contains(text_terms, t)))
+    hit = let(text_terms, lambda own: F.size(F.filter(terms, lambda t: F.array_contains(own, t))))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), hit / F.least(n, F.lit(most))))
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidepool.functions.bind import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,15 +23,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Of length 1; zero stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))))
 
 
 def hash_embedding(text: Column, dim: int = 32) -> Column:
     """A vector that only the text decides: blocks of SHA-256 read as big-endian 32-bit integers, scaled to [-1, 1]."""
     hexes = F.concat(*[F.sha2(text if k == 0 else F.concat(text, F.lit(str(k))), 256) for k in range(-(-dim // 8))])
-    word = lambda k: F.conv(F.substring(hexes, 8 * k + 1, 8), 16, 10).cast("double") / 4294967295.0 * 2.0 - 1.0
-    return F.transform(normalized(F.array(*[word(k).cast("float") for k in range(dim)])), lambda x: x.cast("float"))
+    word = lambda h, k: (F.conv(F.substring(h, 8 * k + 1, F.lit(8)), 16, 10).cast("double") / 4294967295.0 * 2.0 - 1.0).cast("float")
+    words = let(hexes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: word(h, k)))
+    return F.transform(normalized(words), lambda x: x.cast("float"))
 
 
 def flaw(v: Column, dim: int) -> Column:

@@ -107,7 +107,7 @@ def x12(spark, d):
     return both.select("seq", F.round(vector.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@query("X13", "WITH s AS (SELECT seq, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (seq + 1)) AS v FROM fx_vectors) SELECT seq, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, 1.0 AS length FROM s", ("vectors",))
+@query("X13", "WITH s AS (SELECT seq, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (seq + 1)) AS v FROM fx_vectors) SELECT seq, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, CAST(1 AS DOUBLE) AS length FROM s", ("vectors",))
 def x13(spark, d):
     v = fixtures.view(spark, d, "vectors").select("seq", vector.normalized(F.transform("embedding", lambda x: x.cast("double") * (F.col("seq") + 1))).alias("v"))
     return v.select("seq", F.round(F.col("v")[0], 6).alias("first"), F.round(vector.norm(F.col("v")), 6).alias("length"))
@@ -137,10 +137,10 @@ HEX = "sha256(text)"
 
 @query("X18", f"""WITH h AS (SELECT doc_id, concat({HEX}, {', '.join(f"sha256(concat(text, '{k}'))" for k in (1, 2, 3))}) AS h FROM documents),
 v AS (SELECT doc_id, list_transform(range(32), lambda k: CAST(CAST(CAST(concat('0x', substr(h, 8 * k + 1, 8)) AS BIGINT) AS DOUBLE) / 4294967295 * 2 - 1 AS FLOAT)) AS v FROM h)
-SELECT doc_id, round(CAST(v[1] AS DOUBLE) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 5) AS first, round(CAST(v[32] AS DOUBLE) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 5) AS last FROM v""")
+SELECT doc_id, round(CAST(v[1] AS DOUBLE) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 4) AS first, round(CAST(v[32] AS DOUBLE) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 4) AS last FROM v""")
 def x18(spark, d):
     v = docs(spark, d).select("doc_id", vector.hash_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", F.round(F.col("v")[0].cast("double"), 5).alias("first"), F.round(F.col("v")[31].cast("double"), 5).alias("last"))
+    return v.select("doc_id", F.round(F.col("v")[0].cast("double"), 4).alias("first"), F.round(F.col("v")[31].cast("double"), 4).alias("last"))
 
 
 POSTINGS = rf"""toks AS (SELECT seq, regexp_extract_all(lower(strip_accents(text)), '{TOKEN}') AS toks FROM fx_memories),

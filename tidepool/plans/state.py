@@ -183,7 +183,7 @@ def m13(spark, d):
 def e01(spark, d):
     """Every document embedded by the default provider."""
     v = embedding.embed(spark.read.parquet(f"{d}/documents.parquet"), None, "hash-32", 32)
-    return v.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(F.col("embedding")[31].cast("double"), 5).alias("last"))
+    return v.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"), F.round(F.col("embedding")[31].cast("double"), 4).alias("last"))
 
 
 @query("E02", "SELECT vec_id, CASE WHEN vec_id % 4 = 1 THEN 'dimension' WHEN vec_id % 4 = 2 THEN 'not finite' WHEN vec_id % 4 = 3 THEN 'zero' END AS flaw FROM embeddings")
