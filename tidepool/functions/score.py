@@ -19,7 +19,7 @@ def decay(elapsed_ms: Column, half_life_ms: int = WEEK_MS) -> Column:
 
 def access_boost(count: Column, last: Column, now: int, half_life_ms: int = WEEK_MS) -> Column:
     n = F.greatest(F.lit(0), count)
-    return n / (n + 5) * F.coalesce(decay(F.lit(now) - last, half_life_ms), F.lit(0.0))
+    return n / (n + 5) * F.when(last.isNull(), F.lit(0.0)).otherwise(decay(F.lit(now) - last, half_life_ms))
 
 
 def parts(relevance: Column, now: int, half_life_ms: int = WEEK_MS) -> Column:
