@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import save
+from tidepool.llm.common import Memo, save
 
 SLOTS = 1 << 22
-KEPT = 1 << 18  # words whose slots a worker remembers; it starts anew beyond
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms by kind; a term is swapped for the next of its list.
 IDENTITIES = (
@@ -46,22 +45,19 @@ IDENTITIES = (
 SWAP = {t: terms[(k + 1) % len(terms)] for terms in IDENTITIES for k, t in enumerate(terms)}
 
 
-class Slots:
-    """Slots of words, remembered."""
+def slots_of(word: str) -> list[int]:
+    """The slots of a word and of its beginnings of 3 to 8 letters."""
+    raw = word.encode("utf-8", "surrogatepass")
+    out, crc = [zlib.crc32(b"w " + raw) % SLOTS], zlib.crc32(b"p ")
+    for k, c in enumerate(word[:8], 1):
+        crc = zlib.crc32(c.encode("utf-8", "surrogatepass"), crc)
+        if k >= 3:
+            out.append(crc % SLOTS)
+    return out
 
-    def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
 
-    def __call__(self, word: str) -> np.ndarray:
-        if (x := self.known.get(word)) is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            names = [f"w {word}", *(f"p {word[:k]}" for k in range(3, min(8, len(word)) + 1))]
-            x = self.known[word] = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names], np.int64)
-        return x
-
-    def text(self, words: set[str]) -> np.ndarray:
-        return np.unique(np.concatenate([self(w) for w in words])) if words else np.zeros(0, np.int64)
+def slots_of_all(words: set[str], known: Memo) -> np.ndarray:
+    return np.array(sorted({s for w in words for s in known[w]}), np.int64)
 
 
 def words_of(text: str | None) -> set[str]:
@@ -69,17 +65,17 @@ def words_of(text: str | None) -> set[str]:
 
 
 def _counts(batches):
-    slots, n = Slots(), np.zeros((2, SLOTS), np.int32)
+    slots, n = Memo(slots_of, 1 << 17), np.zeros((2, SLOTS), np.int32)
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            n[int(toxic), slots.text(words_of(text))] += 1
+            n[int(toxic), slots_of_all(words_of(text), slots)] += 1
     found = np.flatnonzero(n.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[0, found].astype(np.int64)), pa.array(n[1, found].astype(np.int64))], names=["slot", "clean", "toxic"])
 
 
 def _rows(batches, chosen: np.ndarray):
-    slots = Slots()
-    chosen_in = lambda words: np.searchsorted(chosen, np.intersect1d(slots.text(words), chosen, assume_unique=True)).astype("<i4").tobytes()
+    slots = Memo(slots_of, 1 << 17)
+    chosen_in = lambda words: np.searchsorted(chosen, np.intersect1d(slots_of_all(words, slots), chosen, assume_unique=True)).astype("<i4").tobytes()
     for b in batches:
         own, twin, named = [], [], []
         for text in b.column(0).to_pylist():
@@ -138,22 +134,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20000, capacity: int =
     return chosen, weights
 
 
+_hits: dict[bytes, Memo] = {}
+
+
 def scorer(chosen: np.ndarray, weights: np.ndarray):
-    """A function from texts to scores."""
-    slots = Slots()
-    known: dict[str, tuple[int, ...]] = {}
-
-    def hits(word: str) -> tuple[int, ...]:
-        if (x := known.get(word)) is None:
-            if len(known) >= KEPT:
-                known.clear()
-            own = slots(word)
-            at = np.searchsorted(chosen, own)
-            x = known[word] = tuple(at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == own)].tolist()) if len(chosen) else ()
-        return x
+    """A function from texts to scores. A worker remembers the words it met, for one model at a time."""
+    name = chosen.tobytes()
+    if name not in _hits:
+        at = {int(s): k for k, s in enumerate(chosen)}
+        _hits.clear()
+        _hits[name] = Memo(lambda word: tuple(at[s] for s in slots_of(word) if s in at))
+    hits = _hits[name]
 
     def score(text: str | None) -> float:
-        found = {k for w in words_of(text) for k in hits(w)}
+        found = {k for w in words_of(text) for k in hits[w]}
         z = float(weights[sorted(found)].sum() + weights[-1])
         return float(np.exp(-np.logaddexp(0.0, -z)))
 
