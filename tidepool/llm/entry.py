@@ -75,5 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_license_scan, op4_quality, op5_compaction, op6_top_k, op7_toxicity, op8_byte_bpe, op9_embedding_dedup, op10_packing)}
 
 
+ROUND_TRIP = "SELECT doc_id, lang, source, n_chars, length(text) AS text_length, sha256(text) AS text_sha256 FROM documents"
+BEST = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators are beyond SQL; tests hold them against brute force, round trips and held-out rows."""
+    return {"op5_compaction": ROUND_TRIP, "op6_top_k": BEST}
