@@ -83,6 +83,17 @@ def test_weak_context_values_are_not_spans():
     assert secrets.listed(secrets.spans_of("pwd: password pwd: Zx81kqPq", 6.0)[0]) == "guess:19:27"
 
 
+@pytest.mark.parametrize("text, value", [
+    ('password = "Xk9#mQ2$vL"', "Xk9#mQ2$vL"), ("password=Tr0ub4dor&3x! end", "Tr0ub4dor&3x!"), ("DB_PASS=q@7,Zk;p<2w", "q@7,Zk;p<2w"), ("mysql_pwd='zq7 Rv! x9'", "zq7 Rv! x9"),
+    ("Authorization: Bearer eyJhbGci.x-Q_z", "eyJhbGci.x-Q_z"), ("bearer eyJhbGci.x-Q_z", "eyJhbGci.x-Q_z"), ("token=token: Zx81kqPq", "Zx81kqPq"), (r'{"api_key": "a\"Zx81#kqPq"}', r"a\"Zx81#kqPq"),
+    ('secret: "Zx81#kqPq', "Zx81#kqPq"), ("PASSWORD IS Zx81#kqPq", "Zx81#kqPq"),
+])
+def test_whole_context_values_are_spans(text, value):
+    spans, most = secrets.spans_of(text, 6.0)
+    assert value in [text[s:e] for s, kind, e in spans if kind == 3] and most >= 6
+    assert value not in secrets.masked(text, 6.0) and not any(x in secrets.masked(text, 6.0) for x in (value[:5], value[-5:]))
+
+
 def test_redaction_keeps_rows_and_hides_secrets(spark):
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, [None, "clean", "token=abcdefgh12 end"])).collect()}
     assert (out[0].text, out[1].text, out[2].text) == (None, "clean", "[secret:assign] end")

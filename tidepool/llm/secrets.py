@@ -1,8 +1,9 @@
 """Secret scan: base patterns, and credential values judged by the least number of guesses that finds them.
 
 `scan` gives, for every row of a documents table, the spans of three base kinds (assign, access, hex) and of the kind
-`guess`: a value in a credential context (pwd, passphrase, auth, a password inside a URL, ...) whose cheapest segmentation
-into words, dates, repeats, keyboard walks and brute-force spans still costs `min_log10` decimal digits of guesses.
+`guess`: a value in a credential context (password, token, pwd, auth, names that end in one after `_`, Bearer, a password
+inside a URL, ...) whose cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans still costs
+`min_log10` decimal digits of guesses. The value is what the quotes hold, or all up to white space.
 
 Null text counts as empty; empty text has no spans; repeated rows give repeated results; an empty table gives no rows;
 further columns are ignored. Texts of any length are scanned whole. Offsets are code points, ends exclusive.
@@ -21,10 +22,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|passphrase|pass|credentials?|auth|bearer|private_?key|login)["']?(?:\x20*[:=]\x20*|\x20+is\x20+)|[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:)(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"'<>@,;]{6,200}))""",
+    r"""(?:password|passwd|secret|token|api_?key|(?<![a-z0-9])(?:pwd|passphrase|pass|credentials?|authorization|auth|bearer|private_?key|login))["']?(?:[\x20\t]*[:=][=>]?[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:(?:bearer|basic)[\x20\t]+)?|(?<![a-z0-9])bearer[\x20\t]+""",
     re.I | re.A,
 )
-HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "://")
+#: A value after its context: quoted (with or without escapes), or up to white space.
+VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.){6,200}+)\"|'((?:[^'\\\n]|\\.){6,200}+)'|"([^"\n]{6,200})"|'([^'\n]{6,200})'|"(?![^"\n]*")(\S{6,200})|'(?![^'\n]*')(\S{6,200})|(?!["'])(\S{6,200})""")
+URL = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s"'<>@,;]{6,200})""", re.I | re.A)
+HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "secret", "token", "apikey", "api_key")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Frequent passwords and words in them, most frequent first.
 WORDS = (
@@ -96,8 +100,8 @@ def spans_of(text: str, min_log10: float) -> tuple[list[tuple[int, int, int]], f
     """(start, kind, end) of each span in order, and the largest guess cost among credential values."""
     found: list[tuple[int, int, int]] = []
     most = 0.0
-    low = text.lower() if ":" in text or "=" in text or " is " in text else ""
-    if low and any(k in low for k in KEYWORDS):
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 6:
                 found.append((m.start(), 0, m.end()))
@@ -105,16 +109,26 @@ def spans_of(text: str, min_log10: float) -> tuple[list[tuple[int, int, int]], f
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if low and any(k in low for k in HINTS):
-        for m in CONTEXT.finditer(text):
-            group = m.lastindex
-            cost = guesses(m[group])
-            most = max(most, cost)
-            if cost >= min_log10:
-                found.append((m.start(group), 3, m.end(group)))
+    for start, end in values(text, low):
+        cost = guesses(text[start:end])
+        most = max(most, cost)
+        if cost >= min_log10:
+            found.append((start, 3, end))
     return sorted(found), most
 
 
+def values(text: str, low: str):
+    """(start, end) of the credential values in text; a context inside a value has none of its own there."""
+    if any(k in low for k in HINTS):
+        at = 0
+        for context in CONTEXT.finditer(text):
+            if context.end() >= at and (m := VALUE.match(text, context.end())):
+                at = m.end()
+                yield m.span(m.lastindex)
+    if "://" in text:
+        yield from (m.span(1) for m in URL.finditer(text))
+
+
 def listed(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in found)
 
