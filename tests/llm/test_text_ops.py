@@ -94,6 +94,22 @@ def test_whole_context_values_are_spans(text, value):
     assert value not in secrets.masked(text, 6.0) and not any(x in secrets.masked(text, 6.0) for x in (value[:5], value[-5:]))
 
 
+@pytest.mark.parametrize("n", [201, 100_000])
+@pytest.mark.parametrize("text", ["pwd={} end", "auth: '{}' end", 'private_key="{}" end', "secret: '{} end", "postgres://app:{}@db/x", "postgres://" + "user" * 20 + ":{}@db/x"])
+def test_values_of_any_length_are_whole(n, text):
+    rnd = random.Random(n)
+    value = "".join(rnd.choice("abcXYZ0189+_-%") for _ in range(n))
+    text = text.format(value)
+    at = text.index(value)
+    assert (at, 3, at + n) in secrets.spans_of(text, 6.0)[0]
+    assert value[-20:] not in secrets.masked(text, 6.0)
+
+
+def test_long_repeats_and_walks_cost_little():
+    assert secrets.guesses("abc" * 30_000) < 9 > secrets.guesses("ab" * 50_000)
+    assert secrets.guesses("qwertyuiop" + "oiuytrewq" * 20) > secrets.guesses("qwertyuiop" + "oiuytrewq" * 5)
+
+
 def test_redaction_keeps_rows_and_hides_secrets(spark):
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, [None, "clean", "token=abcdefgh12 end"])).collect()}
     assert (out[0].text, out[1].text, out[2].text) == (None, "clean", "[secret:assign] end")

@@ -26,8 +26,8 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 #: A value after its context: quoted (with or without escapes), or up to white space.
-VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.){6,200}+)\"|'((?:[^'\\\n]|\\.){6,200}+)'|"([^"\n]{6,200})"|'([^'\n]{6,200})'|"(?![^"\n]*")(\S{6,200})|'(?![^'\n]*')(\S{6,200})|(?!["'])(\S{6,200})""")
-URL = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s"'<>@,;]{6,200})""", re.I | re.A)
+VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|"([^"\n]{6,})"|'([^'\n]{6,})'|"(?![^"\n]*")(\S{6,})|'(?![^'\n]*')(\S{6,})|(?!["'])(\S{6,})""")
+URL = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*:([^\s"'<>@,;]{6,})""", re.I | re.A)
 HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "secret", "token", "apikey", "api_key")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Frequent passwords and words in them, most frequent first.
@@ -58,6 +58,14 @@ def guesses(value: str) -> float:
     for k in range(n):
         if low[k].isdigit():
             dates[k] = [m.end() for end in (k + 4, k + 8, k + 10) if (m := DATE.fullmatch(low, k, min(n, end)))]
+    far = {unit: [0] * (n + 1) for unit in (2, 3, 4)}  # how many characters from k on equal those one unit later
+    for unit, equal in far.items():
+        for k in range(n - unit - 1, -1, -1):
+            equal[k] = equal[k + 1] + 1 if value[k] == value[k + unit] else 0
+    turned = [0] * (n + 1)  # how often walks turn before k
+    for k in range(n):
+        turn = k > 1 and low[k] != low[k - 2] and (low[k - 1], low[k]) in NEXT_TO and (low[k] > low[k - 1]) != (low[k - 1] > low[k - 2])
+        turned[k + 1] = turned[k] + turn
     run = 0  # end of the walk that starts at or before k
     same = 0  # end of the run of one character
     for k in range(n):
@@ -81,17 +89,15 @@ def guesses(value: str) -> float:
         if same - k >= 3:
             reach(same, 1.0 + math.log10(same - k) + cut)
         for unit in (2, 3, 4):
-            end = k + unit
-            while end - k < 200 and value[end : end + unit] == value[k : k + unit] and end + unit <= n:
-                end += unit
-            if end - k >= 2 * unit:
-                reach(end, unit + math.log10((end - k) // unit) + cut)
+            times = 1 + far[unit][k] // unit
+            if times > 1:
+                reach(k + unit * times, unit + math.log10(times) + cut)
         if run <= k:
             run = k + 1
             while run < n and (low[run - 1], low[run]) in NEXT_TO:
                 run += 1
         if run - k >= 3:
-            turns = sum(low[x] != low[x - 2] and (low[x - 1], low[x]) in NEXT_TO and (low[x] > low[x - 1]) != (low[x - 1] > low[x - 2]) for x in range(k + 2, min(run, k + 64)))
+            turns = turned[run] - turned[k + 2]
             reach(run, 1.7 + cut * (run - k > 4) + turns * cut + cut)
     return best[n]
 
