@@ -110,6 +110,20 @@ def test_long_repeats_and_walks_cost_little():
     assert secrets.guesses("qwertyuiop" + "oiuytrewq" * 20) > secrets.guesses("qwertyuiop" + "oiuytrewq" * 5)
 
 
+@pytest.mark.parametrize("text", [
+    "see http://localhost:8080/docs/index.html", "https://example.org:8443/a@b?c=d#e", "http://host:9200?q=long-query@x", "http://[::1]:8080/index.html", "login: required", "auth: optional",
+    "The password is required.", "their secret is stored here", "the bearer remains", "auth: authentication", "Passwort: token is expired", "login: Administrator",
+])
+def test_ports_and_prose_are_not_spans(text):
+    assert secrets.masked(text, 6.0) == text
+
+
+@pytest.mark.parametrize("text", ["db://u:{}@h:5432/x", "redis://:{}@h", "see http://h:8080/a and ftp://me:{}@h/a@b"])
+@pytest.mark.parametrize("value", ["Zx81kqPq", "Zx8,kq;Pq", "Zx8@1kqPq"])
+def test_passwords_in_urls_are_spans(text, value):
+    assert secrets.masked(text.format(value), 6.0) == text.format("[secret:guess]")
+
+
 def test_redaction_keeps_rows_and_hides_secrets(spark):
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, [None, "clean", "token=abcdefgh12 end"])).collect()}
     assert (out[0].text, out[1].text, out[2].text) == (None, "clean", "[secret:assign] end")

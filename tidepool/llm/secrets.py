@@ -2,17 +2,22 @@
 
 `scan` gives, for every row of a documents table, the spans of three base kinds (assign, access, hex) and of the kind
 `guess`: a value in a credential context (password, token, pwd, auth, names that end in one after `_`, Bearer, a password
-inside a URL, ...) whose cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans still costs
-`min_log10` decimal digits of guesses. The value is what the quotes hold, or all up to white space.
+before the @ of a URL, ...) whose cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans
+still costs `min_log10` decimal digits of guesses. The value is what the quotes hold, or all up to white space. Words are
+frequent passwords and the words of two public vocabularies by rank, so an ordinary word after a context stays; a value of
+several words, or of a word that neither vocabulary has, may cost enough to be a span.
 
 Null text counts as empty; empty text has no spans; repeated rows give repeated results; an empty table gives no rows;
 further columns are ignored. Texts of any length are scanned whole. Offsets are code points, ends exclusive.
 """
 
+import base64
 import hashlib
+import json
 import math
 import re
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,7 +32,8 @@ CONTEXT = re.compile(
 )
 #: A value after its context: quoted (with or without escapes), or up to white space.
 VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|"([^"\n]{6,})"|'([^'\n]{6,})'|"(?![^"\n]*")(\S{6,})|'(?![^'\n]*')(\S{6,})|(?!["'])(\S{6,})""")
-URL = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*:([^\s"'<>@,;]{6,})""", re.I | re.A)
+#: A password inside a URL ends at the last @ before a slash, question mark, hash or white space; without an @ it is a port.
+URL = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@?#]*:([^\s/?#"'<>]{6,})@""", re.I | re.A)
 HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "secret", "token", "apikey", "api_key")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Frequent passwords and words in them, most frequent first.
@@ -39,8 +45,22 @@ WORDS = (
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("013457@$!", "oleastasi")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
-RANK = {w: math.log10(k + 2) for k, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+
+
+def corpus_words() -> list[str]:
+    """Whole words of the two public vocabularies, each in the order of its merges, which follows their corpus frequency."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        pieces = [base64.b64decode(line.split()[0]).decode(errors="ignore") for line in f if line.strip()]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    words = [p[1:].lower() for p in pieces if p.startswith(" ")] + [p[:-4] for p in sorted(vocab, key=vocab.get) if p.endswith("</w>")]
+    return [w for w in words if len(w) > 2 and w.isalpha()]
+
+
+#: log10 of the rank of each word: the frequent passwords, then the words of the corpora.
+RANK = {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *corpus_words()]))}
+LONGEST = max(map(len, RANK))
+HEADS = {w[:3] for w in RANK}
 NEXT_TO = {(row[k], row[k + d]) for row in ROWS for k in range(len(row)) for d in (1, -1) if 0 <= k + d < len(row)}
 
 
@@ -75,7 +95,8 @@ def guesses(value: str) -> float:
             best[end] = min(best[end], here + cost)
 
         reach(k + 1, 1.0)  # noqa: B023
-        for end in range(k + 3, min(n, k + LONGEST) + 1):
+        starts = plain[k : k + 3] in HEADS or low[k : k + 3] in HEADS
+        for end in range(k + 3, min(n, k + LONGEST) + 1) if starts else ():
             word = plain[k:end]
             if word in RANK or low[k:end] in RANK:
                 shape = value[k:end]
