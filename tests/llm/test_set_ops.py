@@ -227,3 +227,43 @@ def test_compaction_by_arrival_keeps_columns(spark, tmp_path):
     rows = docs_of(spark, ["a", None, "c"])
     store.append(rows, arrival="text")
     assert sorted(r.doc_id for r in store.read().collect()) == [0, 1, 2] and set(store.read().columns) == set(rows.columns)
+
+
+def test_compaction_keeps_the_columns_of_every_arrival(spark, tmp_path):
+    store = compaction.Store(spark, f"{tmp_path}/store")
+    for k in range(6):
+        row = f"{k} as doc_id" + (f", 'v{k}' as more, named_struct('a', 1, 'b', {k}) as s" if k in (2, 5) else ", named_struct('a', 1) as s")
+        store.append(spark.sql(f"select {row}").coalesce(1))
+    assert store.compact(target=1 << 20, run=4)
+    store.vacuum()
+    want = [(k, f"v{k}" if k in (2, 5) else None, k if k in (2, 5) else None) for k in range(6)]
+    assert sorted(store.read().selectExpr("doc_id", "more", "s.b").collect()) == want
+    with pytest.raises(ValueError):
+        store.append(spark.sql("select 'x' as doc_id"))
+    assert store.read().count() == 6
+
+
+def test_a_version_is_claimed_by_one_writer(spark, tmp_path):
+    store, other = (compaction.Store(spark, f"{tmp_path}/store") for _ in range(2))
+
+    class Late:
+        """The other writer commits after this one has looked."""
+
+        def __init__(self, fs):
+            self.fs, self.first = fs, True
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def exists(self, path):
+            return False
+
+        def create(self, path, overwrite):
+            if self.first:
+                self.first = False
+                other.append(spark.range(1).coalesce(1))
+            return self.fs.create(path, overwrite)
+
+    store._fs = Late(store._fs)
+    store.append(spark.range(1, 2).coalesce(1))
+    assert sorted(r.id for r in other.read().collect()) == [0, 1]

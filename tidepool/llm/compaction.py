@@ -1,24 +1,47 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 A store is a folder with `data/` (Parquet shards, never changed once written) and `manifest/` (one small JSON file for each
-version, naming the live shards with their bytes and rows). `append` writes arrivals as small shards and commits the next
+version, naming the live shards with their bytes). `append` writes arrivals as small shards and commits the next
 version. `compact` groups live shards into tiers of similar size (each tier `ratio` times as large as the one below); a tier
 with at least `run` shards is merged into files of about `target` bytes. Spark's own file packing does the merging: one read
 task takes shards up to the target and writes one file, so nothing is shuffled. Shards of target size are left alone.
 
-A version is committed by renaming a finished file to its name, which fails if the name exists; a writer that lost the race
-reads the newer version and tries again. Shards that no version names are invisible, so a job that dies or repeats tasks
-leaves the store as it was. `vacuum` deletes shards that only old versions name.
+The manifest also holds the store's schema, the union of the schemas of all arrivals: shards are read with it, so a column
+that a shard lacks is null there, and compaction keeps the columns of every arrival. Columns are told apart as Spark does
+(by `spark.sql.caseSensitive`). An arrival that gives a known column another type is refused before anything is written.
 
-Rows are kept as they are: nulls, repeats, and any columns. An append of no rows commits a version without new shards. An
-empty store cannot be read (it has no schema): `read` then raises ValueError.
+A version is committed by giving a finished file its name, which fails if the name exists: by a hard link in local folders,
+elsewhere by a rename, which HDFS refuses if the name exists; on file systems where a rename replaces, one writer at a time
+is required. A writer that lost the race reads the newer version and tries again. Shards that no version names are
+invisible, so a job that dies or repeats tasks leaves the store as it was. `vacuum` deletes shards that only old versions name.
+
+Rows are kept as they are: nulls, repeats, and any columns. An append of no rows commits a version without new shards. A
+store without shards cannot be read: `read` then raises ValueError.
 """
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+
+
+def union(a: DataType, b: DataType, exact: bool, name: str = "") -> DataType:
+    """The type that holds both: structs field by field, first those of a. ValueError where other types differ."""
+    if isinstance(a, StructType) and isinstance(b, StructType):
+        key = lambda f: f.name if exact else f.name.lower()
+        more, known = {key(f): f for f in b}, {key(f) for f in a}
+        same = [StructField(f.name, union(f.dataType, more[key(f)].dataType, exact, f"{name}.{f.name}") if key(f) in more else f.dataType, True, f.metadata) for f in a]
+        return StructType(same + [StructField(f.name, f.dataType, True, f.metadata) for f in b if key(f) not in known])
+    if isinstance(a, ArrayType) and isinstance(b, ArrayType):
+        return ArrayType(union(a.elementType, b.elementType, exact, name))
+    if isinstance(a, MapType) and isinstance(b, MapType):
+        return MapType(union(a.keyType, b.keyType, exact, name), union(a.valueType, b.valueType, exact, name))
+    if a.simpleString() != b.simpleString():
+        raise ValueError(f"column {name[1:]} is {a.simpleString()} in the store and {b.simpleString()} in the arrival")
+    return a
 
 
 class Store:
@@ -34,33 +57,61 @@ class Store:
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/manifest"))]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def shards(self, version: int | None = None) -> list[dict]:
-        """The live shards of a version (the newest if None): path inside the store, bytes."""
+    def _manifest(self, version: int | None = None) -> dict:
+        """What a version (the newest if None) holds."""
         known = self.versions()
         if not known:
-            return []
+            return {"shards": []}
         stream = self._fs.open(self._path(f"{self.path}/manifest/v{known[-1] if version is None else version:012d}.json"))
         try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["shards"]
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, added: list[dict], removed: set[str]) -> int:
-        """The next version: the newest one with shards added and removed. Fails if another writer removed one of them."""
+    def shards(self, version: int | None = None) -> list[dict]:
+        """The live shards of a version (the newest if None): path inside the store, bytes."""
+        return self._manifest(version)["shards"]
+
+    def _schema(self, manifest: dict) -> StructType:
+        """That of the manifest; of one written before schemas were recorded, the union over its shards."""
+        if "schema" in manifest:
+            return StructType.fromJson(manifest["schema"])
+        if not manifest["shards"]:
+            return StructType()
+        return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{s['path']}" for s in manifest["shards"]]).schema
+
+    def _with(self, manifest: dict, schema: StructType) -> StructType:
+        return union(self._schema(manifest), schema, self.spark.conf.get("spark.sql.caseSensitive") == "true")
+
+    def commit(self, added: list[dict], removed: set[str], schema: StructType | None = None) -> int:
+        """The next version: the newest one with shards added (of that schema) and removed. Fails if another writer removed one of them."""
         while True:
             known = self.versions()
             version = known[-1] + 1 if known else 1
-            live = self.shards()
+            newest = self._manifest(known[-1]) if known else {"shards": []}
+            live = newest["shards"]
             if missing := removed - {s["path"] for s in live}:
                 raise ValueError(f"merged away meanwhile: {sorted(missing)[:3]}")
-            body = json.dumps({"version": version, "shards": [s for s in live if s["path"] not in removed] + added})
+            columns = self._with(newest, schema or StructType())
+            body = json.dumps({"version": version, "schema": columns.jsonValue(), "shards": [s for s in live if s["path"] not in removed] + added})
             draft, final = (self._path(f"{self.path}/manifest/{n}") for n in (f".draft-{uuid.uuid4().hex}", f"v{version:012d}.json"))
             out = self._fs.create(draft, False)
             out.write(body.encode())
             out.close()
-            if not self._fs.exists(final) and self._fs.rename(draft, final):
-                return version
+            won = self._claim(draft, final)
             self._fs.delete(draft, False)
+            if won:
+                return version
+
+    def _claim(self, draft, final) -> bool:
+        """Gives the draft its final name; whether no other writer had it first."""
+        if self._fs.getUri().getScheme() != "file":
+            return not self._fs.exists(final) and self._fs.rename(draft, final)
+        try:
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
 
     def _written(self, run: str) -> list[dict]:
         """The files with rows that a finished write left under data/run."""
@@ -75,27 +126,29 @@ class Store:
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> int:
         """Writes rows as new shards, each task's its own; `arrival`, a column's name, also parts them by its values."""
+        self._with(self._manifest(), rows.schema)
         run = f"a-{uuid.uuid4().hex}"
         out = rows if arrival is None else rows.withColumn("_arrival", F.col(arrival))
         writer = out.write.option("compression", "zstd")
         (writer if arrival is None else writer.partitionBy("_arrival")).parquet(f"{self.path}/data/{run}")
-        return self.commit(self._written(run), set())
+        return self.commit(self._written(run), set(), rows.schema)
 
-    def _read(self, shards: list[dict]) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{s['path']}" for s in shards])
+    def _read(self, shards: list[dict], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{s['path']}" for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        shards = self.shards(version)
-        if not shards:
+        manifest = self._manifest(version)
+        if not manifest["shards"]:
             raise ValueError("the store has no shards")
-        return self._read(shards)
+        return self._read(manifest["shards"], self._schema(manifest))
 
     def compact(self, target: int = 128 << 20, run: int = 4, ratio: int = 4) -> list[int]:
         """Merges every tier that is due, smallest first, and those that its results fill; the versions committed."""
         done, merged = [], set()
         while True:
             tiers: dict[int, list[dict]] = {}
-            for s in self.shards():
+            manifest = self._manifest()
+            for s in manifest["shards"]:
                 if s["bytes"] < target * 3 // 4 and s["path"] not in merged:
                     tier, top = 0, target
                     while top // ratio >= s["bytes"] and tier < 30:
@@ -110,7 +163,7 @@ class Store:
             try:
                 for k, v in packing.items():
                     self.spark.conf.set(k, v)
-                self._read(due[0]).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}")
+                self._read(due[0], self._schema(manifest)).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}")
             finally:
                 for k, v in before.items():
                     self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
