@@ -141,6 +141,35 @@ def test_licences(spark):
     assert got[n + 3].license is None and got[n + 4].license == "Apache-2.0"
 
 
+def test_licences_inside_longer_texts(spark):
+    prose = "the quick brown fox of the house went over the river and sat by the tree for a while " * 20
+    apache, bsd, gpl = (licenses.TEMPLATES[x][1] for x in ("Apache-2.0", "BSD-3-Clause", "GPL-3.0"))
+    wrapped = lambda t: "\n".join(" * " + " ".join(t.split()[k : k + 8]) for k in range(0, len(t.split()), 8))
+    full = {x: ts[-1] for x, ts in licenses.TEMPLATES.items() if len(ts[-1]) > 400}
+    texts = [
+        f"{prose}\n/*\n{wrapped(apache)}\n */\n{prose}", f"{prose} licensed under the Apache License, Version 2.0. {prose}",
+        f"{wrapped(bsd)}\n{prose}\n{wrapped(gpl)}", f"{prose} Licensed under CC BY-NC 4.0. {prose}", prose, *[f"{prose}\n{t}\n{prose}" for t in full.values()],
+    ]
+    got = {r.doc_id: {x.split(":")[0]: x.split(":")[1:] for x in r.licenses.split(",") if x} for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got[0] == {"Apache-2.0": ["1.000000", "3"]} and got[1] == {"Apache-2.0": ["1.000000", "1"]}
+    assert set(got[2]) == {"BSD-3-Clause", "GPL-3.0"} and set(got[3]) == {"CC-BY-NC-4.0"} and not got[4]
+    assert len(full) == 8
+    for k, name in enumerate(full, 5):
+        assert float(got[k][name][0]) > 0.99, name
+
+
+def test_windows_are_the_best_of_all(spark):
+    rnd = random.Random(7)
+    b = licenses.bigrams([rnd.choice("abcd") for _ in range(9)])
+    for _ in range(300):
+        words = [rnd.choice("abcdef") for _ in range(rnd.randint(2, 30))]
+        pairs = list(zip(words, words[1:]))
+        cuts = [(brute_dice(licenses.bigrams(words[i:j]), b), i, j) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        got = licenses.windows([p for p, x in enumerate(pairs) if x in b], pairs, b, b.total(), 0.6)
+        most = max(c[0] for c in cuts)
+        assert max([w[0] for w in got], default=0) == pytest.approx(most if most >= 0.6 else 0)
+
+
 def brute_dice(a, b):
     return 2 * (a & b).total() / (a.total() + b.total())
 
