@@ -1,10 +1,12 @@
 """Operators on whole tables against brute force: SimHash, top-k, embedding near-duplicates, packing, compaction, components."""
 
+import json
 import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -173,9 +175,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_packing(spark):
     rnd = random.Random(6)
-    texts = EDGES + ["İstanbul Ünïcode é é 中文 don't \x1c\x1d a\xa0b <|endoftext|> It's", *[" ".join(rnd.choice(["the", "river", "stone's", "Walk", "1234", "é"]) for _ in range(rnd.randint(0, 900))) for _ in range(60)]]
+    texts = EDGES + ["İstanbul Ünïcode é é 中文 don't \x1c\x1d a\xa0b It's ΣΑΣ.", "a <|endoftext|> b", "x<|endoftext|>y<|startoftext|>.", "<|EndOfText|> e\u0301 \u0301x", *[" ".join(rnd.choice(["the", "river", "stone's", "Walk", "1234", "é"]) for _ in range(rnd.randint(0, 900))) for _ in range(60)]]
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in texts]
     rows = packing.pack(docs_of(spark, texts), PATH).collect()
     fill = {}
@@ -194,6 +195,25 @@ def test_packing(spark):
     assert packing.pack(docs_of(spark, texts).limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("split", [True, False])
+def test_ids_follow_the_tokenizer_file(spark, split, tmp_path):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("aB9 .,'\té\u0301ßİΣ\u2003\u212b中-_x") for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["<|endoftext|>", ""]
+    path = PATH
+    if not split:  # another splitter: texts are encoded whole
+        spec = json.load(open(PATH))
+        spec["normalizer"] = {"type": "Lowercase"}
+        path = f"{tmp_path}/other.json"
+        json.dump(spec, open(path, "w"))
+    assert packing.splits_at_space(path) == split
+    t = Tokenizer.from_file(path)
+    for most in (1 << 19, 5):
+        ids, sums = packing.encoded(pa.array(texts), known := packing.Strings(path, "<u4", most), split)
+        for x, got, v in zip(texts, ids, sums):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+            assert np.allclose(v, known.projection[np.frombuffer(got, "<u4")].sum(axis=0), atol=1e-3)
+
+
 def test_hilbert_neighbours():
     cells = np.array([(x, y) for x in range(8) for y in range(8)])
     order = cells[np.argsort(packing.hilbert(cells, 3))]
