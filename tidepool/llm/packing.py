@@ -95,7 +95,7 @@ class Strings:
         self.old: dict[str, bytes] = {}
         letters, model = byte_letters(), self.tokenizer.model
         self.bytes_of = [np.array([k], kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
-        self.pieces = Memo(lambda p: b"".join([self.bytes_of[x.id] for x in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))]), most)
+        self.pieces = Memo(lambda p: b"".join([self.bytes_of[x.id] for x in model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]), most)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)").search
         rnd, n = np.random.default_rng(11), self.tokenizer.get_vocab_size()
