@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, licenses, quality, secrets, toxicity
 
@@ -244,53 +245,98 @@ def test_toxicity_edges(spark):
     assert toxicity.keep(docs_of(spark, EDGES), *model).columns == docs_of(spark, EDGES).columns
 
 
-def brute_kneser_ney(trusted):
-    """Probability of a class after its context, by the textbook definition over Python dicts."""
-    N, mask = quality.N, lambda o: (1 << quality.SHIFT * o) - 1
-    counts = {N: {}}
+def brute_kneser_ney(trusted, order=4, floor=1 / 65536):
+    """log p of a text by the textbook definition, over dicts of strings."""
+    counts = {order: {}}
     for t in trusted:
-        for k in quality.keys([quality.classes(t)]).tolist():
-            counts[N][k] = counts[N].get(k, 0) + 1
-    for o in range(N - 1, 0, -1):
-        counts[o] = {}
-        for k in counts[o + 1]:
-            counts[o][k & mask(o)] = counts[o].get(k & mask(o), 0) + 1
-    d = {o: quality.discounts(*[sum(c == x for c in counts[o].values()) for x in (1, 2, 3, 4)]) for o in counts}
-
-    def p(key, o):
-        if o == 0:
-            return 1 / quality.SIZE
-        same = [c for k, c in counts[o].items() if k >> quality.SHIFT == key >> quality.SHIFT]
-        low = p(key & mask(o - 1), o - 1)
+        t = " " * (order - 1) + t
+        for k in range(order - 1, len(t)):
+            g = t[k - order + 1 : k + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for o in range(order - 1, 0, -1):
+        before = {}
+        for g in counts[o + 1]:
+            before.setdefault(g[1:], set()).add(g[0])
+        counts[o] = {g: len(x) for g, x in before.items()}
+    off = {}
+    for o, c in counts.items():
+        n = [sum(x == k for x in c.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        off[o] = [0.0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k) if n[k] and n[k + 1] else k / 2 for k in (1, 2, 3)]
+
+    def p(g):
+        if not g:
+            return floor
+        same = [c for x, c in counts[len(g)].items() if x[:-1] == g[:-1]]
         if not same:
-            return low
-        c = counts[o].get(key, 0)
-        off = 0 if c == 0 else d[o][min(c, 3) - 1]
-        back = sum(d[o][min(x, 3) - 1] for x in same)
-        return max(c - off, 0) / sum(same) + back / sum(same) * low
+            return p(g[1:])
+        c = counts[len(g)].get(g, 0)
+        return (max(c - off[len(g)][min(c, 3)], 0) + sum(off[len(g)][min(x, 3)] for x in same) * p(g[1:])) / sum(same)
 
-    return lambda t: sum(np.log(p(k, N)) for k in quality.keys([quality.classes(t)]).tolist())
+    return lambda t: sum(np.log(p((" " * (order - 1) + t)[k : k + order])) for k in range(len(t)))
+
+
+TRUSTED = ["The cat sat on the mat.", "A dog ran to the cat, and sat.", "Ön the mat sat 12 cats\nand a dog", "Кот сидел на окне и смотрел на двор.", "我们在公园里看到了一只猫。"]
 
 
 def test_quality_equals_brute_force(spark):
-    trusted = ["The cat sat on the mat.", "A dog ran to the cat, and sat.", "Ön the mat sat 12 cats\nand a dog"]
-    texts = trusted + ["THE CAT!!", "zzz qqq %%% ###", "the cat ran", None, "", "the cat ran"]
-    docs = docs_of(spark, texts)
-    p = brute_kneser_ney(trusted)
-    got = {r.doc_id: r for r in quality.log_probabilities(docs, docs.where("doc_id < 3"), chunk=40).collect()}
-    for k, t in enumerate(texts):
-        assert got[k].log_p == pytest.approx(p(t) if t else 0, abs=1e-3)
-    out = {r.doc_id: r for r in quality.classify(docs, docs.where("doc_id < 3").select("doc_id"), chunk=40).collect()}
-    assert out[6].keep and out[7].keep and out[6].score is None and out[5].score == out[8].score
-    assert not out[4].keep
-    assert quality.keep(docs, docs.where("doc_id < 3").select("doc_id")).columns == docs.columns
+    texts = TRUSTED + ["THE CAT!!", "zzz qqq %%% ###", "the cat ran", None, "", "the cat ran", "кот на дворе", "一只猫在公园里", "\U0001f600 cat \U0001f601"]
+    docs, n = docs_of(spark, texts), len(TRUSTED)
+    trusted = docs.where(f"doc_id < {n}")
+    p = brute_kneser_ney(TRUSTED)
+    for chunk in (40, 1 << 24):
+        got = {r.doc_id: r for r in quality.log_probabilities(docs, trusted, chunk=chunk).collect()}
+        for k, t in enumerate(texts):
+            assert got[k].log_p == pytest.approx(p(t) if t else 0, abs=1e-3)
+    out = {r.doc_id: r for r in quality.classify(docs, trusted.select("doc_id"), chunk=40).collect()}
+    assert out[n + 3].keep and out[n + 4].keep and out[n + 3].score is None and out[n + 2].score == out[n + 5].score
+    assert not out[n + 1].keep
+    assert quality.keep(docs, trusted.select("doc_id")).columns == docs.columns
+
+
+def test_quality_scores_and_thresholds_follow_their_definition(spark):
+    rnd = random.Random(9)
+    words = {"en": "the cat sat on a mat and ran".split(), "ru": "кот сидел на окне и смотрел во двор".split()}
+    texts = [(k, " ".join(rnd.choice(words[lang or "en"]) for _ in range(rnd.randint(3, 30))) + ("%#" * (k % 7 == 0)), lang) for k, lang in enumerate(["en", "ru", None] * 40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    ids = docs.where("doc_id % 4 = 1").select("doc_id")
+    out = {r.doc_id: r for r in quality.classify(docs, ids, high=0.9, prior=50).collect()}
+    p = brute_kneser_ney([t for k, t, _ in texts if k % 4 == 1])
+    raw = {k: -p(t) / len(t) for k, t, _ in texts}
+    lower = lambda xs, q: sorted(xs)[max(int(np.ceil(len(xs) * q)) - 1, 0)]
+    for lang in ("en", "ru", None):
+        of = [k for k in out if out[k].lang == lang]
+        middle = lower([raw[k] for k in of if k % 4 == 1], 0.5)
+        score = {k: (raw[k] * len(texts[k][1]) + middle * 50) / (len(texts[k][1]) + 50) for k in of}
+        limit = lower([score[k] for k in of if k % 4 == 1], 0.9)
+        for k in of:
+            assert out[k].score == pytest.approx(score[k], abs=1e-4) and out[k].threshold == pytest.approx(limit, abs=1e-4)
+            assert out[k].keep == (out[k].score <= out[k].threshold)
+
+
+def test_quality_tells_junk_from_prose_in_every_script(spark):
+    rnd = random.Random(4)
+    prose = {"ru": "Кот сидел на окне и смотрел на двор. Вечером он спал у тёплой печи и видел сны о рыбе.", "zh": "我们在公园里看到了一只猫。晚上它睡在温暖的炉子旁边，梦见了鱼。", "el": "Η γάτα κάθισε στο παράθυρο και κοίταζε την αυλή το βράδυ."}
+    rows = []
+    for lang, t in prose.items():
+        for _ in range(30):
+            at = rnd.randrange(len(t) // 2)
+            rows.append((t[at:] + t[:at], lang, True))
+        for _ in range(5):
+            junk = list(t)
+            rnd.shuffle(junk)
+            rows += [("".join(junk), lang, False), (t.upper()[::-1], lang, False)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    trusted = docs.where(F.col("doc_id").isin([k for k, x in enumerate(rows) if x[2]])).select("doc_id")
+    got = {r.doc_id: r.keep for r in quality.classify(docs, trusted).collect()}
+    assert [got[k] for k in range(len(rows))] == [x[2] for x in rows]
 
 
 def test_quality_probabilities_sum_to_one(spark):
     docs = docs_of(spark, ["abc abd abc", "abd abd xyz"])
     model = quality.train(docs)
-    context = int(quality.keys([quality.classes("abd ")])[-1]) >> quality.SHIFT << quality.SHIFT
-    every = spark.range(quality.SIZE).selectExpr(f"cast({context} + id as int) as key")
+    context = int(quality.keys([quality.symbols("abd ")])[-1]) >> quality.SHIFT << quality.SHIFT
+    every = spark.range(quality.SIZE).selectExpr(f"{context} + id as key")
     assert sum(r.p for r in quality.probabilities(every, model).collect()) == pytest.approx(1.0, abs=1e-9)
 
 

@@ -31,6 +31,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 class Memo(dict):
     """make(key), remembered for the last `most` to 2 * `most` keys that were asked for."""
 

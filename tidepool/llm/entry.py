@@ -29,7 +29,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("h")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir), stored=True).drop("h")
 
 
 def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:

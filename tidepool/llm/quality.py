@@ -1,18 +1,19 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text, by language quantiles.
 
-The model is of order four over 64 classes of characters (each a-z, one class for capitals, one for digits, punctuation by
-mark, accented letters in 18 classes, white space, the rest), so junk marks, shouting and tables stand out in any language
-while the model needs no vocabulary. Counts come from all trusted documents. Lower orders use continuation counts, each
-order has the three discounts of Chen & Goodman (1999), and orders interpolate down to the uniform distribution.
+The model is of order four over code points: every assigned code point up to U+FFFF is a symbol of its own, those beyond
+share the places that surrogates and private use leave free. So it needs no vocabulary, works in any script, and grows with
+the trusted text. Counts come from all trusted documents. Lower orders use continuation counts, each order has the three
+discounts of Chen & Goodman (1999), and orders interpolate down to the uniform distribution.
 
 Scoring joins n-grams with the sharded counts: documents are packed, in the order they are read, into chunks of up to
 `chunk` characters; a chunk asks once for each of its distinct n-grams, the distinct n-grams of all chunks are joined with
-the counts of every order, and the answers return to the chunks, where the documents are scored. What moves is a few
-n-grams for each chunk, and the chunks' compressed classes.
+the counts of every order, and the answers return to the chunks, where the documents are scored. What moves is the distinct
+n-grams of each chunk, and the chunks' compressed texts. The documents are read twice, so a table that may give its rows in
+another order the second time is stored first, unless `stored` says that it is a plain scan of files.
 
 A document's score is its mean negative log probability, drawn towards its language's trusted median as if `prior` more
-characters had that value (short texts vary by chance). It is rejected if the score lies above the language's upper trusted
-quantile plus `width` times the distance between the two quantiles. Languages without trusted text use the quantiles over all languages.
+characters had that value (short texts vary by chance). It is rejected if the score lies above the `high` quantile of its
+language's trusted documents. Languages without trusted text use the largest of these thresholds.
 
 Null and empty text have no score and are kept. Without trusted text all is kept. Repeated rows get the same score. An
 empty table gives no rows. Long texts are scored whole. Null lang is a language of its own. Further columns are ignored.
@@ -25,47 +26,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import save, sorted_groups
+from tidepool.llm.common import fresh, save, sorted_groups
 
-N, SHIFT = 4, 6
+N, SHIFT = 4, 16
 SIZE = 1 << SHIFT
-MARKS = ".,;:!?'\"-()"
+#: The first place and the number of places that no character below U+10000 takes (surrogates, private use).
+FREE, PLACES = 0xD800, 0xF900 - 0xD800
 
 
-def _classes() -> np.ndarray:
-    of = np.full(0x251, SIZE - 1, np.uint8)
-    for cp in range(0x250):
-        c = chr(cp)
-        if "a" <= c <= "z":
-            of[cp] = 1 + cp - ord("a")
-        elif "A" <= c <= "Z":
-            of[cp] = 28
-        elif c == "\n":
-            of[cp] = 27
-        elif c.isspace():
-            of[cp] = 0
-        elif "0" <= c <= "9":
-            of[cp] = 29
-        elif c in MARKS:
-            of[cp] = 30 + MARKS.index(c)
-        elif 32 < cp < 127:
-            of[cp] = 41 + cp % 4
-        elif cp >= 0xC0:
-            of[cp] = 45 + cp % 18
-    return of
+def symbols(text: str) -> np.ndarray:
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(cp < SIZE, cp, FREE + cp % PLACES).astype(np.uint16)
 
 
-CLASS = _classes()
-
-
-def classes(text: str) -> np.ndarray:
-    return CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0x250)]
+def mask(order: int) -> int:
+    """The last `order` symbols of a key, as a signed 64-bit integer."""
+    return (1 << SHIFT * order) - 1 if order < N else -1
 
 
 def keys(parts: list[np.ndarray]) -> np.ndarray:
-    """The n-gram that ends at each character of each part; a part begins after white space."""
-    pad = np.zeros(N - 1, np.uint8)
-    flat = np.concatenate([x for p in parts for x in (pad, p)]).astype(np.int32) if parts else np.zeros(0, np.int32)
+    """The n-gram that ends at each symbol of each part, newest symbol in the lowest bits; a part begins after spaces."""
+    pad = np.full(N - 1, ord(" "), np.uint16)
+    flat = np.concatenate([x for p in parts for x in (pad, p)]).astype(np.int64) if parts else np.zeros(0, np.int64)
     at = np.ones(len(flat), bool)
     starts = np.cumsum([0, *[len(p) + N - 1 for p in parts]])[:-1]
     for k in range(N - 1):
@@ -73,40 +55,53 @@ def keys(parts: list[np.ndarray]) -> np.ndarray:
     at = np.flatnonzero(at)
     key = flat[at]
     for k in range(1, N):
-        key = key | flat[at - k] << SHIFT * k
+        key |= flat[at - k] << SHIFT * k
     return key
 
 
-def _grams(batches):
-    """Counts of n-grams in a task's texts; memory is bounded by the number of classes."""
-    n = np.zeros(SIZE**N, np.int32)
+def slices(texts: list[str], most: int = 1 << 20):
+    """Lists of texts of about `most` characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _grams(batches, most: int = 1 << 20):
+    """Counts of n-grams in a task's texts, given out whenever there are `most`."""
+    key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
-        texts = b.column(0).to_pylist()
-        for at in range(0, len(texts), 256):
-            key, c = np.unique(keys([classes(t) for t in texts[at : at + 256] if t]), return_counts=True)
-            n[key] += c.astype(np.int32)
-    found = np.flatnonzero(n)
-    for at in range(0, len(found), 1 << 16):
-        x = found[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(n[x].astype(np.int64))], names=["key", "n"])
+        for some in slices([t for t in b.column(0).to_pylist() if t]):
+            more, c = np.unique(keys([symbols(t) for t in some]), return_counts=True)
+            key, at = np.unique(np.concatenate([key, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, c]), len(key)).astype(np.int64)
+            if len(key) >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+                key, n = key[:0], n[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
 
 def train(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame, list[float]]]:
     """By order: counts (key, n), contexts (context, total, n1, n2, n3), the three discounts."""
-    counts = save(trusted.select("text").mapInArrow(_grams, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    counts = save(trusted.select("text").mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     model = {}
     for order in range(N, 0, -1):
-        if order < N:  # how many different classes stand before it
-            counts = save(counts.groupBy(F.col("key").bitwiseAND((1 << SHIFT * order) - 1).alias("key")).agg(F.count("*").alias("n")), "grams")
+        if order < N:  # how many different symbols stand before it
+            counts = save(counts.groupBy(F.col("key").bitwiseAND(mask(order)).alias("key")).agg(F.count("*").alias("n")), "grams")
         of = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-        model[order] = counts, counts.groupBy(F.shiftright("key", SHIFT).alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)]), discounts(*of)
+        model[order] = counts, counts.groupBy(F.shiftrightunsigned("key", SHIFT).alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)]), discounts(*of)
     return model
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """Chen & Goodman's, held to [0, k]; where a count is missing, k / 2."""
+    """Chen & Goodman's, held to [0.1, k] so that unseen n-grams have a share; where a count is missing, k / 2."""
     y = n1 / (n1 + 2 * n2) if n1 else 0
-    return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a and b else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return [min(max(k - (k + 1) * y * b / a, 0.1), float(k)) if a and b else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
 def probabilities(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame, list[float]]]) -> DataFrame:
@@ -114,14 +109,14 @@ def probabilities(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame,
     below = None
     for order in range(1, N + 1):
         counts, contexts, d = model[order]
-        q = asked if order == N else asked.select(F.col("key").bitwiseAND((1 << SHIFT * order) - 1).alias("key")).distinct()
+        q = asked if order == N else asked.select(F.col("key").bitwiseAND(mask(order)).alias("key")).distinct()
         n = F.coalesce("n", F.lit(0))
         off = F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        rows = q.join(counts, "key", "left").withColumn("context", F.shiftright("key", SHIFT)).join(contexts, "context", "left")
+        rows = q.join(counts, "key", "left").withColumn("context", F.shiftrightunsigned("key", SHIFT)).join(contexts, "context", "left")
         if below is None:
             rows = rows.withColumn("low", F.lit(1 / SIZE))
         else:
-            rows = rows.withColumn("tail", F.col("key").bitwiseAND((1 << SHIFT * (order - 1)) - 1)).join(below.select(F.col("key").alias("tail"), F.col("p").alias("low")), "tail")
+            rows = rows.withColumn("tail", F.col("key").bitwiseAND(mask(order - 1))).join(below.select(F.col("key").alias("tail"), F.col("p").alias("low")), "tail")
         left = (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
         p = F.when(F.col("total").isNull(), F.col("low")).otherwise(F.greatest(n - off, F.lit(0.0)) / F.col("total") + left * F.col("low"))
         below = save(rows.select("key", p.alias("p")), "probabilities")
@@ -129,59 +124,81 @@ def probabilities(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame,
 
 
 def _chunks(batches, chunk: int, grams_only: bool):
-    """A row for each chunk: (chunk, docs, grams) with grams_only, else (chunk, docs as arrays, classes)."""
+    """A row for each chunk and n-gram (chunk, key) with grams_only, else a row for each chunk (chunk, documents, texts)."""
 
-    def row(hs, ids, langs, parts):
-        size = np.array([len(p) for p in parts], "<i8")
+    def row(hs, ids, langs, texts):
+        size = np.array([len(t) for t in texts], "<i8")
         name = xxhash.xxh64_intdigest(np.array(hs, "<i8").tobytes() + size.tobytes()) - (1 << 63)
         if grams_only:
-            seen = np.zeros(SIZE**N, bool)
-            for at in range(0, len(parts), 256):
-                seen[keys(parts[at : at + 256])] = True
-            found = np.flatnonzero(seen).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["chunk", "key"])
-        packed = zstandard.ZstdCompressor(level=3).compress(np.concatenate(parts).tobytes() if parts else b"")
+            key = np.zeros(0, np.int64)
+            for some in slices(texts, 1 << 22):
+                key = np.union1d(key, keys([symbols(t) for t in some]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name)), pa.array(key)], names=["chunk", "key"])
+        packed = zstandard.ZstdCompressor(level=3).compress("".join(texts).encode("utf-8", "surrogatepass"))
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([hs], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([size.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "hs", "ids", "langs", "sizes", "packed"])
 
-    hs, ids, langs, parts, size = [], [], [], [], 0
+    hs, ids, langs, texts, size = [], [], [], [], 0
     for b in batches:
         for h, i, lang, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-            x = classes(text or "")
-            if hs and size + len(x) > chunk:
-                yield row(hs, ids, langs, parts)
-                hs, ids, langs, parts, size = [], [], [], [], 0
+            text = text or ""
+            if hs and size + len(text) > chunk:
+                yield row(hs, ids, langs, texts)
+                hs, ids, langs, texts, size = [], [], [], [], 0
             hs.append(h)
             ids.append(i)
             langs.append(lang)
-            parts.append(x)
-            size += len(x)
+            texts.append(text)
+            size += len(text)
     if hs:
-        yield row(hs, ids, langs, parts)
+        yield row(hs, ids, langs, texts)
 
 
 def _answers(batches):
     for t, starts in sorted_groups(batches, ["chunk"]):
         for s, e in zip(starts, [*starts[1:], t.num_rows]):
             g = t.slice(s, e - s)
-            yield pa.RecordBatch.from_arrays([g["chunk"].slice(0, 1).combine_chunks(), pa.array([g["key"].to_numpy().astype("<i4").tobytes()]), pa.array([np.log(g["p"].to_numpy()).astype("<f4").tobytes()])], names=["chunk", "keys", "logs"])
+            small = zstandard.ZstdCompressor(level=3).compress(np.diff(g["key"].to_numpy(), prepend=0).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([g["chunk"].slice(0, 1).combine_chunks(), pa.array([small]), pa.array([np.log(g["p"].to_numpy()).astype("<f4").tobytes()])], names=["chunk", "keys", "logs"])
+
+
+class Logs:
+    """Log probabilities by key: a slot for each hash, and a search for keys that lost theirs."""
+
+    def __init__(self, answers: list[dict]):
+        key = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(np.frombuffer(zstandard.decompress(x["keys"]), "<i8")) for x in answers]])
+        log = np.concatenate([np.zeros(0, "<f4"), *[np.frombuffer(x["logs"], "<f4") for x in answers]])
+        self.key, first = np.unique(key, return_index=True)
+        self.log = log[first]
+        bits = len(self.key).bit_length() + 3
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self.slot(self.key)] = np.arange(len(self.key))
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        at = self.slots[self.slot(key)]
+        lost = np.flatnonzero(self.key[at] != key)
+        at[lost] = np.searchsorted(self.key, key[lost])
+        return self.log[at]
 
 
 def _score(batches):
-    log = np.zeros(SIZE**N, np.float32)
     for b in batches:
-        for x in b.to_pylist():
-            if x["keys"] is None and x["packed"] and any(np.frombuffer(x["sizes"], "<i8")):
-                raise ValueError("a chunk of documents was read in another order the second time: store the table first")
-            log[np.frombuffer(x["keys"] or b"", "<i4")] = np.frombuffer(x["logs"] or b"", "<f4")
+        for k in range(b.num_rows):
+            x = b.slice(k, 1).to_pylist()[0]
             sizes = np.frombuffer(x["sizes"], "<i8")
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["packed"], max_output_size=max(int(sizes.sum()), 1)), np.uint8)
-            parts = np.split(flat, np.cumsum(sizes)[:-1])
-            total = []
-            for at in range(0, len(parts), 256):
-                some = parts[at : at + 256]
-                v = np.concatenate([[0.0], np.cumsum(log[keys(some)], dtype=np.float64)])
-                ends = np.cumsum([len(p) for p in some])
-                total += (v[ends] - v[ends - [len(p) for p in some]]).tolist()
+            text, ends = zstandard.decompress(x["packed"]).decode("utf-8", "surrogatepass"), np.cumsum(sizes).tolist()
+            if text and not x["answers"]:
+                raise ValueError("a chunk of documents was read in another order the second time: do not pass stored=True")
+            logs, total = Logs(x["answers"] or []), []
+            for some in slices([text[e - n : e] for e, n in zip(ends, sizes.tolist())]):
+                parts = [symbols(t) for t in some]
+                size = [len(p) for p in parts]
+                v = np.concatenate([[0.0], np.cumsum(logs[key], dtype=np.float64)]) if len(key := keys(parts)) else np.zeros(1)
+                to = np.cumsum(size)
+                total += (v[to] - v[to - size]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x["hs"], pa.int64()), pa.array(x["ids"], pa.int64()), pa.array(x["langs"], pa.string()), pa.array(sizes), pa.array(total, pa.float64())], names=["h", "doc_id", "lang", "n", "log_p"])
 
 
@@ -189,18 +206,22 @@ def log_probabilities(docs: DataFrame, trusted: DataFrame, chunk: int = 1 << 24)
     """(h, doc_id, lang, n, log_p) of every document; h tells rows with other ids or texts apart."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "lang", "text")
     model = train(trusted)
-    asked = save(rows.mapInArrow(lambda it: _chunks(it, chunk, True), "chunk long, key int"), "asked")
+    asked = save(rows.mapInArrow(lambda it: _chunks(it, chunk, True), "chunk long, key long"), "asked")
     known = probabilities(asked.select("key").distinct(), model)
-    answers = asked.join(known, "key").select("chunk", "key", "p").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_answers, "chunk long, keys binary, logs binary")
+    answers = asked.join(known, "key").select("chunk", "key", "p").sortWithinPartitions("chunk", "key").mapInArrow(_answers, "chunk long, keys binary, logs binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("keys", "logs")).alias("answers"))  # a chunk's n-grams
     packed = rows.mapInArrow(lambda it: _chunks(it, chunk, False), "chunk long, hs array<long>, ids array<long>, langs array<string>, sizes binary, packed binary")
-    return save(packed.join(answers, "chunk", "left").select("hs", "ids", "langs", "sizes", "packed", "keys", "logs").mapInArrow(_score, "h long, doc_id long, lang string, n long, log_p double"), "scores")
+    return save(packed.join(answers, "chunk", "left").select("hs", "ids", "langs", "sizes", "packed", "answers").mapInArrow(_score, "h long, doc_id long, lang string, n long, log_p double"), "scores")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, low: float = 0.5, high: float = 0.95, width: float = 2.0, prior: int = 200, chunk: int = 1 << 24) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior: int = 200, chunk: int = 1 << 24, stored: bool = False) -> DataFrame:
     """(doc_id, h, lang, n_chars, log_perplexity, score, threshold, keep) of every document.
 
     trusted_ids (doc_id): the documents that teach the model and set the quantiles.
     """
+    docs = docs.select("doc_id", "lang", "text")
+    if not stored:
+        docs = save(docs, "docs")
     spark = docs.sparkSession
     ids = trusted_ids.select("doc_id")
     # a Bloom filter of the trusted ids, of bounded size, drops most other texts before they are shuffled for the exact join;
@@ -216,13 +237,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, low: float = 0.5, high: fl
             spark.conf.set(k, v)
     scores = scores.withColumn("raw", F.when(F.col("n") > 0, -F.col("log_p") / F.col("n")))
     of_trusted = scores.where("raw is not null").join(ids, "doc_id", "left_semi")
-    sizes = "percentile_approx({0}, array(0.5, {1}, {2}), 10000)"
     medians = of_trusted.groupBy("lang").agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("median"))
     everywhere = of_trusted.agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("all_median"))
     drawn = (F.col("raw") * F.col("n") + F.col("median") * prior) / (F.col("n") + prior)
     shrunk = lambda df: df.join(F.broadcast(everywhere)).join(medians.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("median", F.coalesce("median", "all_median")).withColumn("score", drawn)
-    marks = shrunk(of_trusted).groupBy("lang").agg(F.expr(sizes.format("score", low, high)).alias("q"))
-    marks = save(marks.select(F.col("lang").alias("l2"), (F.col("q")[2] + width * (F.col("q")[2] - F.col("q")[1])).alias("threshold")), "thresholds")
+    marks = shrunk(of_trusted).groupBy("lang").agg(F.expr(f"percentile_approx(score, {high}, 10000)").alias("threshold"))
+    marks = save(marks.select(F.col("lang").alias("l2"), "threshold"), "thresholds")
     any_mark = marks.agg(F.max("threshold").alias("most"))
     out = shrunk(scores).join(marks, F.col("lang").eqNullSafe(F.col("l2")), "left").join(F.broadcast(any_mark)).withColumn("threshold", F.coalesce("threshold", "most"))
     return out.select("doc_id", "h", "lang", F.col("n").alias("n_chars"), F.col("raw").alias("log_perplexity"), "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("keep"))
@@ -230,6 +250,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, low: float = 0.5, high: fl
 
 def keep(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """The rows of docs that classify keeps; all columns."""
-    out = classify(docs, trusted_ids, **options).where(~F.col("keep")).select(F.col("h").alias("_out_h"), F.col("doc_id").alias("_out_id")).distinct()
-    rows = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return rows.join(out, (F.col("_row_key") == F.col("_out_h")) & F.col("doc_id").eqNullSafe(F.col("_out_id")), "left_anti").select(*docs.columns)
+    key, out_h, out_id = fresh(docs, "row_key"), fresh(docs, "out_h"), fresh(docs, "out_id")
+    out = classify(docs, trusted_ids, **options).where(~F.col("keep")).select(F.col("h").alias(out_h), F.col("doc_id").alias(out_id)).distinct()
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return rows.join(out, (F.col(key) == F.col(out_h)) & F.col("doc_id").eqNullSafe(F.col(out_id)), "left_anti").select(*docs.columns)
