@@ -48,8 +48,12 @@ def test_secrets_match_brute_force(spark):
 
 
 def brute_guesses(value):
-    """The same shortest path by exhaustive recursion over all cuts, for short values."""
+    """The cheapest of all segmentations, every segment by its definition."""
     cut = np.log10(2)
+    rows = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
+
+    def step(a, b):
+        return next((d for r in rows for d in (1, -1) if a in r and b in r and r.index(b) - r.index(a) == d), 0)
 
     def segment(s):
         low = s.lower()
@@ -60,6 +64,13 @@ def brute_guesses(value):
             costs.append(secrets.RANK[plain] + cut * (2 + (s != low)))
         if secrets.DATE.fullmatch(low):
             costs.append(4.6 + cut)
+        for unit in range(1, 9):
+            times = len(s) // unit
+            if times * unit == len(s) and times >= (3 if unit == 1 else 2) and s == s[:unit] * times:
+                costs.append(unit + np.log10(times) + cut)
+        steps = [step(a, b) for a, b in zip(low, low[1:])]
+        if len(s) >= 3 and all(steps):
+            costs.append(1.7 + cut * (1 + (len(s) > 4) + sum(a != b for a, b in zip(steps, steps[1:]))))
         return min(costs)
 
     best = [0.0]
@@ -68,11 +79,27 @@ def brute_guesses(value):
     return best[-1]
 
 
-@pytest.mark.parametrize("value", ["password", "Password", "p4ssw0rd", "xkpassword", "born1987-03-04", "zq7Rv", "monkey2001dragon"])
+@pytest.mark.parametrize("value", [
+    "password", "Password", "p4ssw0rd", "xkpassword", "born1987-03-04", "zq7Rv", "monkey2001dragon", "jjjjjjordan", "qwertyuiopassword", "qwertyuio", "qwertrewq", "asdfdsasdf",
+    "abcabcabcabcat", "passssssss", "xxxxxxxxpassword", "1111112000", "20002000", "QWErtyuiOP", "zxcvbnmonkey", "ababababa", "poiuytrewqqqqq", "abcdefghabcdefgh!",
+])
 def test_guess_cost_is_the_shortest_path(value):
     assert secrets.guesses(value) == pytest.approx(brute_guesses(value), abs=1e-9)
 
 
+def test_guess_cost_is_the_shortest_path_of_random_values():
+    rnd = random.Random(12)
+    parts = ["pass", "word", "qwerty", "asdf", "fdsa", "aaaa", "abab", "xyz", "1999", "20010203", "!", "K", "jordan", "ss", "0o0", "ddd", "lkjh", "monkey"]
+    for _ in range(300):
+        value = "".join(rnd.choice(parts) * rnd.choice([1, 1, 1, 2, 3]) for _ in range(rnd.randint(1, 5)))[:40]
+        assert secrets.guesses(value) == pytest.approx(brute_guesses(value), abs=1e-9), value
+        value = "".join(rnd.choice("abq") for _ in range(rnd.randint(1, 30)))
+        assert secrets.guesses(value) == pytest.approx(brute_guesses(value), abs=1e-9), value
+    for k in (0, 3, 7):  # one run, entered by words at several places
+        value = "x" * k + "pass" + "s" * 25 + "secret" + "t" * 14
+        assert secrets.guesses(value) == pytest.approx(brute_guesses(value), abs=1e-9), value
+
+
 def test_guess_cost_orders_passwords():
     g = secrets.guesses
     assert g("aaaaaaaaaa") < g("abcabcabcabc") < g("x9$kQ2vB71z")
@@ -96,7 +123,7 @@ def test_whole_context_values_are_spans(text, value):
 
 
 @pytest.mark.parametrize("n", [201, 100_000])
-@pytest.mark.parametrize("text", ["pwd={} end", "auth: '{}' end", 'private_key="{}" end', "secret: '{} end", "postgres://app:{}@db/x", "postgres://" + "user" * 20 + ":{}@db/x"])
+@pytest.mark.parametrize("text", ["pwd={} end", "auth: '{}' end", 'private_key="{}" end', "secret: '{} end", "postgres://app:{}@db/x", "postgres://" + "user" * 20 + ":{}@db/x", "a-very-long-scheme-of-some-kind+ssl://app:{}@db/x"])
 def test_values_of_any_length_are_whole(n, text):
     rnd = random.Random(n)
     value = "".join(rnd.choice("abcXYZ0189+_-%") for _ in range(n))
@@ -126,6 +153,13 @@ def test_passwords_in_urls_are_spans(text, value):
 
 
 def test_redaction_keeps_rows_and_hides_secrets(spark):
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcXYZ0189#$") for _ in range(10_000))
+    planted = [f"pwd: {long} end", f'auth = "{long}"', f"amqp://me:{long[:60].replace('#', '_')}@host", f"secret={long[:240]}"]
+    assert [secrets.masked(t, 6.0) for t in planted[:3]] == ["pwd: [secret:guess] end", 'auth = "[secret:guess]"', "amqp://me:[secret:guess]@host"]
+    assert all(long[-9:] not in secrets.masked(t, 6.0) for t in planted) and long[230:240] not in secrets.masked(planted[3], 6.0)
+    kinds = {r.doc_id: r.spans.split(":")[0] for r in secrets.scan(docs_of(spark, planted)).collect()}
+    assert kinds[0] == kinds[1] == kinds[2] == "guess"
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, [None, "clean", "token=abcdefgh12 end"])).collect()}
     assert (out[0].text, out[1].text, out[2].text) == (None, "clean", "[secret:assign] end")
     assert out[2].n_chars == len(out[2].text) and out[2].spans == "x"

@@ -33,7 +33,7 @@ CONTEXT = re.compile(
 #: A value after its context: quoted (with or without escapes), or up to white space.
 VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|"([^"\n]{6,})"|'([^'\n]{6,})'|"(?![^"\n]*")(\S{6,})|'(?![^'\n]*')(\S{6,})|(?!["'])(\S{6,})""")
 #: A password inside a URL ends at the last @ before a slash, question mark, hash or white space; without an @ it is a port.
-URL = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@?#]*:([^\s/?#"'<>]{6,})@""", re.I | re.A)
+URL = re.compile(r"""(?<=[a-z0-9+.-])://[^\s:/@?#]*:([^\s/?#"'<>]{6,})@""", re.I | re.A)
 HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "secret", "token", "apikey", "api_key")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Frequent passwords and words in them, most frequent first.
@@ -61,65 +61,97 @@ def corpus_words() -> list[str]:
 RANK = {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *corpus_words()]))}
 LONGEST = max(map(len, RANK))
 HEADS = {w[:3] for w in RANK}
-NEXT_TO = {(row[k], row[k + d]) for row in ROWS for k in range(len(row)) for d in (1, -1) if 0 <= k + d < len(row)}
+#: Neighbours on a row of the keyboard, and to which side the step goes.
+STEP = {(row[k], row[k + d]): d for row in ROWS for k in range(len(row)) for d in (1, -1) if 0 <= k + d < len(row)}
+UNITS = range(1, 9)  # lengths of what an attacker repeats
+
+
+class Starts:
+    """Where a repeat that ends here best starts: of starts i with cost b, the least b + log10(end - i).
+
+    A later start is the better one at first, if at all, and an earlier one from some end on; so a stack that keeps those
+    ends in order has the best start on top, and each start enters and leaves it once.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[int, float]] = []
+
+    @staticmethod
+    def turn(a: tuple[int, float], b: tuple[int, float]) -> float:
+        """The end from which the earlier start a is as good as b, which costs more."""
+        return b[0] + (b[0] - a[0]) / (10 ** min(b[1] - a[1], 300.0) - 1)
+
+    def add(self, i: int, cost: float) -> None:
+        stack, new = self.stack, (i, cost)
+        while stack and (cost <= stack[-1][1] or (len(stack) > 1 and self.turn(stack[-1], new) >= self.turn(stack[-2], stack[-1]))):
+            stack.pop()
+        stack.append(new)
+
+    def best(self, end: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and self.turn(stack[-2], stack[-1]) <= end:
+            stack.pop()
+        return stack[-1][1] + math.log10(end - stack[-1][0])
 
 
 def guesses(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes: a shortest path over its positions.
 
-    Each segment also costs log10(2), for the attacker has to try where the next one starts. A brute-force character costs
-    one digit, a word its rank and its variants, a date 4.6, a repeat its unit and count, a keyboard walk 1.7 and its turns.
+    Each segment but brute force also costs log10(2), for the attacker has to try where the next one starts. A brute-force
+    character costs one digit, a word its rank and its variants, a date 4.6, a repeat its unit (of up to 8 characters) and
+    log10 of its count, a keyboard walk along a row 1.7, and log10(2) for each turn and if it is longer than 4. Segments may
+    end anywhere: a long repeat or walk may be left for a word. The work grows with the length, not its square.
     """
-    n = len(value)
-    low, cut = value.lower(), math.log10(2)
-    plain = low.translate(LEET)
+    n, cut = len(value), math.log10(2)
+    low = value.lower()
+    plain = low.translate(LEET) if len(low) == n else low
+    if len(low) != n:  # a letter that lowers to two: words and walks are sought as it stands
+        low = plain = value
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for k in range(n):
-        if low[k].isdigit():
-            dates[k] = [m.end() for end in (k + 4, k + 8, k + 10) if (m := DATE.fullmatch(low, k, min(n, end)))]
-    far = {unit: [0] * (n + 1) for unit in (2, 3, 4)}  # how many characters from k on equal those one unit later
-    for unit, equal in far.items():
-        for k in range(n - unit - 1, -1, -1):
-            equal[k] = equal[k + 1] + 1 if value[k] == value[k + unit] else 0
-    turned = [0] * (n + 1)  # how often walks turn before k
-    for k in range(n):
-        turn = k > 1 and low[k] != low[k - 2] and (low[k - 1], low[k]) in NEXT_TO and (low[k] > low[k - 1]) != (low[k - 1] > low[k - 2])
-        turned[k + 1] = turned[k] + turn
-    run = 0  # end of the walk that starts at or before k
-    same = 0  # end of the run of one character
-    for k in range(n):
-        here = best[k]
-
-        def reach(end: int, cost: float) -> None:
-            best[end] = min(best[end], here + cost)
-
-        reach(k + 1, 1.0)  # noqa: B023
-        starts = plain[k : k + 3] in HEADS or low[k : k + 3] in HEADS
-        for end in range(k + 3, min(n, k + LONGEST) + 1) if starts else ():
-            word = plain[k:end]
-            if word in RANK or low[k:end] in RANK:
-                shape = value[k:end]
-                reach(end, RANK.get(low[k:end], RANK.get(word, 0)) + cut * (1 + (shape != shape.lower()) + (low[k:end] not in RANK)))
-        for end in dates.get(k, ()):
-            reach(end, 4.6 + cut)
-        if same <= k:
-            same = k + 1
-            while same < n and value[same] == value[k]:
-                same += 1
-        if same - k >= 3:
-            reach(same, 1.0 + math.log10(same - k) + cut)
-        for unit in (2, 3, 4):
-            times = 1 + far[unit][k] // unit
-            if times > 1:
-                reach(k + unit * times, unit + math.log10(times) + cut)
-        if run <= k:
-            run = k + 1
-            while run < n and (low[run - 1], low[run]) in NEXT_TO:
-                run += 1
-        if run - k >= 3:
-            turns = turned[run] - turned[k + 2]
-            reach(run, 1.7 + cut * (run - k > 4) + turns * cut + cut)
+    starts = {u: [Starts() for _ in range(u)] for u in UNITS}
+    same = dict.fromkeys(UNITS, 0)  # how many characters up to here equal those one unit before
+    turned = [0] * (n + 2)  # turns of walks before a position
+    side, walk_from, walked = 0, 0, math.inf
+    for end in range(n + 1):
+        if end:
+            here = value[end - 1]
+            for u in UNITS:
+                if end <= u or here != value[end - 1 - u]:
+                    if same[u]:
+                        same[u], starts[u] = 0, [Starts() for _ in range(u)]
+                    continue
+                same[u] += 1
+                least = u * (3 if u == 1 else 2)
+                if same[u] >= least - u:
+                    of = starts[u][end % u]
+                    of.add(end - least, best[end - least])
+                    best[end] = min(best[end], of.best(end) - math.log10(u) + u + cut)
+            step = STEP.get((low[end - 2], low[end - 1]), 0) if end > 1 else 0
+            turned[end] = turned[end - 1] + (step * side < 0)
+            side = step
+            if not step:
+                walk_from, walked = end - 1, math.inf
+            for k in (end - 3, end - 4):
+                if k >= walk_from:
+                    best[end] = min(best[end], best[k] + 1.7 + cut * (1 + (end - k > 4) + turned[end] - turned[k + 2]))
+            if (k := end - 5) >= walk_from:
+                walked = min(walked, best[k] - cut * turned[k + 2])
+                best[end] = min(best[end], walked + 1.7 + cut * (2 + turned[end]))
+            best[end] = min(best[end], best[end - 1] + 1)
+        here = best[end]
+        if plain[end : end + 3] in HEADS or low[end : end + 3] in HEADS:
+            for to in range(end + 3, min(n, end + LONGEST) + 1):
+                if (word := low[end:to]) in RANK:
+                    cost = RANK[word] + cut * (1 + (value[end:to] != word))
+                elif (word := plain[end:to]) in RANK:
+                    cost = RANK[word] + cut * (2 + (value[end:to] != low[end:to]))
+                else:
+                    continue
+                best[to] = min(best[to], here + cost)
+        if low[end : end + 1].isdigit():
+            for to in (end + 4, end + 8, end + 10):
+                if to <= n and DATE.fullmatch(low, end, to):
+                    best[to] = min(best[to], here + 4.6 + cut)
     return best[n]
 
 
