@@ -167,13 +167,15 @@ def test_redaction_keeps_rows_and_hides_secrets(spark):
 
 def test_licences(spark):
     mit = licenses.TEMPLATES["MIT"][1]
-    texts = EDGES + ["Intro line.\nReleased under the MIT License.\nrest", mit, "\n".join(mit.split(", ")), "released under mit", "Licensed under the Apache License, Version 2.0"]
+    texts = EDGES + ["Intro line.\nReleased under the MIT License.\nrest", mit, "\n".join(mit.split(", ")), "released under mit", "Licensed under the Apache License, Version 2.0", "prose here\nAll rights reserved.\nmore", "Copyright me, all RIGHTS reserved, and so on"]
     got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
     n = len(EDGES)
     assert all(got[k].license is None and got[k].n_license_lines == 0 for k in range(n))
     assert (got[n].license, got[n].line, got[n].dice) == ("MIT", 2, 1.0)
     assert got[n + 1].license == "MIT" and (got[n + 2].license, got[n + 2].line) == ("MIT", 0)
     assert got[n + 3].license is None and got[n + 4].license == "Apache-2.0"
+    assert (got[n + 5].license, got[n + 5].line) == ("Proprietary", 2) and got[n + 6].licenses == "Proprietary:1.000000:1"
+    assert [r.license for r in licenses.scan(docs_of(spark, texts), templates={}).collect()] == [None] * len(texts)
 
 
 def test_licences_inside_longer_texts(spark):

@@ -36,7 +36,7 @@ TEMPLATES = {
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "Proprietary": ["All rights reserved. No part of this work may be reproduced without permission."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 for _name in ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0"):
