@@ -1,8 +1,10 @@
 """Operators on single texts against brute force: secrets, licences, byte-level BPE, toxicity, quality."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -269,6 +271,60 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert scores[20.0] < 0.5 < scores[0.0]
 
 
+@pytest.mark.parametrize("group", ["muslime", "juifs", "gitanos"])
+def test_identity_terms_of_every_language_are_swapped(spark, group):
+    rows = [(k, t.replace("muslim", group), y) for k, t, y in labelled(1500, True)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic long").drop("toxic"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic long")
+    one = toxicity.scorer(*toxicity.fit(docs, labels, fairness=20.0))
+    assert one(f"my {group} house") < 0.5 < one("you moron of the river")
+
+
+def test_the_model_is_the_same_on_any_number_of_parts(spark):
+    rows = labelled(600, True)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic long").drop("toxic"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic long")
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 4, 7)]
+    assert all((m[0] == models[0][0]).all() and (m[1] == models[0][1]).all() for m in models)
+
+
+def test_fit_equals_a_plain_loop():
+    rnd = random.Random(3)
+    rows, width = [], 6
+    for _ in range(40):
+        own, named = sorted(rnd.sample(range(width), rnd.randint(0, 4))), rnd.random() < 0.4
+        twin = sorted(rnd.sample(range(width), rnd.randint(0, 4))) if named else own
+        rows.append({"y": rnd.randint(0, 1), "own": np.array(own, "<i4").tobytes(), "twin": np.array(twin, "<i4").tobytes(), "named": named, "sets": (own, twin)})
+    w, seen = [0.1] * (width + 1), [1e-8] * (width + 1)
+    for _ in range(20):
+        g = [1e-3 * x for x in w[:-1]] + [0.0]
+        for r in rows:
+            own, twin = r["sets"]
+            z = sum(w[k] for k in own) + w[-1]
+            miss = (1 / (1 + math.exp(-z)) - r["y"]) * (2.0 if r["y"] else 1.0) / len(rows)
+            moved = 3.0 * (z - sum(w[k] for k in twin) - w[-1]) / len(rows) if r["named"] else 0.0
+            for k in own:
+                g[k] += miss + moved
+            for k in twin:
+                g[k] -= moved
+            g[-1] += miss
+        seen = [a + x * x for a, x in zip(seen, g)]
+        w = [a - 0.3 * x / math.sqrt(b) for a, x, b in zip(w, g, seen)]
+    got = toxicity.improve(np.full(width + 1, 0.1), rows, 3.0, 1e-3, 20, 2.0)
+    assert got == pytest.approx(np.array(w), abs=1e-9)
+
+
+def test_held_out_rows_teach_nothing(spark):
+    ids = [None, 0, 1, 5, 17, 123456789, -3]
+    got = spark.createDataFrame([(x,) for x in ids], "doc_id long").select(toxicity.held_out(F.col("doc_id")).alias("h")).collect()
+    assert [r.h for r in got] == [x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in ids]
+    rows = labelled(400, False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic long").drop("toxic")
+    models = []
+    for flip in (0, 1):  # labels of held-out rows turned round change nothing
+        labels = spark.createDataFrame([(k, y ^ (flip and zlib.crc32(str(k).encode()) % 5 == 0)) for k, _, y in rows], "doc_id long, toxic long")
+        models.append(toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id")))))
+    assert all((a == b).all() for a, b in zip(*models))
+
+
 def test_toxicity_edges(spark):
     rows = labelled(300, False)
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic long").drop("toxic"), spark.createDataFrame([(k, y) for k, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic long")
