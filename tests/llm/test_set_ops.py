@@ -142,8 +142,32 @@ def test_top_k_few_ties_and_empty(spark):
     assert topk.top_k(vectors.limit(0), vectors).count() == 0
 
 
+def test_top_k_counts_every_row(spark):
+    """Rows that share a vec_id are candidates, and queries, of their own."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k) % 30, v) for k, v in enumerate(rng.standard_normal((90, 6)))] + [(100, [300.0] * 6), (101, [-200.0, 1e5, 0, 0, 0, 0]), (10, rng.standard_normal(6))] * 2
+    vectors = vectors_of(spark, rows)
+    ints = [np.floor(256 * np.asarray(v, np.float32).astype(float)).astype(int) for _, v in rows]
+    want = []
+    for q, (i, _) in enumerate(rows):
+        if i % 10 == 0:
+            best = sorted((-int(ints[q] @ ints[c]), j, c) for c, (j, _) in enumerate(rows) if c != q)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j, _) in enumerate(best)]
+    for blocks in ((4096, 1024), (7, 3)):
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id % 10 = 0"), 5, *blocks).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(2)
+    for d in (3, 1024, 5000):
+        a, b = rng.integers(-127, 128, (20, d)), np.full((20, d), 127)
+        assert (embdup.products(a.astype(np.float32), b.astype(np.float32)) == a @ b.T).all()
+
+
 @pytest.mark.parametrize("tile", [4096, 16])
-def test_embedding_near_duplicates(spark, tile):
+def test_embedding_near_duplicates(spark, tile, monkeypatch):
+    monkeypatch.setattr(embdup, "DOUBTS", 10)
     rows = odd_vectors(260, 16, 3)
     got = {r.vec_id: r for r in embdup.near_duplicates(vectors_of(spark, rows), 0.9, tile).collect()}
     x = {i: np.asarray(v, np.float64) for i, v in rows if usable(v)}

@@ -1,7 +1,9 @@
 """Near-duplicate vectors by cosine: int8 tile products with error bounds, full precision only where the bound leaves doubt.
 
 Unit vectors are written as scale * int8 + rest, with the length of the rest known for each vector. For unit x, y with
-approximations x', y' the product errs by |x'||y - y'| + |x - x'||y| at most. A tile is up to `tile` vectors near one of a
+approximations x', y' the product errs by |x'||y - y'| + |x - x'||y| at most. The products of int8 components are summed
+exactly (in single precision no sum of 1,024 of them leaves its 24 bits; longer vectors are summed in such stretches), and
+scales are applied in double precision, so nothing but that bound and double rounding stands between x'y' and xy. A tile is up to `tile` vectors near one of a
 few fixed directions; pairs of tiles whose centres and radii rule out the threshold are dropped before anything is shipped.
 The first pass ships int8 tiles only: pairs surely above the threshold are counted, pairs surely below dropped, and the
 rest named. The second pass ships double-precision tiles for the tile pairs that have such a rest and decides it.
@@ -26,7 +28,9 @@ from tidepool.llm.topk import _rows
 DIRECTIONS = 16
 TILE = pa.schema([("d", pa.int32()), ("tile", pa.int32()), ("rows", pa.binary()), ("q", pa.binary()), ("se", pa.binary()), ("x", pa.binary()), ("centre", pa.list_(pa.float64())), ("far", pa.float64())])
 PAIR = pa.schema([("d", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("links", pa.binary()), ("edges", pa.binary()), ("doubt", pa.binary())])
-SLACK = 2e-6  # of single-precision tile products, and of rounding in the bounds
+SLACK = 1e-9  # far above what double rounding adds to products and bounds of up to a million components
+STRETCH = 1024  # 1024 * 127 * 127 < 2^24
+STRIP, DOUBTS = 512, 1 << 20  # rows multiplied at once; positions in doubt that are given out at once
 
 
 def quantised(batches):
@@ -89,27 +93,40 @@ class _Links:
         return _out(row, ra, rb if self.shift else rb[:0], self.count[: self.na], self.count[self.na :], np.stack([rows[self.i], rows[self.j]], axis=1), doubt)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers up to 127, as doubles."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], STRETCH):
+        out += a[:, at : at + STRETCH] @ b[:, at : at + STRETCH].T
+    return out
+
+
 def _first(batches, threshold: float):
     for row in _rows(batches):
         d, same = row["d"], row["a"] == row["b"]
         ra, rb = (np.frombuffer(row[f"{k}_rows"], "<i8") for k in "ab")
         qa, qb = (np.frombuffer(row[f"{k}_q"], np.int8).reshape(-1, d).astype(np.float32) for k in "ab")
         (sa, ea), (sb, eb) = (np.frombuffer(row[f"{k}_se"], np.float64).reshape(2, -1) for k in "ab")
-        links, doubt = _Links(len(ra), len(rb), same), []
-        ys = qb * sb[:, None].astype(np.float32)
-        for at in range(0, len(ra), 512):
-            e = ea[at : at + 512]
-            p = (qa[at : at + 512] * sa[at : at + 512, None].astype(np.float32)) @ ys.T
+        links, doubt, n = _Links(len(ra), len(rb), same), [], 0
+        for at in range(0, len(ra), STRIP):
+            e = ea[at : at + STRIP]
+            p = products(qa[at : at + STRIP], qb)
+            p *= sa[at : at + STRIP, None]
+            p *= sb[None, :]
             slack = (1 + e.max()) * eb.max() + e.max() + SLACK  # of the strip: cheap, and no smaller than any pair's
             i, j = np.nonzero(p >= threshold - slack)
             if same:
                 i, j = i[i + at < j], j[i + at < j]
             bound = (1 + e[i]) * eb[j] + e[i] + SLACK
-            v = p[i, j].astype(np.float64)
+            v = p[i, j]
             sure, maybe = v - bound >= threshold, (v - bound < threshold) & (v + bound >= threshold)
             links.add(i[sure] + at, j[sure])
             doubt.append((i[maybe] + at) * len(rb) + j[maybe])
-        yield links.batch(row, ra, rb, np.concatenate(doubt))
+            n += len(doubt[-1])
+            if n >= DOUBTS:
+                yield _out(row, ra[:0], rb[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2)), np.concatenate(doubt))
+                doubt, n = [], 0
+        yield links.batch(row, ra, rb, np.concatenate([np.zeros(0, np.int64), *doubt]))
 
 
 def _second(batches, threshold: float):

@@ -8,9 +8,13 @@ of width one is the kth value itself. A last round keeps scores at or above it;
 A block reports only bins at or above its own kth best score (the global kth value cannot lie below), and, of its ties at
 the kth value, only the k smallest ids. So it returns at most k counts, then at most 2k rows, for each query.
 
-Vectors that are null or hold null, NaN or infinite components take no part, nor do rows with a null vec_id. Vectors of
-different lengths are never compared. Of repeated rows with one vec_id the smallest vector counts. An empty table gives no
-rows; fewer than k candidates give all of them. Components must leave inner products below 2^53.
+Vectors travel as 16-bit integers where their components have room in them, and are multiplied in single precision where no
+product of two blocks can reach 2^24, in double precision elsewhere; both are exact.
+
+Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows with a null vec_id. Vectors
+of different lengths are never compared. Every row is a candidate, and every row with a queried vec_id a query of its own:
+rows that share a vec_id find each other, but no row finds itself. An empty table gives no rows; fewer than k candidates give
+all of them. Components must leave inner products below 2^53.
 """
 
 import numpy as np
@@ -21,77 +25,99 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import save, sorted_groups
 
 BINS = 1024
-BLOCK = pa.schema([("d", pa.int32()), ("block", pa.int32()), ("n_blocks", pa.int32()), ("ids", pa.binary()), ("m", pa.binary())])
+BLOCK = pa.schema([("d", pa.int32()), ("block", pa.int32()), ("n_blocks", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("m", pa.binary())])
+
+
+def _whole(batches):
+    for b in batches:
+        size = np.array([len(x) for x in b.column(2).to_pylist()])
+        for d in np.unique(size):
+            g = b.filter(pa.array(size == d))
+            v = np.floor(256 * np.stack(g.column(2).to_numpy(zero_copy_only=False)).astype(np.float64))
+            raw = [x.astype("<i2" if abs(x).max() < 1 << 15 else "<f8").tobytes() for x in v]
+            yield pa.RecordBatch.from_arrays([g.column(0), g.column(1), pa.array(np.full(len(v), d, np.int32)), pa.array(np.sqrt((v * v).sum(axis=1))), pa.array(raw, pa.binary())], names=["row", "vec_id", "d", "norm", "v"])
 
 
 def whole(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>, d): floor(256 x) of every vector that takes part, one row for each id."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and x is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
-    return v.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.expr("transform(x, c -> cast(floor(256 * c) as double))").alias("v"), F.size("x").alias("d"))
+    """(row, vec_id, d, norm, v binary): floor(256 x) of every vector that takes part."""
+    v = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    usable = v.where("vec_id is not null and x is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
+    return usable.mapInArrow(_whole, "row long, vec_id long, d int, norm double, v binary")
+
+
+def matrix(raw: list[bytes], d: int) -> np.ndarray:
+    """Vectors as rows of the narrower type that holds them all."""
+    if all(len(x) == 2 * d for x in raw):
+        return np.frombuffer(b"".join(raw), "<i2").reshape(-1, d)
+    return np.stack([np.frombuffer(x, "<i2" if len(x) == 2 * d else "<f8").astype("<f8") for x in raw])
 
 
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows dealt by hash into blocks of about `size`: one row a block with ids and vectors as bytes."""
+    """Rows dealt by hash into blocks of about `size`: one row a block with row numbers, ids and vectors as bytes."""
     counts = rows.groupBy("d").agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))  # a row for each length of vectors
-    dealt = rows.join(counts, "d").select("d", F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int").alias("block"), "n_blocks", "vec_id", "v").repartition("d", "block").sortWithinPartitions("d", "block", "vec_id")
+    dealt = rows.join(counts, "d").select("d", F.pmod(F.xxhash64("row"), "n_blocks").cast("int").alias("block"), "n_blocks", "row", "vec_id", "v").repartition("d", "block").sortWithinPartitions("d", "block", "vec_id", "row")
 
     def run(batches):
         for t, starts in sorted_groups(batches, ["d", "block"]):
             for s, e in zip(starts, [*starts[1:], t.num_rows]):
                 x = t.slice(s, e - s)
-                m = np.stack(x["v"].combine_chunks().to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_pylist([{"d": x["d"][0].as_py(), "block": x["block"][0].as_py(), "n_blocks": x["n_blocks"][0].as_py(), "ids": x["vec_id"].to_numpy().tobytes(), "m": m.astype("<f8").tobytes()}], BLOCK)
+                yield pa.RecordBatch.from_pylist([{"d": x["d"][0].as_py(), "block": x["block"][0].as_py(), "n_blocks": x["n_blocks"][0].as_py(), "rows": x["row"].to_numpy().tobytes(), "ids": x["vec_id"].to_numpy().tobytes(), "m": matrix(x["v"].to_pylist(), x["d"][0].as_py()).tobytes()}], BLOCK)
 
-    return save(dealt.mapInArrow(run, "d int, block int, n_blocks int, ids binary, m binary"), name)
+    return save(dealt.mapInArrow(run, "d int, block int, n_blocks int, rows binary, ids binary, m binary"), name)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, candidate_block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of each query, its own row left out."""
+    """(query_id, rank, vec_id, score): the k best candidates of each row whose vec_id is in queries, itself left out."""
     every = save(whole(vectors), "whole")
     cands = blocks(every, candidate_block, "candidates")
-    asks = blocks(every.join(queries.select(F.col("vec_id")).distinct(), "vec_id", "left_semi"), query_block, "queries")
+    asked = every.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
+    asks = blocks(asked, query_block, "queries")
     per_length = cands.groupBy("d").agg(F.max("n_blocks").alias("n_cand"))  # a row for each length
     pairs = (
         asks.join(per_length, "d")
-        .select("d", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.col("n_cand") - 1)).alias("cb"))
-        .join(cands.select("d", F.col("block").alias("cb"), F.col("ids").alias("c_ids"), F.col("m").alias("c_m")), ["d", "cb"])
+        .select("d", F.col("block").alias("qb"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.col("n_cand") - 1)).alias("cb"))
+        .join(cands.select("d", F.col("block").alias("cb"), F.col("rows").alias("c_rows"), F.col("ids").alias("c_ids"), F.col("m").alias("c_m")), ["d", "cb"])
     )
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    largest = every.groupBy("d").agg(F.ceil(F.max(norm(F.col("v")))).alias("c_norm"))
+    largest = every.groupBy("d").agg(F.max("norm").alias("c_norm"))
     nq = asks.groupBy("d").agg(F.max("n_blocks").alias("nq"))
     state = (
-        every.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-        .join(largest, "d")
+        asked.join(largest, "d")
         .join(nq, "d")
-        .select("d", F.pmod(F.xxhash64("vec_id"), "nq").cast("int").alias("qb"), F.col("vec_id").alias("query_id"), F.ceil(norm(F.col("v")) * F.col("c_norm") + 1).cast("long").alias("far"))
-        .select("d", "qb", "query_id", (-F.col("far")).alias("lo"), (2 * F.col("far") + 1).alias("width"), F.lit(k).cast("long").alias("need"))
+        .select("d", F.pmod(F.xxhash64("row"), "nq").cast("int").alias("qb"), "vec_id", "row", (F.ceil(F.col("norm") * F.col("c_norm")) + 1).cast("long").alias("far"))
+        .select("d", "qb", "vec_id", "row", (-F.col("far")).alias("lo"), (2 * F.col("far") + 1).alias("width"), F.lit(k).cast("long").alias("need"))
     )
     state = save(state, "state")
     while (state.agg(F.max("width")).first()[0] or 1) > 1:
-        counts = pairs.join(by_block(state), ["d", "qb"]).mapInArrow(lambda it: _count(it, k), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        above = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bin")))
-        found = counts.join(state, "query_id").withColumn("above", above).groupBy("d", "qb", "query_id", "lo", "width", "need").agg(F.min(F.when(F.col("above") >= F.col("need"), F.struct(F.col("above"), "bin", "n"))).alias("hit"))
+        counts = pairs.join(by_block(state), ["d", "qb"]).mapInArrow(lambda it: _count(it, k), "row long, bin int, n long").groupBy("row", "bin").agg(F.sum("n").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("row").orderBy(F.desc("bin")))
+        found = counts.join(state.select("row", "need"), "row").withColumn("above", above).groupBy("row").agg(F.min(F.when(F.col("above") >= F.col("need"), F.struct(F.col("above"), "bin", "n"))).alias("hit"))
         step = F.ceil(F.col("width") / BINS).cast("long")
         # without a hit there are fewer than k candidates: the smallest value of the range keeps them all
-        state = save(state.join(found.select("query_id", "hit"), "query_id", "left").select(
-            "d", "qb", "query_id", (F.col("lo") + F.coalesce(F.col("hit.bin"), F.lit(0)) * step).alias("lo"),
+        state = save(state.join(found, "row", "left").select(
+            "d", "qb", "vec_id", "row", (F.col("lo") + F.coalesce(F.col("hit.bin"), F.lit(0)) * step).alias("lo"),
             F.when(F.col("hit").isNull(), 1).otherwise(step).cast("long").alias("width"),
             F.when(F.col("hit").isNull(), F.col("need")).otherwise(F.col("need") - (F.col("hit.above") - F.col("hit.n"))).alias("need")), "state")
-    kept = pairs.join(by_block(state), ["d", "qb"]).mapInArrow(lambda it: _keep(it, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kept = pairs.join(by_block(state), ["d", "qb"]).mapInArrow(lambda it: _keep(it, k), "row long, query_id long, vec_id long, other long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "other"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def by_block(state: DataFrame) -> DataFrame:
-    """The state of a block's queries (at most about a block's size) as one row, in the order of their ids."""
-    return state.groupBy("d", "qb").agg(F.sort_array(F.collect_list(F.struct("query_id", "lo", "width", "need"))).alias("st")).select("d", "qb", *[F.col(f"st.{c}").alias(c) for c in ("lo", "width", "need")])
+    """The state of a block's queries (at most about a block's size) as one row, in the order of the block."""
+    return state.groupBy("d", "qb").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row", "lo", "width", "need"))).alias("st")).select("d", "qb", *[F.col(f"st.{c}").alias(c) for c in ("lo", "width", "need")])
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
-    s = np.frombuffer(row["q_m"], "<f8").reshape(len(q_ids), -1) @ np.frombuffer(row["c_m"], "<f8").reshape(len(c_ids), -1).T
-    s[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    return q_ids, c_ids, s
+    """Row numbers of the queries and of the candidates, and their scores: whole numbers, exact."""
+    q_rows, c_rows = np.frombuffer(row["q_rows"], "<i8"), np.frombuffer(row["c_rows"], "<i8")
+    q, c = (np.frombuffer(row[f"{x}_m"], "<i2" if len(row[f"{x}_m"]) == 2 * n * row["d"] else "<f8").reshape(n, -1) for x, n in (("q", len(q_rows)), ("c", len(c_rows))))
+    kind = np.float32 if row["d"] * max(float(abs(q.astype(float)).max()), 1) * max(float(abs(c.astype(float)).max()), 1) < 1 << 24 else np.float64
+    s = (q.astype(kind) @ c.astype(kind).T).astype(np.float64)
+    order = np.argsort(c_rows)
+    at = np.searchsorted(c_rows, q_rows, sorter=order).clip(max=len(c_rows) - 1)
+    own = np.flatnonzero(c_rows[order[at]] == q_rows)
+    s[own, order[at[own]]] = -np.inf
+    return q_rows, c_rows, s
 
 
 def _rows(batches):
@@ -102,7 +128,7 @@ def _rows(batches):
 
 def _count(batches, k: int):
     for row in _rows(batches):
-        q_ids, c_ids, s = _scores(row)
+        q_rows, _, s = _scores(row)
         lo, width = (np.array(row[x], np.int64)[:, None] for x in ("lo", "width"))
         s[s >= lo + width] = -np.inf  # counted already
         kth = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
@@ -110,15 +136,16 @@ def _count(batches, k: int):
         step = -(-width // BINS)
         bins = ((s[i, j] - lo[i, 0]) // step[i, 0]).astype(np.int64)
         key, n = np.unique(i * BINS + bins, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[key // BINS]), pa.array((key % BINS).astype(np.int32)), pa.array(n.astype(np.int64))], names=["query_id", "bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(q_rows[key // BINS]), pa.array((key % BINS).astype(np.int32)), pa.array(n.astype(np.int64))], names=["row", "bin", "n"])
 
 
 def _keep(batches, k: int):
     for row in _rows(batches):
-        q_ids, c_ids, s = _scores(row)
+        q_rows, c_rows, s = _scores(row)
+        q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
         kth = np.array(row["lo"], np.int64)[:, None]
         i, j = np.nonzero(s > kth)
         ti, tj = np.nonzero(s == kth)  # by query, then id: candidates are in the order of their ids
         nth = np.arange(len(ti)) - np.searchsorted(ti, ti)
         i, j = np.concatenate([i, ti[nth < k]]), np.concatenate([j, tj[nth < k]])
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(c_ids[j]), pa.array(s[i, j].astype(np.int64))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(q_rows[i]), pa.array(q_ids[i]), pa.array(c_ids[j]), pa.array(c_rows[j]), pa.array(s[i, j].astype(np.int64))], names=["row", "query_id", "vec_id", "other", "score"])
