@@ -71,7 +71,7 @@ def test_links_lose_no_component(spark, shard):
     want = groups(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     edges = simhash.link(spark.createDataFrame([(x,) for x in signed], "fp long"), shard=shard).collect()
-    assert all((x.a ^ x.b).bit_count() <= 3 or shard for x in edges)
+    assert all(0 < ((x.a ^ x.b) % (1 << 64)).bit_count() <= 3 for x in edges) and len(edges) < 10 * len(fps) * (-(-len(fps) // shard))
     at = {x: k for k, x in enumerate(signed)}
     assert groups(len(fps), [(at[x.a], at[x.b]) for x in edges]) == want
 
@@ -92,12 +92,46 @@ def test_near_duplicates_and_pipeline_form(spark):
     fps = [brute_fingerprint(t) for t in texts]
     want = groups(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
     assert [got[k] for k in range(len(texts))] == want
-    out = simhash.deduplicate(docs.unionByName(docs).unionByName(docs.selectExpr("cast(null as long) as doc_id", "'lone text of no name' as text", "lang", "source", "n_chars", "spans", "score", "keep")))
-    assert out.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, k) for k in sorted(set(want))] + [(True, None)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 == simhash.deduplicate(docs.limit(0)).count()
 
 
+def test_deduplicate_keeps_one_of_each_group(spark):
+    """Against the exact similarity of all pairs of word 5-shingle sets: 0.9 and more is linked, 0.65 and less is not."""
+    rnd = random.Random(11)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(60):
+        base = [rnd.choice(vocab) for _ in range(400)]
+        texts.append(" ".join(base))
+        for change in [[], [1], [2], [40], [60]][k % 5 : k % 5 + 1][0] if k % 3 else []:
+            copy = list(base)
+            for at in rnd.sample(range(0, 400), change):
+                copy[at] = "x" + copy[at]
+            texts.append(" ".join(copy).upper() if k % 2 else " ".join(copy))
+    texts += [texts[0], None, "", "few words", "few words", "few  WORDS", "lone text of a few more words"]
+    sets = [{" ".join(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in ((x or "").lower().split() for x in texts)]
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a) if sets[a] & sets[b]}
+    assert not [j for j in jaccard.values() if 0.65 < j < 0.9]
+    want = groups(len(texts), [x for x, j in jaccard.items() if j >= 0.9])
+    docs = docs_of(spark, texts).withColumnRenamed("spans", "row_key").withColumnRenamed("score", "kept_id")
+    for shard in (1000, 4):
+        out = simhash.deduplicate(docs, shard=shard)
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(want))
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id = 0").selectExpr("cast(null as long) as doc_id", "'lone text of no name' as text", *docs.columns[2:]))
+    assert sorted((r.doc_id is None, r.doc_id) for r in simhash.deduplicate(twice).collect()) == [(False, k) for k in sorted(set(want))] + [(True, None)]
+
+
+def test_minima_estimate_the_similarity():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.8, 0.95):
+        got = []
+        for _ in range(40):
+            n = int(1000 * share)
+            common, a, b = rng.integers(0, 1 << 63, n).astype("<u8") * 2, *(rng.integers(0, 1 << 63, (1000 - n) // 2).astype("<u8") * 2 for _ in "ab")
+            got.append((simhash.minima(np.concatenate([common, a])) == simhash.minima(np.concatenate([common, b]))).mean())
+        assert abs(np.mean(got) - share) < 0.03
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score double, n_links string"
 
 

@@ -1,11 +1,16 @@
 """SimHash near-duplicates: fingerprints of word shingles, links within a Hamming radius found by sharded BK-trees.
 
-`fingerprints` makes one 64-bit fingerprint per row. `link` shards the distinct fingerprints so that every pair within
-the radius meets: split 64 bits into radius + 2 blocks; a pair within the radius agrees on two of them at least, so each
-fingerprint goes to the shard of every pair of blocks. A shard is a BK-tree (children keyed by their Hamming distance to
-the parent); a query follows only edges within the radius of its own distance. Shards above `shard` rows are cut into
-trees of about that size, and their rows meet every tree of the shard, block against block, so no task holds a large group.
-Each task returns a spanning forest of the links it found, never the pairs, so thousands of near copies stay linear.
+A shard is a BK-tree (children keyed by their Hamming distance to the parent); a query follows only edges within the radius
+of its own distance. Shards above `shard` rows are cut into trees of about that size, and their rows meet every tree of the
+shard, block against block, so no task holds a large group. Each task returns a spanning forest of the links it found, never
+the pairs, so what thousands of near copies return stays linear. There are two ways to shard:
+
+- `link` (small radius, exact): split 64 bits into radius + 2 blocks; a pair within the radius agrees on two of them at least,
+  so each fingerprint goes to the shard of every pair of blocks, and every pair within the radius meets.
+- `deduplicate` (similar texts, whose fingerprints may differ in many bits): a text's shingles give 128 minima (the smallest
+  hash from each of 128 even steps on); texts go to the shard of every 4 minima in turn. Texts that share 80 % of their shingles
+  meet in one of 32 shards but for a chance of 10^-7. Links found there need an estimated similarity too: the share of equal
+  minima (standard error 0.035). That keeps texts whose fingerprints are near by chance.
 
 Null text counts as empty. A text without words has fingerprint zero and links like any other. Of fewer words than a
 shingle, the whole sequence is the shingle. Repeated rows have distance zero. An empty table gives no rows. A null doc_id
@@ -18,25 +23,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import components, local_roots, save, sorted_groups
+from tidepool.llm.common import components, fresh, local_roots, save, sorted_groups
 
+MINIMA, BAND = 128, 4
 
-def fingerprint(text: str, words: int) -> int:
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hash of each shingle, repeats included."""
     tokens = text.encode().lower().split()  # bytes: A-Z only, and white space is space and 0x09 to 0x0D
-    if not tokens:
-        return 0
     joined = memoryview(b" ".join(tokens))
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(size + 1) - 1
     starts, k = ends - size, max(len(tokens) - words, 0)
     hash64 = xxhash.xxh64_intdigest
-    h = np.array([hash64(joined[a:b], 42) for a, b in zip(starts[: k + 1].tolist(), ends[-k - 1 :].tolist())], "<u8")
+    return np.array([hash64(joined[a:b], 42) for a, b in zip(starts[: k + 1].tolist(), ends[-k - 1 :].tolist())], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, words: int) -> int:
+    return majority(shingles(text, words))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The smallest hash from each of 128 even steps on; past the last hash, from the first."""
+    u = np.unique(h)
+    steps = np.arange(MINIMA, dtype=np.uint64) << np.uint64(57)
+    return u[np.searchsorted(u, steps) % len(u)] if len(u) else np.zeros(MINIMA, "<u8")
+
+
 def row_key() -> F.Column:
     """Tells documents with other ids or texts apart, together with doc_id."""
     return F.xxhash64("doc_id", "text")
@@ -79,11 +100,24 @@ class BKTree:
         return found
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links (i[x], j[x]) among n positions make a spanning forest."""
+    root, chosen = np.arange(n), np.zeros(0, np.int64)
+    while len(cross := np.flatnonzero(root[i] != root[j])):
+        first = np.full(n, len(i))
+        np.minimum.at(first, root[i[cross]], cross)
+        np.minimum.at(first, root[j[cross]], cross)
+        chosen = np.union1d(chosen, first[first < len(i)])
+        root = local_roots(n, i[chosen], j[chosen])
+    return chosen
+
+
 def block_edges(fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (fp, root) among the rows of one block: all, or those of one tree against those of another."""
+    """Positions of the spanning links within the radius among the rows of one block: all, or those of one tree against
+    those of another."""
     if len(fps) == 2:
         near = int(np.bitwise_count(fps[:1].view(np.uint64) ^ fps[1:].view(np.uint64))[0]) <= radius
-        return (fps[:1], fps[1:]) if near else (fps[:0], fps[:0])
+        return np.arange(0, int(near)), np.arange(1, 1 + int(near))
     one = own == own[0]
     tree_at = np.flatnonzero(one)
     query_at = tree_at if one.all() else np.flatnonzero(~one)
@@ -94,9 +128,9 @@ def block_edges(fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarr
         near = tree.within(values[q], radius)
         i += [q] * len(near)
         j += near
-    root = local_roots(len(fps), np.array(i, np.int64), tree_at[np.array(j, np.int64)])
-    moved = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[moved], fps[root[moved]]
+    i, j = np.array(i, np.int64), tree_at[np.array(j, np.int64)]
+    kept = forest(len(fps), i, j)
+    return i[kept], j[kept]
 
 
 def link(distinct: DataFrame, radius: int = 3, shard: int = 1000) -> DataFrame:
@@ -106,51 +140,94 @@ def link(distinct: DataFrame, radius: int = 3, shard: int = 1000) -> DataFrame:
     masks = [((1 << at[k + 1]) - (1 << at[k])) for k in range(blocks)]
     keys = [masks[x] | masks[y] for x in range(blocks) for y in range(x + 1, blocks)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    shards = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("k")) for k, m in enumerate(keys)])).alias("x")).select("fp", "x.c", "x.k")
+    shards = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("k")) for k, m in enumerate(keys)])).alias("x"))
+    return link_in_shards(shards.select("x.c", "x.k", F.col("fp").alias("node"), "fp"), radius, shard)
+
+
+def link_in_shards(shards: DataFrame, radius: int, shard: int) -> DataFrame:
+    """(a, b): spanning links between nodes of one shard (c, k) whose fp are within the radius."""
     large = save(shards.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > shard), "large-shards")
     trees = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / shard).cast("int")
     rows = (
         shards.join(large, ["c", "k"], "left")
-        .select("c", "k", "fp", trees.alias("g"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), "g").cast("int"))
+        .select("c", "k", "node", "fp", trees.alias("g"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), "g").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+        .select("c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp")
     )
 
     def run(batches):
         for rows, starts in sorted_groups(batches, ["c", "k", "i", "j"]):
-            fps, own = rows["fp"].to_numpy(), rows["own"].to_numpy()
+            fps, own, node = (rows[x].to_numpy() for x in ("fp", "own", "node"))
             ends = np.append(starts[1:], len(fps))
-            out = [block_edges(fps[s:e], own[s:e], radius) for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1])]
+            out = []
+            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                i, j = block_edges(fps[s:e], own[s:e], radius)
+                out.append((node[s:e][i], node[s:e][j]))
             if out := [x for x in out if len(x[0])]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], names=["a", "b"])
 
     return rows.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _grouped(docs: DataFrame, words: int, radius: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, h, fp), the root of each fingerprint (fp, root), the first row of each root (root, first)."""
-    prints = save(fingerprints(docs, words), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
-    distinct = save(prints.groupBy("fp").agg(first), "distinct")
-    roots = components(link(distinct, radius, shard))
-    rooted = save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
-    return prints, rooted.select("fp", "root"), save(rooted.groupBy("root").agg(F.min("first").alias("first")), "smallest")
+def first_row() -> F.Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shard: int = 1000) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable by links."""
-    prints, rooted, smallest = _grouped(docs, words, radius, shard)
-    named = save(rooted.join(smallest, "root").select("fp", F.col("first.doc_id").alias("component_id")), "named")
+    prints = save(fingerprints(docs, words), "fingerprints")
+    distinct = save(prints.groupBy("fp").agg(first_row()), "distinct")
+    roots = components(link(distinct, radius, shard))
+    rooted = save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+    smallest = save(rooted.groupBy("root").agg(F.min("first").alias("first")), "smallest")
+    named = save(rooted.select("fp", "root").join(smallest, "root").select("fp", F.col("first.doc_id").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3, shard: int = 1000) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id; all columns."""
-    kept = _grouped(docs, words, radius, shard)[2].select("first.*").select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"))
-    rows = docs.withColumn("_row_key", row_key())
-    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_key") == F.col("_kept_h")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_row_key"]).select(*docs.columns)
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, h, node, fp, minima binary, bands) of every row; node names the set of shingles."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column(2).to_pylist():
+                h = shingles(text or "", words)
+                m = minima(h)
+                node = xxhash.xxh64_intdigest(np.unique(h).tobytes(), 7) - (1 << 63)
+                bands = [xxhash.xxh64_intdigest(m[at : at + BAND].tobytes()) - (1 << 63) for at in range(0, MINIMA, BAND)]
+                out.append((node, majority(h), (m >> np.uint64(20)).astype("<u2").tobytes(), bands))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))], names=["doc_id", "h", "node", "fp", "minima", "bands"])
+
+    return docs.select("doc_id", row_key().alias("h"), "text").mapInArrow(run, "doc_id long, h long, node long, fp long, minima binary, bands array<long>")
+
+
+def _similar(batches, least: float):
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, MINIMA) for k in (2, 3))
+        yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
+
+def similar(docs: DataFrame, words: int, radius: int, similarity: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, node) of every row, and (node, root) of linked nodes."""
+    prints = save(sketches(docs, words), "sketches")
+    distinct = save(prints.groupBy("node").agg(F.min(F.struct("fp", "minima", "bands")).alias("x")).select("node", "x.*"), "distinct")
+    shards = distinct.select("node", "fp", F.posexplode("bands").alias("c", "k"))
+    found = save(link_in_shards(shards.select("c", "k", "node", "fp"), radius, shard).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    side = lambda k: distinct.select(F.col("node").alias(k), F.col("minima").alias(f"{k}_minima"))
+    both = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_minima", "b_minima")
+    return prints.select("doc_id", "h", "node"), components(both.mapInArrow(lambda it: _similar(it, similarity), "a long, b long"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, radius: int = 16, similarity: float = 0.8, shard: int = 1000) -> DataFrame:
+    """One row of docs for each group of similar texts, that of the smallest doc_id; all columns."""
+    prints, roots = similar(docs, words, radius, similarity, shard)
+    rooted = prints.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "h")
+    kept_id, kept_h, key = fresh(docs, "kept_id"), fresh(docs, "kept_h"), fresh(docs, "row_key")
+    kept = save(rooted.groupBy("root").agg(first_row()).select("first.*").select(F.col("doc_id").alias(kept_id), F.col("h").alias(kept_h)), "kept")
+    one = docs.withColumn(key, row_key()).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_h)), "left_semi")
+    return one.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def hex16(fp) -> F.Column:
