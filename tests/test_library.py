@@ -2,17 +2,23 @@
 
 import hashlib
 import json
+import os
+import pathlib
+import re
+import shutil
+import subprocess
+import sys
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import ids, score, text, vector
-from tidepool.operators import context, filters, mutations, privacy, search
+from tidepool.operators import context, filters, importing, mutations, privacy, search
 from tidepool.operators.knn import knn
 from tidepool.sources import archive, imports
+from tidepool.sources.stored import shared_dir
 from tidepool.sources.tables import SCHEMAS
 
 NOW = 1706745600000
@@ -256,4 +262,87 @@ def test_every_oracle_names_a_query():
     import __spark_entry__ as entry
 
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) > 100 and isinstance(pd.DataFrame(), pd.DataFrame)
+    assert set(sql) <= set(queries) and len(queries) > 100
+
+
+def test_an_archive_comes_in_whole_or_not_at_all(spark, tmp_path):
+    m = memories(spark, *[memory(k, text=f"t{k}") for k in range(6)])
+    kinds = "id string, content string, scope string, source_client string, metadata string, created_at long, forgotten boolean"
+    e = spark.createDataFrame([(f"e{k}", f"c{k}", "s", "k", "{}", NOW, False) for k in range(3)], kinds)
+    path = f"{tmp_path}/archive"
+    archive.export(m, e, path)
+    recorded = archive.manifest(spark, path).cache()
+    half, told = m.where("seq < 3"), e.where("id = 'e0'")
+    got = importing.import_archive(spark, path, recorded, half, told, NOW)
+    assert {(r.table, r.outcome): r.n for r in got.counts.collect()} == {("memories", "duplicate_id"): 3, ("memories", "imported"): 3, ("episodes", "duplicate_id"): 1, ("episodes", "imported"): 2}
+    assert got.memories.count() == 6 and got.episodes.count() == 3 and not got.memories.where("id = 'm5' and (approved or origin <> 'import')").count()
+    for tampered in (recorded.withColumn("sha256", F.reverse("sha256")), recorded.where("file like 'mem%'"), recorded.withColumn("version", F.lit(9))):
+        with pytest.raises(importing.ArchiveRefused, match="manifest"):
+            importing.import_archive(spark, path, tampered, half, told, NOW)
+    with pytest.raises(importing.ArchiveRefused, match="cap"):
+        importing.import_archive(spark, path, recorded, half, told, NOW, most_bytes=10)
+    for line, why in (("{}", "id missing"), ("no json", "not JSON"), ('{"id": "x", "text": 7}', "text missing")):
+        worse = f"{tmp_path}/{why.replace(' ', '-')}"
+        archive.export(m, e, worse)
+        (pathlib.Path(worse) / "memories" / "part-extra.json").write_text(line + "\n")
+        with pytest.raises(importing.ArchiveRefused, match=why):
+            importing.import_archive(spark, worse, archive.manifest(spark, worse), half, told, NOW)
+    assert half.count() == 3 and told.count() == 1
+
+
+def test_ids_of_either_case():
+    low = "01890a5d-ac96-774b-bcce-b302099a8057"
+    assert all(re.search(ids.FORM, x) for x in (low, low.upper())) and not re.search(ids.FORM, low[:-1])
+
+
+def test_upper_case_ids_hold_the_same_time(spark):
+    row = spark.createDataFrame([("01890a5d-ac96-774b-bcce-b302099a8057",)], "id string").select(ids.id_ms(F.col("id")).alias("a"), ids.id_ms(F.upper("id")).alias("b")).first()
+    assert row.a == row.b is not None
+
+
+def test_blocks_for_every_query(spark):
+    rows = [memory(k, text=f"the river walk {k}", scope="a" if k % 2 else "b", importance=k / 10) for k in range(6)]
+    m = memories(spark, *rows)
+    q = spark.createDataFrame([("q1", "river", None), ("q2", "nothing like it", None), ("q3", "", None), ("q4", None, "a"), ("q5", " ", "none")], "query_id string, query string, scope string").withColumn("embedding", F.lit(None).cast("array<float>"))
+    vectors = spark.createDataFrame([("x", 2, 1, [1.0, 0.0])], "model_id string, dim int, seq long, embedding array<float>")
+    got = {r.query_id: r for r in context.get_context(q, m, search.postings(m), search.index_stats(m), vectors, NOW).collect()}
+    assert set(got) == {"q1", "q2", "q3", "q4", "q5"}
+    assert got["q1"].n_kept and got["q1"].degraded and got["q1"].reason == "embedding_failed"
+    assert (got["q2"].text, got["q2"].ids, got["q2"].tokens, got["q2"].truncated, got["q2"].degraded) == ("", [], 0, False, True)
+    assert len(got["q3"].ids) == 6 and {int(x[1:]) % 2 for x in got["q4"].ids} == {1} and not got["q4"].degraded and got["q5"].ids == []
+
+
+def test_episodes_follow_their_memories(spark):
+    m = memories(spark, memory(1, text="a", episode_id="e1"), memory(2, text="b", episode_id="e1"), memory(3, text="c", episode_id="e2"))
+    e = spark.createDataFrame([("e1", False), ("e2", False)], "id string, forgotten boolean")
+    name = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    state, told, _ = mutations.forget_with_episodes(m, e, name("m1", "m3"), NOW)
+    assert {r.id: r.forgotten for r in told.collect()} == {"e1": False, "e2": True}
+    assert {r.id: r.forgotten for r in mutations.restore_with_episodes(state, told, name("m3"))[1].collect()} == {"e1": False, "e2": False}
+
+
+def test_a_shared_folder_is_asked_for_on_clusters():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_the_rest_works_without_the_training_operators(tmp_path):
+    """The folder of the numbered operators and the pipeline may be taken away."""
+    here = pathlib.Path(__file__).parent.parent
+    for name in ("tidepool", "__spark_entry__.py"):
+        (shutil.copytree if (here / name).is_dir() else shutil.copy)(here / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "tidepool" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)

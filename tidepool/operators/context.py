@@ -10,22 +10,29 @@ from tidepool.operators.filters import eligible, has_all_tags, live
 BUDGET = 800
 
 
-def importance_pool(memories: DataFrame, size: int = 200) -> DataFrame:
+def importance_pool(memories: DataFrame, size: int = 200, by: str = "scope") -> DataFrame:
     """The most important rows of each scope, newer ones first among equals."""
-    return search.top(memories, size, F.desc("importance"), F.desc("created_at"), F.desc("id"), by="scope", rank="place")
+    return search.top(memories, size, F.desc("importance"), F.desc("created_at"), F.desc("id"), by=by, rank="place")
 
 
-def recency_pool(memories: DataFrame, size: int = 200) -> DataFrame:
-    return search.top(memories, size, F.desc("created_at"), F.desc("id"), by="scope", rank="place")
+def recency_pool(memories: DataFrame, size: int = 200, by: str = "scope") -> DataFrame:
+    return search.top(memories, size, F.desc("created_at"), F.desc("id"), by=by, rank="place")
 
 
 def blank_pool(queries: DataFrame, memories: DataFrame, now: int, tags: list[str] | None = None, exclude_unapproved: bool = True, size: int = 200, limit: int = 50) -> DataFrame:
-    """For queries (query_id, scope) without words: newest and most important rows of the scope, re-ranked without relevance."""
+    """For queries (query_id, scope) without words: newest and most important rows of the scope, or of all scopes for a query
+    without one, re-ranked without relevance."""
     rows = live(memories) if not tags else live(memories).where(has_all_tags(tags))
     rows = rows.where(eligible()) if exclude_unapproved else rows
-    pool = recency_pool(rows, size).unionByName(importance_pool(rows, size)).drop("place").dropDuplicates(["id"])
-    scored = pool.withColumn("parts", score.parts(F.lit(0.0), now)).withColumn("score", F.round(score.blend(F.col("parts")), 9))
-    return search.top(queries.select("query_id", "scope").join(scored, "scope"), limit, F.desc("score"), F.col("id"))
+
+    def pool(of: DataFrame, by: str) -> DataFrame:
+        both = recency_pool(of, size, by).unionByName(importance_pool(of, size, by)).drop("place").dropDuplicates(["id"])
+        return both.withColumn("parts", score.parts(F.lit(0.0), now)).withColumn("score", F.round(score.blend(F.col("parts")), 9))
+
+    scoped = queries.where("scope is not null").select("query_id", "scope").join(pool(rows, "scope"), "scope")
+    everywhere = pool(rows.withColumn("_all", F.lit(0)), "_all").drop("_all")  # twice `size` rows at most
+    open_ones = queries.where("scope is null").select("query_id").join(F.broadcast(everywhere))
+    return search.top(scoped.unionByName(open_ones), limit, F.desc("score"), F.col("id"))
 
 
 def budget(c: Column | None) -> Column:
@@ -61,11 +68,15 @@ def entry_lines(rows: DataFrame) -> DataFrame:
 
 
 def get_context(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataFrame, vectors: DataFrame | None, now: int, exclude_unapproved: bool = True, **options) -> DataFrame:
-    """The block of every query (query_id, query, embedding, scope, token_budget): blank queries get their scope's pool."""
+    """The block of every query (query_id, query, embedding, scope, token_budget), an empty one where nothing was found, with
+    `degraded` and its reason. Blank queries get their scope's pool, or that of all scopes, and are never degraded."""
     words = F.size(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(text.TOKEN), F.lit(0))) > 0
     strict = {"candidate_limit": 200, "limit": 50, "min_relevance": 0.15, "min_coverage": 0.4, "max_distance": 0.15} | options
     hits = search.hybrid_search(queries.where(words), memories, index, stats, vectors, now, exclude_unapproved=exclude_unapproved, **strict)
     cols = ["query_id", "rank", "id", "scope", "created_at", "origin", "approved", "text"]
     blank = blank_pool(queries.where(~words), memories, now, exclude_unapproved=exclude_unapproved).select(cols)
     entries = entry_lines(hits.withColumn("rank", F.col("pick")).select(cols).unionByName(blank))
-    return pack(entries.select("query_id", "rank", "id", "line"), queries.select("query_id", "token_budget") if "token_budget" in queries.columns else None)
+    packed = pack(entries.select("query_id", "rank", "id", "line"), queries.select("query_id", "token_budget") if "token_budget" in queries.columns else None)
+    every = queries.select("query_id").join(packed, "query_id", "left").join(search.degraded(queries.where(words), vectors), "query_id", "left")
+    none = {"text": F.lit(""), "ids": F.array().cast("array<string>"), "n_kept": F.lit(0), "tokens": F.lit(0), "truncated": F.lit(False), "degraded": F.lit(False)}
+    return every.withColumns({c: F.coalesce(c, x) for c, x in none.items()})

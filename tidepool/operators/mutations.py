@@ -140,6 +140,18 @@ def update(memories: DataFrame, patches: DataFrame, now: int, mode: str = "on")
     return state, _outcomes(p, F.col("_out"))
 
 
+def forget_with_episodes(memories: DataFrame, episodes: DataFrame, changes: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, episodes, outcomes): forget, and flags on the episodes that have no memory left."""
+    state, out = forget(memories, changes, now)
+    return state, mark_episodes(episodes, state), out
+
+
+def restore_with_episodes(memories: DataFrame, episodes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, episodes, outcomes): restore, and the flags taken off episodes that have a memory again."""
+    state, out = restore(memories, changes)
+    return state, mark_episodes(episodes, state), out
+
+
 def forget(memories: DataFrame, changes: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     """Soft-deletes the rows named; those deleted already stay as they were."""
     c = _latest(changes).join(memories.select("id", F.col("deleted_at").alias("_del"), F.lit(True).alias("_there")), "id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import score, text
 from tidepool.operators.filters import eligible, has_all_tags, is_live
 from tidepool.operators.knn import knn
+from tidepool.sources.stored import stored
 
 K1, B = 1.2, 0.75
 RRF_K = 10
@@ -51,7 +52,7 @@ def bm25(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataF
     candidates (query_id, seq) or (seq), if given, hold the rows a query may find.
     """
     asked = query_terms(queries)
-    hits = phrase_postings(asked.select("phrase", "n_tokens").distinct(), index)
+    hits = stored(phrase_postings(asked.select("phrase", "n_tokens").distinct(), index), "hits")  # counted, then scored
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(stats)).select("phrase", "avgdl", F.greatest(odds, F.lit(1e-6)).alias("idf"))  # stats is one row
@@ -135,7 +136,7 @@ def mmr(candidates: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
         value, near, order = rows["score"].to_numpy(float), np.zeros(len(rows)), []
         free = np.ones(len(rows), bool)
         for _ in range(min(k, len(rows))):
-            gain = np.where(free, lam * value - (1 - lam) * near, -np.inf)
+            gain = np.where(free, np.round(lam * value - (1 - lam) * near, 9), -np.inf)
             at = int(np.argmax(gain))
             free[at] = False
             order.append(at)
@@ -178,6 +179,6 @@ def hybrid_search(queries: DataFrame, memories: DataFrame, index: DataFrame, sta
 
     The gate on unapproved rows stands before diversity and limit, so they cannot crowd out others.
     """
-    rows = ranked(queries, memories, index, stats, vectors, now, **options)
+    rows = stored(ranked(queries, memories, index, stats, vectors, now, **options), "ranked")  # for diversity, then for its picks
     with_vectors = rows.withColumn("embedding", F.lit(None).cast("array<float>")) if vectors is None else rows.join(vectors.select("seq", "embedding"), "seq", "left")
     return rows.join(mmr(with_vectors, limit, mmr_lambda), ["query_id", "id"])

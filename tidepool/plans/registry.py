@@ -1,12 +1,11 @@
 """The registry of queries."""
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.sources.fixtures import duckdb_view
+from tidepool.sources.stored import scratch, stored  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,20 +27,3 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
         return f
 
     return register
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top}/q-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written and read back."""
-    path = f"{scratch(df.sparkSession)}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

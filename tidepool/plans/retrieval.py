@@ -284,10 +284,20 @@ def r08(spark, d):
     return search.hybrid_search(*store(spark, d), NOW, mmr_lambda=1.0, **OPTIONS).select("query_id", "id", "pick")
 
 
-@query("R10")
+#: Diversity step by step: in each, the free candidate of the largest gain is placed, and the others' nearness to those placed grows.
+COSINE = "coalesce(list_cosine_similarity(e, first_value(e) OVER best), 0.0)"
+PICKS = f"""picks AS (SELECT query_id, 0 AS step, s.id, score, CAST(v.embedding AS DOUBLE[]) AS e, CAST(0 AS DOUBLE) AS near, 0 AS pick FROM scored s JOIN fx_memories m ON m.id = s.id LEFT JOIN fx_vectors v ON v.seq = m.seq
+UNION ALL SELECT query_id, step + 1, id, score, e, greatest(near, {COSINE}), CASE WHEN pick = 0 AND row_number() OVER best = 1 THEN step + 1 ELSE pick END FROM picks WHERE step < {{n}}
+WINDOW best AS (PARTITION BY query_id ORDER BY pick > 0, round(0.7 * score - 0.3 * near, 9) DESC, score DESC, id)),
+picked AS (SELECT query_id, id, score, CAST(pick AS INT) AS pick FROM picks WHERE step = {{n}} AND pick > 0)"""
+#: Memories, queries and the earlier tables are no part of the recursion; it only has to be announced.
+RECURSIVE = f"WITH RECURSIVE {LISTS.replace('WITH ', '', 1)}, {PICKS}"
+
+
+@query("R10", f"{RECURSIVE.replace('{n}', '10')} SELECT p.query_id, p.pick, p.id, round(p.score, 6) AS score, round(relevance, 6) AS relevance, round(recency, 6) AS recency, round(s.importance, 6) AS importance, round(access, 6) AS access, m.scope, m.origin, m.approved FROM picked p JOIN scored s ON s.query_id = p.query_id AND s.id = p.id JOIN fx_memories m ON m.id = p.id", ALL)
 def r10(spark, d):
     hits = search.hybrid_search(*store(spark, d), NOW, **OPTIONS)
-    return hits.select("query_id", "pick", "id", "score", *[F.col(f"parts.{p}").alias(p) for p in score.WEIGHTS], "scope", "origin", "approved")
+    return hits.select("query_id", "pick", "id", F.round("score", 6).alias("score"), *[F.round(f"parts.{p}", 6).alias(p) for p in score.WEIGHTS], "scope", "origin", "approved")
 
 
 @query("R11", "SELECT query_id, embedding IS NULL AS degraded, CASE WHEN embedding IS NULL THEN 'embedding_failed' END AS reason FROM fx_queries", ("queries",))
@@ -296,13 +306,16 @@ def r11(spark, d):
 
 
 POOL = f"""WITH ok AS (SELECT * FROM fx_memories WHERE {LIVE} AND (origin = 'user' OR approved)),
-pool AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, created_at DESC, id DESC) AS a, row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id DESC) AS b FROM ok),
-scored AS (SELECT *, round(0.25 * {DECAY.format(f'({NOW} - created_at)')} + 0.15 * importance + 0.1 * CASE WHEN last_accessed IS NULL THEN 0 ELSE {ACCESS} END, 9) AS score FROM pool WHERE a <= 200 OR b <= 200),
-blank AS (SELECT * FROM (SELECT *, concat('b-', scope) AS query_id, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 50)"""
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id DESC) AS a, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id DESC) AS b
+FROM (SELECT concat('b-', scope) AS query_id, * FROM ok UNION ALL SELECT 'b-*', * FROM ok)),
+pooled AS (SELECT *, round(0.25 * {DECAY.format(f'({NOW} - created_at)')} + 0.15 * importance + 0.1 * CASE WHEN last_accessed IS NULL THEN 0 ELSE {ACCESS} END, 9) AS score FROM pool WHERE a <= 200 OR b <= 200),
+blank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pooled) WHERE rank <= 50)"""
 
 
 def blank_queries(spark, d):
-    return fixtures.memories(spark, d).select(F.concat(F.lit("b-"), "scope").alias("query_id"), "scope").distinct()
+    """One for each scope, and one for all."""
+    scoped = fixtures.memories(spark, d).select(F.concat(F.lit("b-"), "scope").alias("query_id"), "scope").distinct()
+    return scoped.unionByName(spark.range(1).select(F.lit("b-*").alias("query_id"), F.lit(None).cast("string").alias("scope")))
 
 
 @query("R12", f"{POOL} SELECT query_id, id, round(score, 6) AS score, rank FROM blank", ("memories",))
@@ -311,13 +324,12 @@ def r12(spark, d):
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-PACKED = f"""WITH RECURSIVE {POOL.replace('WITH ', '', 1)},
-lines AS (SELECT query_id, rank, id, {LINE} AS line FROM blank),
-packed AS (SELECT query_id, CAST(0 AS BIGINT) AS rank, '' AS text, '' AS ids, false AS truncated FROM (SELECT DISTINCT query_id FROM lines)
+FOLDED = f"""packed AS (SELECT query_id, CAST(0 AS BIGINT) AS rank, '' AS text, '' AS ids, false AS truncated FROM (SELECT DISTINCT query_id FROM lines)
 UNION ALL SELECT p.query_id, p.rank + 1, CASE WHEN fits THEN longer ELSE p.text END, CASE WHEN fits THEN concat(p.ids, l.id, ',') ELSE p.ids END, p.truncated OR NOT fits
 FROM packed p JOIN lines l ON l.query_id = p.query_id AND l.rank = p.rank + 1, LATERAL (SELECT CASE WHEN p.text = '' THEN l.line ELSE concat(p.text, chr(10), l.line) END AS longer) x, LATERAL (SELECT ceil(strlen(longer) / 3) <= 800 AS fits) y),
-done AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS k FROM packed)
-SELECT query_id, sha256(text) AS text, ids, CAST(ceil(strlen(text) / 3) AS INT) AS tokens, truncated FROM done WHERE k = 1"""
+done AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS k FROM packed),
+block AS (SELECT query_id, sha256(text) AS text, ids, CAST(ceil(strlen(text) / 3) AS INT) AS tokens, truncated FROM done WHERE k = 1)"""
+PACKED = f"""WITH RECURSIVE {POOL.replace('WITH ', '', 1)}, lines AS (SELECT query_id, rank, id, {LINE} AS line FROM blank), {FOLDED} SELECT * FROM block"""
 
 
 @query("R13", PACKED, ("memories",))
@@ -331,12 +343,22 @@ def blocks(packed):
     return packed.select("query_id", F.sha2("text", 256).alias("text"), joined.alias("ids"), "tokens", "truncated")
 
 
-@query("R14")
+STRICT = RECURSIVE
+for _plain, _strict in (("<= 50)", "<= 200)"), ("rank <= 50 AND distance", "rank <= 200 AND distance"), ("coverage >= 0.2", "coverage >= 0.4"), ("strength >= 0.1)", "strength >= 0.15 AND (origin = 'user' OR approved))"), ("{n}", "50")):
+    STRICT = STRICT.replace(_plain, _strict)
+BLOCKS = f"""{STRICT}, {POOL.replace('WITH ', '', 1)},
+lines AS (SELECT query_id, rank, id, {LINE} AS line FROM blank UNION ALL SELECT query_id, CAST(pick AS BIGINT), p.id, {LINE.replace("'- [', id", "'- [', p.id")} FROM picked p JOIN fx_memories m ON m.id = p.id), {FOLDED}
+SELECT query_id, coalesce(text, sha256('')) AS text, coalesce(ids, '') AS ids, coalesce(tokens, 0) AS tokens, coalesce(truncated, false) AS truncated, degraded, CASE WHEN degraded THEN 'embedding_failed' END AS reason
+FROM (SELECT query_id, embedding IS NULL AS degraded FROM fx_queries UNION ALL SELECT DISTINCT concat('b-', scope), false FROM fx_memories UNION ALL SELECT 'b-*', false) LEFT JOIN block USING (query_id)"""
+
+
+@query("R14", BLOCKS, ALL)
 def r14(spark, d):
-    """A block for every benchmark text and for every scope's blank query."""
+    """A block for every benchmark text, for every scope's blank query, and for one without a scope."""
     q, *rest = store(spark, d)
     asked = q.withColumn("scope", F.lit(None).cast("string")).unionByName(blank_queries(spark, d).withColumn("query", F.lit("")).withColumn("embedding", F.lit(None).cast("array<float>")))
-    return blocks(context.get_context(asked, *rest, NOW, max_distance=1.0))
+    got = context.get_context(asked, *rest, NOW, max_distance=1.0)
+    return blocks(got).join(got.select("query_id", "degraded", "reason"), "query_id")
 
 
 @query("R15", f"{LISTS.replace('coverage >= 0.2', 'coverage >= 0').replace('distance <= 1.0', 'distance <= 2').replace('strength >= 0.1', 'strength >= 0')} SELECT query_id, id FROM scored", ALL)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import content_hash
-from tidepool.operators import embedding, mutations, stats
+from tidepool.operators import embedding, importing, mutations
 from tidepool.plans import retrieval
 from tidepool.plans.registry import SQL, query, scratch, stored
 from tidepool.plans.tables import ACTIVE, LIVE, READ, episodes, exported
@@ -78,12 +78,18 @@ def m03(spark, d):
     return out.join(new.select("id", "text", F.round("importance", 6).alias("importance")), "id")
 
 
-@query("M04", f"WITH {UNIQUE} SELECT id, CASE WHEN deleted_at IS NOT NULL THEN CASE WHEN valid_until IS NULL THEN 'ok' ELSE 'ok' END ELSE 'not_found' END AS restored, CASE WHEN deleted_at IS NULL THEN 'ok' ELSE 'not_found' END AS forgotten FROM state", ("memories",))
+@query("M04", f"""WITH {UNIQUE}, e AS (SELECT episode_id AS id, bool_and(deleted_at IS NOT NULL) AS gone FROM state WHERE episode_id IS NOT NULL GROUP BY 1)
+SELECT 'memory' AS kind, id, CASE WHEN deleted_at IS NOT NULL THEN 'ok' ELSE 'not_found' END AS restored, CASE WHEN deleted_at IS NULL THEN 'ok' ELSE 'not_found' END AS forgotten FROM state
+UNION ALL SELECT 'episode', f.episode_id, CASE WHEN e.id IS NULL THEN CAST(f.deleted_at IS NOT NULL AS STRING) ELSE 'false' END, CASE WHEN e.id IS NULL THEN CAST(f.deleted_at IS NOT NULL AS STRING) ELSE 'true' END FROM fx_memories f LEFT JOIN e ON e.id = f.episode_id WHERE f.episode_id IS NOT NULL""", ("memories",))
 def m04(spark, d):
-    """Every row restored, and every row forgotten, each from the same state."""
-    state = unique_state(spark, d)
-    back, gone = mutations.restore(state, state.select("id"))[1], mutations.forget(state, state.select("id"), NOW)[1]
-    return back.withColumnRenamed("outcome", "restored").join(gone.withColumnRenamed("outcome", "forgotten"), "id")
+    """Every row restored, and every row forgotten, each from the same state, and what becomes of the flags of episodes."""
+    state, told = unique_state(spark, d), episodes(spark, d)
+    _, back_told, back = mutations.restore_with_episodes(state, told, state.select("id"))
+    _, gone_told, gone = mutations.forget_with_episodes(state, told, state.select("id"), NOW)
+    rows = back.withColumnRenamed("outcome", "restored").join(gone.withColumnRenamed("outcome", "forgotten"), "id")
+    flag = lambda df, name: df.select("id", F.col("forgotten").cast("string").alias(name))
+    both = flag(back_told, "restored").join(flag(gone_told, "forgotten"), "id")
+    return rows.select(F.lit("memory").alias("kind"), "id", "restored", "forgotten").unionByName(both.select(F.lit("episode").alias("kind"), "id", "restored", "forgotten"))
 
 
 @query("M05", f"""WITH s AS (SELECT * FROM fx_memories WHERE {LIVE}),
@@ -122,39 +128,40 @@ def m09(spark, d):
     return mutations.purge(m, m.where("seq % 2 = 0").select("id")).select("id", "valid_until", "superseded_by")
 
 
-def archived(spark, d):
-    """An exported archive read back, positions in the order of ids."""
-    rows, _ = archive.read_memories(archive.lines(spark, exported(spark, d), "memories"))
-    extra = {"pos": F.substring("id", 2, 8).cast("long"), "seq": F.lit(1000000) + F.substring("id", 2, 8).cast("long"), "episode_id": F.lit(None).cast("string"), "redacted": F.lit(True), "content_hash": F.lit(None).cast("string"), "origin": F.lit("user"), "approved": F.lit(True)}
-    return stored(rows.withColumns(extra), "archived")
-
-
 def half_store(spark, d):
     return unique_state(spark, d).where("seq % 2 = 0")
 
 
+def imported(spark, d):
+    """The whole export taken into a store that has every other memory, with the episodes of those."""
+    half, path = half_store(spark, d), exported(spark, d)
+    told = episodes(spark, d).join(half.select(F.col("episode_id").alias("id")).distinct(), "id", "left_semi")
+    order = F.substring("id", 2, 8).cast("long")
+    return half, importing.import_archive(spark, path, archive.manifest(spark, path), half, told, NOW, order=order)
+
+
 OUTCOMES = f"""{UNIQUE}, half AS (SELECT * FROM state WHERE seq % 2 = 0), arch AS (SELECT *, {HASH.format('text')} AS content_hash FROM fx_memories WHERE deleted_at IS NULL),
 new AS (SELECT a.*, valid_until IS NULL AS alive, h.id IS NOT NULL AS taken FROM arch a LEFT JOIN (SELECT scope, content_hash, id FROM half WHERE {LIVE}) h ON h.scope = a.scope AND h.content_hash = a.content_hash WHERE a.id NOT IN (SELECT id FROM half)),
 firsts AS (SELECT scope, content_hash, min(seq) AS first FROM new WHERE alive AND NOT taken GROUP BY 1, 2),
-outcomes AS (SELECT n.id, CASE WHEN alive AND (taken OR seq > first) THEN 'duplicate_content' ELSE 'imported' END AS outcome FROM new n LEFT JOIN firsts f USING (scope, content_hash) UNION ALL SELECT id, 'duplicate_id' FROM arch WHERE id IN (SELECT id FROM half))"""
+outcomes AS (SELECT 'memories' AS "table", n.id, CASE WHEN alive AND (taken OR seq > first) THEN 'duplicate_content' ELSE 'imported' END AS outcome FROM new n LEFT JOIN firsts f USING (scope, content_hash) UNION ALL SELECT 'memories', id, 'duplicate_id' FROM arch WHERE id IN (SELECT id FROM half))"""
+TOLD = "SELECT 'episodes' AS \"table\", episode_id AS id, CASE WHEN episode_id IN (SELECT episode_id FROM half WHERE episode_id IS NOT NULL) THEN 'duplicate_id' ELSE 'imported' END AS outcome FROM fx_memories WHERE episode_id IS NOT NULL AND deleted_at IS NULL"
 
 
-@query("M10", f"WITH {OUTCOMES} SELECT id, outcome FROM outcomes", ("memories",))
+@query("M10", f"WITH {OUTCOMES} SELECT \"table\", id, outcome FROM outcomes UNION ALL {TOLD}", ("memories",))
 def m10(spark, d):
-    return mutations.import_memories(half_store(spark, d), episodes(spark, d), archived(spark, d), NOW)[1]
+    return imported(spark, d)[1].outcomes
 
 
 @query("J11", f"WITH {OUTCOMES} SELECT id, 'import' AS origin, false AS approved, {NOW} AS created_at FROM outcomes WHERE outcome = 'imported'", ("memories",))
 def j11(spark, d):
     """What an import adds: rows whose id and live text the store did not have, as unapproved imports."""
-    half = half_store(spark, d)
-    state, _ = mutations.import_memories(half, episodes(spark, d), archived(spark, d), NOW)
-    return state.join(half.select("id"), "id", "left_anti").select("id", "origin", "approved", "created_at")
+    half, got = imported(spark, d)
+    return got.memories.join(half.select("id"), "id", "left_anti").select("id", "origin", "approved", "created_at")
 
 
-@query("A09", f"WITH {OUTCOMES} SELECT 'memories' AS \"table\", outcome, count(*) AS n FROM outcomes GROUP BY outcome", ("memories",))
+@query("A09", f"WITH {OUTCOMES} SELECT \"table\", outcome, count(*) AS n FROM (SELECT \"table\", outcome FROM outcomes UNION ALL SELECT \"table\", outcome FROM ({TOLD})) GROUP BY 1, 2", ("memories",))
 def a09(spark, d):
-    return stats.import_counts(m10(spark, d).withColumn("table", F.lit("memories")))
+    return imported(spark, d)[1].counts
 
 
 @query("M11", f"WITH {UNIQUE}, e AS (SELECT doc_id, source AS scope, {HASH.format('text')} AS h, row_number() OVER (PARTITION BY source, {HASH.format('text')} ORDER BY doc_id) AS k FROM documents) SELECT 0 AS would_refuse, count(*) FILTER (k > 1 OR t.id IS NOT NULL) AS would_skip, count(*) FILTER (k = 1 AND t.id IS NULL) AS would_import FROM e LEFT JOIN (SELECT * FROM state WHERE seq % 2 = 0 AND {LIVE}) t ON t.scope = e.scope AND t.content_hash = e.h", ("memories",))
