@@ -300,9 +300,17 @@ def test_compaction(spark, tmp_path):
     assert store.versions() == done[-1:] and store.read().count() == rows.count()
 
 
+def test_sweep_takes_what_no_version_names(spark, tmp_path):
+    store = compaction.Store(spark, f"{tmp_path}/data/store")
+    store.append(spark.range(5).coalesce(1))
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/data/store/data/a-dead")
+    assert store.sweep() == 0 and store.sweep(older_than_s=-60) >= 1
+    assert store.read().count() == 5 and not list((tmp_path / "data/store/data/a-dead").glob("*.parquet"))
+
+
 def test_compaction_by_arrival_keeps_columns(spark, tmp_path):
     store = compaction.Store(spark, f"{tmp_path}/store")
-    rows = docs_of(spark, ["a", None, "c"])
+    rows = docs_of(spark, ["a", None, "c"]).withColumnRenamed("spans", "_arrival")
     store.append(rows, arrival="text")
     assert sorted(r.doc_id for r in store.read().collect()) == [0, 1, 2] and set(store.read().columns) == set(rows.columns)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the white space that the pattern's \s means, spelled out.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-KEPT = 1 << 18  # pieces whose ids a worker remembers; it starts anew beyond
+KEPT = 1 << 18  # pieces whose ids, and pairs of tokens whose fit, a worker remembers; it starts anew beyond
 
 
 def spelled_out(pattern: str) -> str:
@@ -56,6 +56,8 @@ class Encoder:
     def fit(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b as they stand side by side."""
         if (known := self.fits.get((a, b))) is None:
+            if len(self.fits) >= KEPT:
+                self.fits.clear()
             known = self.fits[a, b] = self._fit(a, b)
         return known
 

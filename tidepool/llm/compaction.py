@@ -13,7 +13,8 @@ that a shard lacks is null there, and compaction keeps the columns of every arri
 A version is committed by giving a finished file its name, which fails if the name exists: by a hard link in local folders,
 elsewhere by a rename, which HDFS refuses if the name exists; on file systems where a rename replaces, one writer at a time
 is required. A writer that lost the race reads the newer version and tries again. Shards that no version names are
-invisible, so a job that dies or repeats tasks leaves the store as it was. `vacuum` deletes shards that only old versions name.
+invisible, so a job that dies or repeats tasks leaves the store as it was. `vacuum` deletes shards that only old versions name,
+`sweep` those that no version names and that are too old for a running job to commit them yet.
 
 Rows are kept as they are: nulls, repeats, and any columns. An append of no rows commits a version without new shards. A
 store without shards cannot be read: `read` then raises ValueError.
@@ -21,12 +22,15 @@ store without shards cannot be read: `read` then raises ValueError.
 
 import json
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
+from tidepool.llm.common import fresh
+
 
 def union(a: DataType, b: DataType, exact: bool, name: str = "") -> DataType:
     """The type that holds both: structs field by field, first those of a. ValueError where other types differ."""
@@ -128,9 +132,10 @@ class Store:
         """Writes rows as new shards, each task's its own; `arrival`, a column's name, also parts them by its values."""
         self._with(self._manifest(), rows.schema)
         run = f"a-{uuid.uuid4().hex}"
-        out = rows if arrival is None else rows.withColumn("_arrival", F.col(arrival))
+        part = fresh(rows, "_arrival")
+        out = rows if arrival is None else rows.withColumn(part, F.col(arrival))
         writer = out.write.option("compression", "zstd")
-        (writer if arrival is None else writer.partitionBy("_arrival")).parquet(f"{self.path}/data/{run}")
+        (writer if arrival is None else writer.partitionBy(part)).parquet(f"{self.path}/data/{run}")
         return self.commit(self._written(run), set(), rows.schema)
 
     def _read(self, shards: list[dict], schema: StructType) -> DataFrame:
@@ -184,3 +189,14 @@ class Store:
         for p in gone:
             self._fs.delete(self._path(f"{self.path}/{p}"), False)
         return len(gone)
+
+    def sweep(self, older_than_s: float = 7 * 24 * 3600.0) -> int:
+        """Deletes what jobs that died left under data/: files of that age that no version names; how many."""
+        live = {s["path"] for v in self.versions() for s in self.shards(v)}
+        gone, files = 0, self._fs.listFiles(self._path(f"{self.path}/data"), True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString()
+            if "data/" + name.split(f"{self._path(self.path).toUri().getPath()}/data/", 1)[1] not in live and f.getModificationTime() <= (time.time() - older_than_s) * 1000:
+                gone += bool(self._fs.delete(f.getPath(), False))
+        return gone
