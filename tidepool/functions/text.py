@@ -38,8 +38,9 @@ FOLD_FROM, FOLD_TO = _fold_table()
 
 
 def fold(c: Column) -> Column:
-    """Without accents, in lower case."""
-    return F.lower(F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[\u0300-\u036f]", ""))
+    """Without accents, in lower case. Texts in ASCII have no accents to look for."""
+    bare = F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[\u0300-\u036f]", "")
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), bare).otherwise(c))
 
 
 @F.pandas_udf(StringType())

@@ -5,8 +5,10 @@ through an equi-join on block numbers, and a block pair returns at most k rows f
 the vectors themselves is queries x k for each block, whatever the corpus size, and nothing is broadcast or collected.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,12 @@ def _packed(rows: DataFrame, size: int, key: str) -> DataFrame:
     return dealt.groupBy("space", "block", "n_blocks").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "embedding"))).alias("rows"))
 
 
-def _distances(q: list, v: list) -> np.ndarray:
-    def unit(rows):
-        m = np.array([r["embedding"] for r in rows], np.float64)
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    return np.round(1 - unit(q) @ unit(v).T, 9)
+def _block(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a block and its vectors as rows of length one, zero vectors as they are; no value becomes a Python object but string keys."""
+    keys, vectors = (cell.values.field(name) for name in ("key", "embedding"))
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return keys.to_numpy(zero_copy_only=False), np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, max_distance: float = 2.0, query_block: int = 512, vector_block: int = 8192) -> DataFrame:
@@ -59,16 +60,16 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int, query_block: int, ve
     n = vectors.groupBy("space").agg(F.ceil(F.count("*") / vector_block).cast("int").alias("n"))
     pairs = q.join(n, "space").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(v.select("space", "block", "rows"), ["space", "block"])
 
-    def nearest(batches):
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for asked, rows in zip(b["asked"], b["rows"]):
-                d, ids, seqs = _distances(asked, rows), [r["key"] for r in asked], np.array([r["key"] for r in rows], np.int64)
-                out = []
-                for i, row in enumerate(d):
+            for asked, rows in zip(b.column(0), b.column(1)):
+                (ids, q), (seqs, v) = _block(asked), _block(rows)
+                d, best = np.round(1 - q @ v.T, 9), []
+                for row in d:
                     near = np.argpartition(row, k - 1)[:k] if len(row) > k else np.arange(len(row))
                     near = np.flatnonzero(row <= row[near].max())  # ties at the edge, then cut by seq
-                    near = near[np.lexsort((seqs[near], row[near]))][:k]
-                    out.append(pd.DataFrame({"query_id": ids[i], "seq": seqs[near], "distance": row[near]}))
-                yield pd.concat(out)
+                    best.append(near[np.lexsort((seqs[near], row[near]))][:k])
+                at, col = np.repeat(np.arange(len(d)), [len(x) for x in best]), np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.string()), pa.array(seqs[col], pa.int64()), pa.array(d[at, col])], ["query_id", "seq", "distance"])
 
-    return pairs.select("asked", "rows").mapInPandas(nearest, "query_id string, seq long, distance double")
+    return pairs.select("asked", "rows").mapInArrow(nearest, "query_id string, seq long, distance double")

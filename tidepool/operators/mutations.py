@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import ids, text
 from tidepool.operators import privacy
 from tidepool.operators.filters import is_live, with_flaw
+from tidepool.sources.stored import stored
 
 
 class Ingested(NamedTuple):
@@ -94,10 +95,11 @@ def bulk_ingest(memories: DataFrame, episodes: DataFrame, clients: DataFrame, in
     refused = judged.where("flaw is not null or refused")
     open_rows = privacy.redact(judged.where("flaw is null and not refused"), mode)
     open_rows = open_rows if mode == "off" else privacy.redact_metadata(open_rows)
-    open_rows = open_rows.withColumn("episode_id", F.concat(F.lit("e-"), "id"))
+    kept = open_rows.withColumns({"episode_id": F.concat(F.lit("e-"), "id"), "text": F.when(~F.col("blocked"), F.col("text"))})  # a blocked text is written nowhere
+    open_rows = stored(kept.withColumn("content_hash", text.content_hash(F.col("text"))), "ingest")  # five outputs read it
     written = open_rows.where(~F.col("blocked"))
     new_episodes = written.select(F.col("episode_id").alias("id"), F.col("text").alias("content"), "scope", "source_client", "metadata", F.lit(now).cast("long").alias("created_at"), F.lit(False).alias("forgotten"))
-    rows = written.withColumns({"content_hash": text.content_hash(F.col("text")), "origin": F.lit(origin)})
+    rows = written.withColumn("origin", F.lit(origin))
     call = lambda df, n, is_refused: df.select(F.lit(now).cast("long").alias("ts"), F.lit("remember").alias("action"), F.col("id").alias("memory_id"), "scope", "source_client", F.lit(n).cast("long").alias("result_count"), F.lit(is_refused).alias("refused"))
     audit = call(written, 1, False).unionByName(call(open_rows.where("blocked"), 0, False)).unionByName(call(refused.where("refused"), 0, True))
     rejects = refused.select("id", "scope", F.coalesce("flaw", F.lit("client disabled")).alias("reason")).unionByName(open_rows.where("blocked").select("id", "scope", F.lit("secret found").alias("reason")))

@@ -1,8 +1,8 @@
 """Secrets in memories: detection of 21 kinds, overlap resolution, redaction, findings.
 
 A test for the kinds' markers comes first, inside the JVM, so clean texts run no pattern; the others pass through Arrow in
-batches. A pattern is written as prefix, secret, suffix. Offsets are code points, ends exclusive. Redaction, previews and
-findings are column expressions again.
+batches, which return the spans and the text without them. A pattern is written as prefix, secret, suffix. Offsets are code
+points, ends exclusive. Previews and findings are column expressions again.
 """
 
 import bisect
@@ -30,7 +30,7 @@ PATTERNS = (
     ("slack-token", 5, ("xox",), rf"(?<![{T}])", rf"xox[baprse]-[{A}-]{{10,}}", rf"(?![{T}])"),
     ("google-api-key", 6, ("aiza",), rf"(?<![{T}])", rf"AIza[{T}]{{35}}", rf"(?![{T}])"),
     ("stripe-key", 7, ("sk_", "rk_", "pk_"), rf"(?<![{T}])", rf"(?:sk|rk|pk)_(?:live|test)_[{A}]{{10,}}", rf"(?![{T}])"),
-    ("jwt", 8, ("ey",), rf"(?<![{T}])", rf"[{T}]{{10,}}\.[{T}]{{10,}}\.[{T}]{{10,}}", rf"(?![{T}])"),
+    ("jwt", 8, (".",), rf"(?<![{T}])", rf"[{T}]{{10,}}\.[{T}]{{10,}}\.[{T}]{{10,}}", rf"(?![{T}])"),
     ("url-password", 9, ("://",), rf"(?<![{A}+.-])(?!https?://)[a-zA-Z][a-zA-Z0-9+.-]*://{NS}:@]*:", rf"{NS}@]+", r"@"),
     ("generic-bearer", 10, ("bearer",), rf"(?i)bearer{S}+", rf"[{A}\-_.+/=~]{{10,}}", rf"(?![{A}_\-.+/=~])"),
     ("gitlab-token", 11, ("glpat-",), rf"(?<![{T}])", rf"glpat-[{T}]{{20,}}", rf"(?![{T}])"),
@@ -50,8 +50,9 @@ FOOTER = re.compile(r"-----END ([A-Za-z0-9 ]*PRIVATE KEY)-----", re.I)
 PUTTY = re.compile(r"PuTTY-User-Key-File-[0-9]+:", re.I)
 BLANK = re.compile(r"\r?\n[ \t]*\r?\n")
 BLOCK_RANK, PUTTY_RANK = -1, 12
-SPAN = "struct<kind:string,rank:int,start:int,end:int>"
-SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("rank", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("value", StringType())])
+#: What a worker tells of a text: its spans with the secrets themselves, and the text without them if it has any.
+FOUND = StructType([StructField("spans", ArrayType(SPAN)), StructField("clean", StringType())])
 
 
 def _flags(prefix: str) -> tuple[str, str]:
@@ -114,45 +115,56 @@ def _has_alg(token: str) -> bool:
 
     head = token.split(".")[0]
     try:
-        return "alg" in dict(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))))
-    except (ValueError, TypeError):
+        value = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except ValueError:
         return False
+    return isinstance(value, dict) and "alg" in value
 
 
-@F.pandas_udf(SPANS)
-def _found(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else spans(t))
+def without(text: str, found: list[dict]) -> str:
+    """text with [redacted:kind] in place of each of the disjoint spans, in one pass."""
+    out, at = [], 0
+    for s in found:
+        out += [text[at : s["start"]], "[redacted:", s["kind"], "]"]
+        at = s["end"]
+    return "".join([*out, text[at:]])
 
 
-MARKERS = sorted({m for p in PATTERNS for m in p[2]} | {"private key", "putty-user-key-file-"})
+@F.pandas_udf(FOUND)
+def _found(texts: pd.Series) -> pd.DataFrame:
+    each = [[] if t is None else spans(t) for t in texts]
+    shown = [[{"kind": s["kind"], "start": s["start"], "end": s["end"], "value": t[s["start"] : s["end"]]} for s in found] for t, found in zip(texts, each)]
+    return pd.DataFrame({"spans": shown, "clean": [without(t, found) if found else None for t, found in zip(texts, each)]})
 
 
-def marked(text: Column) -> Column:
-    """Whether a text holds the marker of any kind; the others need no pattern, and never leave the JVM."""
-    return F.lower(text).rlike("|".join(re.escape(m) for m in MARKERS))
-
-
-def detect(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Adds `findings`, array<struct<kind, start, end, preview>> in order; empty for null text."""
-    text = F.col(column)
-    found = rows.withColumn("_found", _found(F.when(marked(text), text)))
+#: Where the markers of a kind are common in prose, what must follow them (lower case) for its pattern to match.
+SHAPES = {
+    "openai-key": "sk-[a-z0-9_-]{20}",
+    "aws-access-key-id": "a[ks]ia[0-9a-z]{16}",
+    "jwt": r"(?<![a-z0-9_-])[a-z0-9_-]{10,}+\.[a-z0-9_-]{10,}+\.[a-z0-9_-]{10}",
+    "url-password": r"://[^\s@]*+@",
+    "generic-bearer": "bearer[^a-z0-9]",
+    "sendgrid-key": r"sg\.[a-z0-9_-]{20}",
+    "env-secret": r"(?:password|passwd|secret|token|apikey|api_key|private_key|credentials)[a-z0-9_]*+[ \t]*+[:=]",
+}
+MARKERS = sorted({re.escape(m) for p in PATTERNS if p[0] not in SHAPES for m in p[2]} | {"private key", "putty-user-key-file-"} | set(SHAPES.values()))
 
-    def shown(s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), masked(value, s["kind"]).alias("preview"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    return found.withColumn("findings", F.transform(F.coalesce("_found", none), shown)).drop("_found")
+def marked(text: Column) -> Column:
+    """Whether a text may hold a secret of any kind; the others need no pattern, and never leave the JVM."""
+    return F.lower(text).rlike("|".join(MARKERS))
 
 
-def spliced(text: Column, findings: Column) -> Column:
-    """text with [redacted:kind] in place of each finding."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def _examined(rows: DataFrame, column: str) -> DataFrame:
+    """Adds `_found` (null where no marker is) and `findings`."""
+    found = rows.withColumn("_found", _found(F.when(marked(F.col(column)), F.col(column))))
+    shown = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), masked(s["value"], s["kind"]).alias("preview"))
+    return found.withColumn("findings", F.transform(F.coalesce("_found.spans", F.array().cast(ArrayType(SPAN))), shown))
 
-    def step(acc: Column, f: Column) -> Column:
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit("[redacted:"), f["kind"], F.lit("]")).alias("out"), f["end"].alias("at"))
 
-    return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(findings, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+def detect(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Adds `findings`, array<struct<kind, start, end, preview>> in order; empty for null text."""
+    return _examined(rows, column).drop("_found")
 
 
 def redact(rows: DataFrame, mode: str = "on", column: str = "text") -> DataFrame:
@@ -162,11 +174,11 @@ def redact(rows: DataFrame, mode: str = "on", column: str = "text") -> DataFrame
         return rows.withColumns({"findings": none, "redacted": F.lit(False), "blocked": F.lit(False)})
     if mode not in ("on", "strict"):
         raise ValueError(f"mode is off, on or strict, not {mode}")
-    found = detect(rows, column)
+    found = _examined(rows, column)
     any_found = F.size("findings") > 0
     if mode == "strict":
-        return found.withColumns({"redacted": F.lit(False), "blocked": any_found})
-    return found.withColumns({"redacted": any_found, "blocked": F.lit(False), column: spliced(F.col(column), F.col("findings"))})
+        return found.withColumns({"redacted": F.lit(False), "blocked": any_found}).drop("_found")
+    return found.withColumns({"redacted": any_found, "blocked": F.lit(False), column: F.coalesce("_found.clean", column)}).drop("_found")
 
 
 def findings_rows(redacted: DataFrame, ts: Column) -> DataFrame:
@@ -178,9 +190,7 @@ def findings_rows(redacted: DataFrame, ts: Column) -> DataFrame:
 
 def _clean(value, depth: int):
     if isinstance(value, str):
-        for s in reversed(spans(value)):
-            value = f"{value[: s['start']]}[redacted:{s['kind']}]{value[s['end'] :]}"
-        return value
+        return without(value, spans(value))
     if depth and isinstance(value, dict):
         return {k: _clean(v, depth - 1) for k, v in value.items()}
     if depth and isinstance(value, list):

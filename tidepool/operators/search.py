@@ -19,10 +19,10 @@ RRF_K = 10
 
 
 def postings(memories: DataFrame) -> DataFrame:
-    """(term, seq, tf, dl, positions): every token of every memory, dead ones too, for they stay in the index."""
+    """(term, seq, tf, dl): every token of every memory, dead ones too, for they stay in the index."""
     toks = memories.select("seq", text.tokens(F.col("text")).alias("toks"))
-    each = toks.select("seq", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "term"))
-    return each.groupBy("term", "seq").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    each = toks.select("seq", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    return each.groupBy("term", "seq").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def index_stats(memories: DataFrame) -> DataFrame:
@@ -37,13 +37,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return parts.select("query_id", F.array_join("p", " ").alias("phrase"), F.size("p").alias("n_tokens")).groupBy("query_id", "phrase", "n_tokens").agg(F.count("*").alias("times"))
 
 
-def phrase_postings(phrases: DataFrame, index: DataFrame) -> DataFrame:
-    """(phrase, seq, tf, dl) of distinct (phrase, n_tokens): single tokens are looked up, others must stand in a row."""
+def phrase_postings(phrases: DataFrame, index: DataFrame, memories: DataFrame) -> DataFrame:
+    """(phrase, seq, tf, dl) of distinct (phrase, n_tokens): single tokens are looked up; of longer phrases the index names
+    the texts that hold every token, and those texts alone are read to count where the tokens stand in a row."""
     single = phrases.where("n_tokens = 1").join(index, F.col("phrase") == F.col("term")).select("phrase", "seq", "tf", "dl")
-    parts = phrases.where("n_tokens > 1").select("phrase", "n_tokens", F.posexplode(F.split("phrase", " ")).alias("at", "term"))
-    starts = parts.join(index, "term").select("phrase", "n_tokens", "seq", "dl", "at", F.explode("positions").alias("pos")).withColumn("start", F.col("pos") - F.col("at"))
-    whole = starts.groupBy("phrase", "seq", "dl", "n_tokens", "start").agg(F.countDistinct("at").alias("k")).where("k = n_tokens")
-    return single.unionByName(whole.groupBy("phrase", "seq").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("phrase", "seq", "tf", "dl"))
+    parts = phrases.where("n_tokens > 1").withColumn("parts", F.split("phrase", " "))
+    wanted = parts.select("phrase", "parts", F.size(F.array_distinct("parts")).alias("k"), F.explode(F.array_distinct("parts")).alias("term"))
+    holding = wanted.join(index, "term").groupBy("phrase", "parts", "k", "seq").agg(F.count("*").alias("n"), F.first("dl").alias("dl")).where("n = k")
+    # tokens hold no blanks, so a phrase is one substring of the padded text; the lookahead counts overlapping ones too
+    toks = F.concat(F.lit(" "), F.array_join(text.tokens(F.col("text")), "  "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.array_join("parts", "  "), F.lit(" "))
+    rows = holding.join(memories.select("seq", "text"), "seq").select("phrase", "seq", "dl", toks.alias("toks"), spaced.alias("spaced"))
+    whole = rows.select("phrase", "seq", F.regexp_count("toks", F.concat(F.lit("(?="), "spaced", F.lit(")"))).cast("long").alias("tf"), "dl").where("tf > 0")
+    return single.unionByName(whole)
 
 
 def bm25(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
@@ -52,7 +58,7 @@ def bm25(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataF
     candidates (query_id, seq) or (seq), if given, hold the rows a query may find.
     """
     asked = query_terms(queries)
-    hits = stored(phrase_postings(asked.select("phrase", "n_tokens").distinct(), index), "hits")  # counted, then scored
+    hits = stored(phrase_postings(asked.select("phrase", "n_tokens").distinct(), index, memories), "hits")  # counted, then scored
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(stats)).select("phrase", "avgdl", F.greatest(odds, F.lit(1e-6)).alias("idf"))  # stats is one row

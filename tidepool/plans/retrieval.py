@@ -47,13 +47,15 @@ def x04(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
 
 
-@query("X05", f"""WITH t AS (SELECT doc_id, list_transform({TERMS.replace('[1:32]', '[1:8]')}, lambda x: lower(strip_accents(x))) AS terms, list_transform(regexp_extract_all(substr(text, 1, length(text) // 2), '{TERM}'), lambda x: lower(strip_accents(x))) AS own FROM documents)
-SELECT doc_id, CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(least(1.0, len(list_filter(terms, lambda x: list_contains(own, x))) / least(len(terms), 5)), 6) END AS coverage FROM t""")
+@query("X05", f"""WITH t AS (SELECT d.doc_id, b.item_id, list_transform({TERMS.replace('(text,', '(b.text,')}, lambda x: lower(strip_accents(x))) AS terms, list_transform(regexp_extract_all(d.text, '{TERM}'), lambda x: lower(strip_accents(x))) AS own
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT doc_id, item_id, CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(least(1.0, len(list_filter(terms, lambda x: list_contains(own, x))) / least(len(terms), 5)), 6) END AS coverage FROM t""")
 def x05(spark, d):
-    """How much of its first eight terms the first half of each text covers."""
-    terms = F.transform(text.content_terms(F.col("text"), 8), text.fold)
-    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    return docs(spark, d).select("doc_id", F.round(text.coverage(terms, text.text_terms(half)), 6).alias("coverage"))
+    """How much of one benchmark text's terms each whole document covers; the benchmark texts take turns."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.transform(text.content_terms(F.col("text")), text.fold).alias("terms"))
+    n = b.agg(F.count("*").alias("n"))
+    rows = docs(spark, d).join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(b, "item_id")  # n is one row
+    return rows.select("doc_id", "item_id", F.round(text.coverage(F.col("terms"), text.text_terms(F.col("text"))), 6).alias("coverage"))
 
 
 @query("X06", "SELECT doc_id, CAST(ceil(strlen(text) / 3) AS INT) AS tokens FROM documents")
@@ -126,10 +128,10 @@ def x15(spark, d):
     return fixtures.memories(spark, d).select("id", ids.plausible(minted, NOW).alias("plausible"))
 
 
-@query("X16", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR length(source || lang || doc_id) < 20 AND length(substr(text, 1, 40)) < 20 OR length(substr(text, 1, 40)) < 20 THEN '********' ELSE concat(substr(text, 1, 4), '********') END AS preview FROM documents")
+@query("X16", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR length(text) < 20 THEN '********' ELSE concat(substr(text, 1, 4), '********') END AS preview FROM documents")
 def x16(spark, d):
     kind = F.when(F.col("doc_id") % 2 == 0, "env-secret").otherwise("jwt")
-    return docs(spark, d).select("doc_id", text.masked(F.substring("text", 1, 40), kind).alias("preview"))
+    return docs(spark, d).select("doc_id", text.masked(F.col("text"), kind).alias("preview"))
 
 
 HEX = "sha256(text)"
@@ -420,10 +422,10 @@ def p04(spark, d):
     return rows.select("doc_id", F.exists("findings", lambda f: f["kind"] == "env-secret").alias("fires"))
 
 
-@query("P05", "SELECT doc_id, 'anthropic-key' AS kind, 1 AS n FROM documents WHERE doc_id % 6 = 1")
+@query("P05", f"WITH {FOUND} SELECT d.doc_id, kind, CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS n FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id")
 def p05(spark, d):
-    """Anthropic keys also have the shape of OpenAI keys; one finding is left."""
-    rows = privacy.detect(fixtures.view(spark, d, "planted").where("doc_id % 6 = 1"))
+    """Of the candidates that overlap one finding is left: Anthropic keys also have the shape of OpenAI keys."""
+    rows = privacy.detect(fixtures.view(spark, d, "planted"))
     return rows.select("doc_id", F.get("findings", F.lit(0))["kind"].alias("kind"), F.size("findings").alias("n"))
 
 
