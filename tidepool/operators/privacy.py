@@ -6,6 +6,7 @@ points, ends exclusive. Previews and findings are column expressions again.
 """
 
 import bisect
+import functools
 import json
 import re
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tidepool.functions.bind import let
 from tidepool.functions.text import masked
 
 A, T = "A-Za-z0-9", r"A-Za-z0-9_-"
@@ -147,12 +149,17 @@ SHAPES = {
     "sendgrid-key": r"sg\.[a-z0-9_-]{20}",
     "env-secret": r"(?:password|passwd|secret|token|apikey|api_key|private_key|credentials)[a-z0-9_]*+[ \t]*+[:=]",
 }
-MARKERS = sorted({re.escape(m) for p in PATTERNS if p[0] not in SHAPES for m in p[2]} | {"private key", "putty-user-key-file-"} | set(SHAPES.values()))
+GATES = [(p[2], SHAPES.get(p[0])) for p in PATTERNS] + [(("private key", "putty-user-key-file-"), None)]
 
 
 def marked(text: Column) -> Column:
     """Whether a text may hold a secret of any kind; the others need no pattern, and never leave the JVM."""
-    return F.lower(text).rlike("|".join(MARKERS))
+
+    def any_of(low: Column) -> Column:
+        held = lambda markers: functools.reduce(Column.__or__, [F.contains(low, F.lit(m)) for m in markers])
+        return functools.reduce(Column.__or__, [held(markers) & low.rlike(shape) if shape else held(markers) for markers, shape in GATES])
+
+    return let(F.lower(text), any_of)
 
 
 def _examined(rows: DataFrame, column: str) -> DataFrame:

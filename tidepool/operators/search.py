@@ -25,9 +25,12 @@ def postings(memories: DataFrame) -> DataFrame:
     return each.groupBy("term", "seq").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def index_stats(memories: DataFrame) -> DataFrame:
-    """One row: the number of texts and their mean length in tokens."""
-    return memories.agg(F.count("*").alias("n_docs"), F.avg(F.size(text.tokens(F.col("text")))).alias("avgdl"))
+def index_stats(memories: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """One row: the number of texts and their mean length in tokens, by their index, so that no text is read again."""
+    index = postings(memories) if index is None else index
+    total = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    counts = memories.agg(F.count("*").alias("n_docs"), F.count("text").alias("n_texts"))
+    return counts.join(F.broadcast(total)).select("n_docs", F.try_divide("n_tokens", "n_texts").alias("avgdl"))  # one row each
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

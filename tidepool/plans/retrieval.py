@@ -170,7 +170,8 @@ FROM floored f JOIN own USING (query_id) JOIN fx_memories m ON m.seq = f.seq)"""
 def store(spark, d):
     """Queries, memories, index, index statistics and vectors, the index stored once."""
     m = fixtures.memories(spark, d)
-    return fixtures.view(spark, d, "queries"), m, stored(search.postings(m), "postings"), stored(search.index_stats(m), "stats"), fixtures.view(spark, d, "vectors")
+    index = stored(search.postings(m), "postings")
+    return fixtures.view(spark, d, "queries"), m, index, stored(search.index_stats(m, index), "stats"), fixtures.view(spark, d, "vectors")
 
 
 @query("R02", f"WITH {BM25.replace('{limit}', '50')} SELECT query_id, id, round(bm25, 6) AS bm25, rank, round(coverage, 6) AS coverage FROM fts", ("queries", "memories"))
