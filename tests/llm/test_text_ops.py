@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, licenses, quality, secrets, toxicity
@@ -213,6 +214,16 @@ def brute_dice(a, b):
     return 2 * (a & b).total() / (a.total() + b.total())
 
 
+def test_a_dice_of_just_the_threshold_is_found(spark):
+    """4 of a template's 6 bigrams, and 6 inside 9 of a segment, are a Dice of exactly 0.8, which floats miss by a bit."""
+    for n in (6, 12, 24, 36, 42):
+        words = [f"w{k}" for k in range(n + 1)]
+        less, more = words[: n * 2 // 3 + 1], [f"o{k}" for k in range(n // 2)] + words
+        got = {r.doc_id: r for r in licenses.scan(docs_of(spark, [" ".join(less), " ".join(more), " ".join(less[:-1])]), 0.8, {"T": [" ".join(words)]}).collect()}
+        assert [(got[k].license, got[k].dice, got[k].n_license_lines) for k in range(3)] == [("T", 0.8, 1), ("T", 0.8, 1), (None, None, 0)], n
+    assert licenses.scan(docs_of(spark, ["licensed under the apache license"])).first().license == "Apache-2.0"
+
+
 def test_size_bounds_lose_nothing(spark):
     rnd = random.Random(3)
     pool = licenses.WORD.findall(" ".join(t for ts in licenses.TEMPLATES.values() for t in ts).lower())
@@ -368,6 +379,14 @@ def brute_kneser_ney(trusted, order=4, floor=1 / 65536):
     return lambda t: sum(np.log(p((" " * (order - 1) + t)[k : k + order])) for k in range(len(t)))
 
 
+def unseen_scores(trusted, folds=5):
+    """Of each trusted text (id to text) the mean negative log probability by a model of the other folds' texts."""
+    fold = {k: (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63) for k, t in trusted.items()}
+    fold = {k: f % folds for k, f in fold.items()}
+    models = {f: brute_kneser_ney([t for k, t in trusted.items() if fold[k] != f]) for f in set(fold.values())}
+    return {k: -models[fold[k]](t) / len(t) for k, t in trusted.items()}
+
+
 TRUSTED = ["The cat sat on the mat.", "A dog ran to the cat, and sat.", "Ön the mat sat 12 cats\nand a dog", "Кот сидел на окне и смотрел на двор.", "我们在公园里看到了一只猫。"]
 
 
@@ -382,7 +401,7 @@ def test_quality_equals_brute_force(spark):
             assert got[k].log_p == pytest.approx(p(t) if t else 0, abs=1e-3)
     out = {r.doc_id: r for r in quality.classify(docs, trusted.select("doc_id"), chunk=40).collect()}
     assert out[n + 3].keep and out[n + 4].keep and out[n + 3].score is None and out[n + 2].score == out[n + 5].score
-    assert not out[n + 1].keep
+    assert out[n + 1].log_perplexity > max(out[k].log_perplexity for k in range(n)) and out[n + 1].keep == (out[n + 1].score <= out[n + 1].threshold)
     assert quality.keep(docs, trusted.select("doc_id")).columns == docs.columns
 
 
@@ -396,11 +415,13 @@ def test_quality_scores_and_thresholds_follow_their_definition(spark):
     p = brute_kneser_ney([t for k, t, _ in texts if k % 4 == 1])
     raw = {k: -p(t) / len(t) for k, t, _ in texts}
     lower = lambda xs, q: sorted(xs)[max(int(np.ceil(len(xs) * q)) - 1, 0)]
+    unseen = unseen_scores({k: t for k, t, _ in texts if k % 4 == 1})
     for lang in ("en", "ru", None):
         of = [k for k in out if out[k].lang == lang]
-        middle = lower([raw[k] for k in of if k % 4 == 1], 0.5)
-        score = {k: (raw[k] * len(texts[k][1]) + middle * 50) / (len(texts[k][1]) + 50) for k in of}
-        limit = lower([score[k] for k in of if k % 4 == 1], 0.9)
+        middle = lower([unseen[k] for k in of if k % 4 == 1], 0.5)
+        drawn = lambda v, k: (v * len(texts[k][1]) + middle * 50) / (len(texts[k][1]) + 50)
+        score = {k: drawn(raw[k], k) for k in of}
+        limit = lower([drawn(unseen[k], k) for k in of if k % 4 == 1], 0.9)
         for k in of:
             assert out[k].score == pytest.approx(score[k], abs=1e-4) and out[k].threshold == pytest.approx(limit, abs=1e-4)
             assert out[k].keep == (out[k].score <= out[k].threshold)
@@ -424,6 +445,18 @@ def test_quality_tells_junk_from_prose_in_every_script(spark):
     assert [got[k] for k in range(len(rows))] == [x[2] for x in rows]
 
 
+def test_quality_keeps_good_documents_that_it_was_not_taught(spark):
+    """Half of the good documents teach, the others must stay; shuffled letters go."""
+    rnd = random.Random(12)
+    words = [w for t in TRUSTED[:3] for w in t.lower().split()] + "river stone walked singing bright morning household gardens window letters winter summers roadside bridges market".split()
+    prose = lambda: " ".join(rnd.choice(words) + rnd.choice(["", "", "s", "er"]) for _ in range(rnd.randint(20, 200)))
+    rows = [(k, prose()) for k in range(600)]
+    rows += [(k, "".join(rnd.sample(t, len(t)))) for k, (_, t) in zip(range(600, 700), rows)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.classify(docs, docs.where("doc_id < 600 and doc_id % 2 = 0").select("doc_id")).where("keep").collect()}
+    assert sum(k not in kept for k in range(1, 600, 2)) <= 3 and not kept & set(range(600, 700))
+
+
 def test_quality_probabilities_sum_to_one(spark):
     docs = docs_of(spark, ["abc abd abc", "abd abd xyz"])
     model = quality.train(docs)

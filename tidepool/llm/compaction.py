@@ -16,8 +16,8 @@ is required. A writer that lost the race reads the newer version and tries again
 invisible, so a job that dies or repeats tasks leaves the store as it was. `vacuum` deletes shards that only old versions name,
 `sweep` those that no version names and that are too old for a running job to commit them yet.
 
-Rows are kept as they are: nulls, repeats, and any columns. An append of no rows commits a version without new shards. A
-store without shards cannot be read: `read` then raises ValueError.
+Rows are kept as they are: nulls, repeats, and any columns. An append of no rows commits a version without new shards, but
+with its columns. A store without shards is read as no rows, of the columns that appends have brought.
 """
 
 import json
@@ -144,7 +144,7 @@ class Store:
     def read(self, version: int | None = None) -> DataFrame:
         manifest = self._manifest(version)
         if not manifest["shards"]:
-            raise ValueError("the store has no shards")
+            return self.spark.createDataFrame([], self._schema(manifest))
         return self._read(manifest["shards"], self._schema(manifest))
 
     def compact(self, target: int = 128 << 20, run: int = 4, ratio: int = 4) -> list[int]:

@@ -102,7 +102,7 @@ def apart(found: list[tuple[float, int, int, str]]) -> dict[str, tuple[float, in
 def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(doc_id, license, dice, line, n_license_lines, licenses): lines count from 1; in line, 0 stands for the whole text."""
     known = [(name, bigrams(w), len(w) - 1) for name in sorted(templates) for t in templates[name] if len(w := WORD.findall(t.lower())) > 1]
-    bounds = [(n * least / (2 - least), n * (2 - least) / least) for _, _, n in known]
+    bounds = [(n * least / (2 - least) - 1e-9, n * (2 - least) / least + 1e-9) for _, _, n in known]  # floats: a Dice of just `least` lies inside
     of: dict[tuple[str, str], list[int]] = defaultdict(list)
     for t, (_, b, _) in enumerate(known):
         for pair in b:
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, list[str]] =
         for t in due:
             name, b, n = known[t]
             dice = 2 * (a & b).total() / (size + n)
-            if dice >= least and (found is None or dice > found[0]):
+            if dice >= least - 1e-9 and (found is None or dice > found[0]):
                 found = (dice, name)
         return found
 
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, list[str]] =
             if pair in of:
                 for t in of[pair]:
                     places[t].append(p)
-        due = [t for t in sorted(places) if len(places[t]) >= bounds[t][0] - 1e-9]
+        due = [t for t in sorted(places) if len(places[t]) >= bounds[t][0]]
         if not due:  # a segment has no more of a template's bigrams than the text
             return None, None, None, 0, ""
         kept = apart([(*w, known[t][0]) for t in due for w in windows(places[t], pairs, known[t][1], known[t][2], least)])

@@ -15,7 +15,13 @@ A document's score is its mean negative log probability, drawn towards its langu
 characters had that value (short texts vary by chance). It is rejected if the score lies above the `high` quantile of its
 language's trusted documents. Languages without trusted text use the largest of these thresholds.
 
-Null and empty text have no score and are kept. Without trusted text all is kept. Repeated rows get the same score. An
+Medians and quantiles come from scores that the trusted documents get unseen: they are dealt into `folds` by a hash of the
+text (equal texts together), and each fold is scored by a model of the other folds' counts. Scores of what a model was
+taught are lower than those of any other document, so a quantile of them would reject good text. All models, that of all
+trusted text and one for each fold, are counted, asked and joined in one pass, told apart by a column `m`.
+
+Null and empty text have no score and are kept. Without trusted text all is kept; with a single trusted text, which no other
+fold can score, nearly all. Repeated rows get the same score. An
 empty table gives no rows. Long texts are scored whole. Null lang is a language of its own. Further columns are ignored.
 """
 
@@ -73,28 +79,51 @@ def slices(texts: list[str], most: int = 1 << 20):
 
 
 def _grams(batches, most: int = 1 << 20):
-    """Counts of n-grams in a task's texts, given out whenever there are `most`."""
-    key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Counts of n-grams by fold in a task's texts, given out whenever there are `most`."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out():
+        for fold, (key, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), fold, np.int32)), pa.array(key), pa.array(n)], names=["fold", "key", "n"])
+
     for b in batches:
-        for some in slices([t for t in b.column(0).to_pylist() if t]):
-            more, c = np.unique(keys([symbols(t) for t in some]), return_counts=True)
-            key, at = np.unique(np.concatenate([key, more]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n, c]), len(key)).astype(np.int64)
-            if len(key) >= most:
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-                key, n = key[:0], n[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-
-def train(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame, list[float]]]:
-    """By order: counts (key, n), contexts (context, total, n1, n2, n3), the three discounts."""
-    counts = save(trusted.select("text").mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+        texts: dict[int, list[str]] = {}
+        for fold, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if t:
+                texts.setdefault(fold, []).append(t)
+        for fold, own in texts.items():
+            for some in slices(own):
+                more, c = np.unique(keys([symbols(t) for t in some]), return_counts=True)
+                key, n = held.get(fold, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                key, at = np.unique(np.concatenate([key, more]), return_inverse=True)
+                held[fold] = key, np.bincount(at, np.concatenate([n, c]), len(key)).astype(np.int64)
+                if sum(len(key) for key, _ in held.values()) >= most:
+                    yield from out()
+                    held = {}
+    yield from out()
+
+
+#: The model of all trusted text; model k >= 0 lacks fold k.
+WHOLE = -1
+Model = dict[int, tuple[DataFrame, DataFrame, DataFrame]]
+
+
+def train(trusted: DataFrame, folds: int = 0) -> Model:
+    """By order: counts (m, key, n), contexts (m, context, total, n1, n2, n3), discounts (m, d1, d2, d3), each for every model
+    m; trusted (text[, fold])."""
+    rows = trusted.select(F.col("fold") if folds else F.lit(0).alias("fold"), "text")
+    by_fold = rows.mapInArrow(_grams, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
+    models = F.array(*[F.lit(m) for m in range(WHOLE, folds)])
+    each = by_fold.select(F.explode(F.filter(models, lambda m: m != F.col("fold")) if folds else models).alias("m"), "key", "n")
+    counts = save(each.groupBy("m", "key").agg(F.sum("n").alias("n")), "grams")
     model = {}
     for order in range(N, 0, -1):
         if order < N:  # how many different symbols stand before it
-            counts = save(counts.groupBy(F.col("key").bitwiseAND(mask(order)).alias("key")).agg(F.count("*").alias("n")), "grams")
-        of = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-        model[order] = counts, counts.groupBy(F.shiftrightunsigned("key", SHIFT).alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)]), discounts(*of)
+            counts = save(counts.groupBy("m", F.col("key").bitwiseAND(mask(order)).alias("key")).agg(F.count("*").alias("n")), "grams")
+        of = counts.groupBy("m").agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).collect()  # a row for each model
+        off = counts.sparkSession.createDataFrame([(r[0], *discounts(*r[1:])) for r in of], "m int, d1 double, d2 double, d3 double")
+        contexts = counts.groupBy("m", F.shiftrightunsigned("key", SHIFT).alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)])
+        model[order] = counts, contexts, off
     return model
 
 
@@ -104,53 +133,55 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(k - (k + 1) * y * b / a, 0.1), float(k)) if a and b else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def probabilities(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame, list[float]]]) -> DataFrame:
-    """(key, p) of every distinct key asked."""
+def probabilities(asked: DataFrame, model: Model) -> DataFrame:
+    """(m, key, p) of every distinct (m, key) asked; without m, of the model of all text."""
     below = None
+    asked = asked if "m" in asked.columns else asked.withColumn("m", F.lit(WHOLE))
     for order in range(1, N + 1):
-        counts, contexts, d = model[order]
-        q = asked if order == N else asked.select(F.col("key").bitwiseAND(mask(order)).alias("key")).distinct()
+        counts, contexts, discount = model[order]
+        q = asked if order == N else asked.select("m", F.col("key").bitwiseAND(mask(order)).alias("key")).distinct()
         n = F.coalesce("n", F.lit(0))
-        off = F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        rows = q.join(counts, "key", "left").withColumn("context", F.shiftrightunsigned("key", SHIFT)).join(contexts, "context", "left")
+        off = F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = q.join(counts, ["m", "key"], "left").withColumn("context", F.shiftrightunsigned("key", SHIFT)).join(contexts, ["m", "context"], "left").join(F.broadcast(discount), "m", "left")
         if below is None:
             rows = rows.withColumn("low", F.lit(1 / SIZE))
         else:
-            rows = rows.withColumn("tail", F.col("key").bitwiseAND(mask(order - 1))).join(below.select(F.col("key").alias("tail"), F.col("p").alias("low")), "tail")
-        left = (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
+            rows = rows.withColumn("tail", F.col("key").bitwiseAND(mask(order - 1))).join(below.select("m", F.col("key").alias("tail"), F.col("p").alias("low")), ["m", "tail"])
+        left = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
         p = F.when(F.col("total").isNull(), F.col("low")).otherwise(F.greatest(n - off, F.lit(0.0)) / F.col("total") + left * F.col("low"))
-        below = save(rows.select("key", p.alias("p")), "probabilities")
+        below = save(rows.select("m", "key", p.alias("p")), "probabilities")
     return below
 
 
-def _chunks(batches, chunk: int, grams_only: bool):
-    """A row for each chunk and n-gram (chunk, key) with grams_only, else a row for each chunk (chunk, documents, texts)."""
+def _chunks(batches, chunk: int, folds: int, grams_only: bool):
+    """A row for each chunk and n-gram (chunk, m, key) with grams_only, else a row for each chunk (chunk, m, documents, texts).
+    A chunk is for one model; the folds' chunks are smaller, for a task fills one of each at a time."""
 
-    def row(hs, ids, langs, texts):
+    def row(m, hs, ids, langs, texts):
         size = np.array([len(t) for t in texts], "<i8")
-        name = xxhash.xxh64_intdigest(np.array(hs, "<i8").tobytes() + size.tobytes()) - (1 << 63)
+        name = xxhash.xxh64_intdigest(np.array([m, *hs], "<i8").tobytes() + size.tobytes()) - (1 << 63)
         if grams_only:
             key = np.zeros(0, np.int64)
             for some in slices(texts, 1 << 22):
                 key = np.union1d(key, keys([symbols(t) for t in some]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name)), pa.array(key)], names=["chunk", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name)), pa.array(np.full(len(key), m, np.int32)), pa.array(key)], names=["chunk", "m", "key"])
         packed = zstandard.ZstdCompressor(level=3).compress("".join(texts).encode("utf-8", "surrogatepass"))
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([hs], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([size.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "hs", "ids", "langs", "sizes", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m], pa.int32()), pa.array([hs], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([size.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "m", "hs", "ids", "langs", "sizes", "packed"])
 
-    hs, ids, langs, texts, size = [], [], [], [], 0
+    held: dict[int, tuple[list, list, list, list]] = {}
+    filled: dict[int, int] = {}
     for b in batches:
-        for h, i, lang, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+        for m, h, i, lang, text in zip(*(b.column(k).to_pylist() for k in range(5))):
             text = text or ""
-            if hs and size + len(text) > chunk:
-                yield row(hs, ids, langs, texts)
-                hs, ids, langs, texts, size = [], [], [], [], 0
-            hs.append(h)
-            ids.append(i)
-            langs.append(lang)
-            texts.append(text)
-            size += len(text)
-    if hs:
-        yield row(hs, ids, langs, texts)
+            if m in held and filled[m] + len(text) > (chunk if m == WHOLE else chunk // folds):
+                yield row(m, *held.pop(m))
+            if m not in held:
+                held[m], filled[m] = ([], [], [], []), 0
+            for column, value in zip(held[m], (h, i, lang, text)):
+                column.append(value)
+            filled[m] += len(text)
+    for m, own in held.items():
+        yield row(m, *own)
 
 
 def _answers(batches):
@@ -199,25 +230,29 @@ def _score(batches):
                 v = np.concatenate([[0.0], np.cumsum(logs[key], dtype=np.float64)]) if len(key := keys(parts)) else np.zeros(1)
                 to = np.cumsum(size)
                 total += (v[to] - v[to - size]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x["hs"], pa.int64()), pa.array(x["ids"], pa.int64()), pa.array(x["langs"], pa.string()), pa.array(sizes), pa.array(total, pa.float64())], names=["h", "doc_id", "lang", "n", "log_p"])
-
-
-def log_probabilities(docs: DataFrame, trusted: DataFrame, chunk: int = 1 << 24) -> DataFrame:
-    """(h, doc_id, lang, n, log_p) of every document; h tells rows with other ids or texts apart."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "lang", "text")
-    model = train(trusted)
-    asked = save(rows.mapInArrow(lambda it: _chunks(it, chunk, True), "chunk long, key long"), "asked")
-    known = probabilities(asked.select("key").distinct(), model)
-    answers = asked.join(known, "key").select("chunk", "key", "p").sortWithinPartitions("chunk", "key").mapInArrow(_answers, "chunk long, keys binary, logs binary")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), x["m"], np.int32)), pa.array(x["hs"], pa.int64()), pa.array(x["ids"], pa.int64()), pa.array(x["langs"], pa.string()), pa.array(sizes), pa.array(total, pa.float64())], names=["m", "h", "doc_id", "lang", "n", "log_p"])
+
+
+def log_probabilities(docs: DataFrame, trusted: DataFrame, chunk: int = 1 << 24, folds: int = 0) -> DataFrame:
+    """(m, h, doc_id, lang, n, log_p) of every document under the model of all trusted text (m = -1); h tells rows with other
+    ids or texts apart. With folds, trusted (doc_id, lang, text, fold) also has a row for each of its own rows under the
+    model that lacks the row's fold (m is the fold)."""
+    columns = lambda df, m: df.select(m.cast("int").alias("m"), F.xxhash64("doc_id", "text").alias("h"), "doc_id", "lang", "text")
+    rows = columns(docs, F.lit(WHOLE))
+    rows = rows.unionByName(columns(trusted, F.col("fold"))) if folds else rows
+    model = train(trusted, folds)
+    asked = save(rows.mapInArrow(lambda it: _chunks(it, chunk, folds, True), "chunk long, m int, key long"), "asked")
+    known = probabilities(asked.select("m", "key").distinct(), model)
+    answers = asked.join(known, ["m", "key"]).select("chunk", "key", "p").sortWithinPartitions("chunk", "key").mapInArrow(_answers, "chunk long, keys binary, logs binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("keys", "logs")).alias("answers"))  # a chunk's n-grams
-    packed = rows.mapInArrow(lambda it: _chunks(it, chunk, False), "chunk long, hs array<long>, ids array<long>, langs array<string>, sizes binary, packed binary")
-    return save(packed.join(answers, "chunk", "left").select("hs", "ids", "langs", "sizes", "packed", "answers").mapInArrow(_score, "h long, doc_id long, lang string, n long, log_p double"), "scores")
+    packed = rows.mapInArrow(lambda it: _chunks(it, chunk, folds, False), "chunk long, m int, hs array<long>, ids array<long>, langs array<string>, sizes binary, packed binary")
+    return save(packed.join(answers, "chunk", "left").select("m", "hs", "ids", "langs", "sizes", "packed", "answers").mapInArrow(_score, "m int, h long, doc_id long, lang string, n long, log_p double"), "scores")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior: int = 200, chunk: int = 1 << 24, stored: bool = False) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior: int = 200, chunk: int = 1 << 24, stored: bool = False, folds: int = 5) -> DataFrame:
     """(doc_id, h, lang, n_chars, log_perplexity, score, threshold, keep) of every document.
 
-    trusted_ids (doc_id): the documents that teach the model and set the quantiles.
+    trusted_ids (doc_id): the documents that teach the model and, each unseen, set the quantiles.
     """
     docs = docs.select("doc_id", "lang", "text")
     if not stored:
@@ -230,18 +265,19 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior
     before = {k: spark.conf.get(k) for k in bloom}
     for k, v in bloom.items():
         spark.conf.set(k, v)
-    try:
-        scores = log_probabilities(docs, docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), chunk)
+    try:  # stored, for it is read three times and its rows must keep their order
+        fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold")
+        trusted = save(docs.join(ids.hint("merge"), "doc_id", "left_semi").where("text <> ''").select("doc_id", "lang", "text", fold), "trusted")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    scores = scores.withColumn("raw", F.when(F.col("n") > 0, -F.col("log_p") / F.col("n")))
-    of_trusted = scores.where("raw is not null").join(ids, "doc_id", "left_semi")
-    medians = of_trusted.groupBy("lang").agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("median"))
-    everywhere = of_trusted.agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("all_median"))
+    scores = log_probabilities(docs, trusted, chunk, folds).withColumn("raw", F.when(F.col("n") > 0, -F.col("log_p") / F.col("n")))
+    unseen, scores = scores.where(F.col("m") != WHOLE), scores.where(F.col("m") == WHOLE)
+    medians = unseen.groupBy("lang").agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("median"))
+    everywhere = unseen.agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("all_median"))
     drawn = (F.col("raw") * F.col("n") + F.col("median") * prior) / (F.col("n") + prior)
     shrunk = lambda df: df.join(F.broadcast(everywhere)).join(medians.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("median", F.coalesce("median", "all_median")).withColumn("score", drawn)
-    marks = shrunk(of_trusted).groupBy("lang").agg(F.expr(f"percentile_approx(score, {high}, 10000)").alias("threshold"))
+    marks = shrunk(unseen).groupBy("lang").agg(F.expr(f"percentile_approx(score, {high}, 10000)").alias("threshold"))
     marks = save(marks.select(F.col("lang").alias("l2"), "threshold"), "thresholds")
     any_mark = marks.agg(F.max("threshold").alias("most"))
     out = shrunk(scores).join(marks, F.col("lang").eqNullSafe(F.col("l2")), "left").join(F.broadcast(any_mark)).withColumn("threshold", F.coalesce("threshold", "most"))
