@@ -118,7 +118,7 @@ def _has_alg(token: str) -> bool:
     head = token.split(".")[0]
     try:
         value = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # nested too deep for any parser: no header
         return False
     return isinstance(value, dict) and "alg" in value
 
@@ -206,15 +206,16 @@ def _clean(value, depth: int):
 
 
 def redact_metadata(rows: DataFrame, column: str = "metadata", depth: int = 4) -> DataFrame:
-    """Every string of a JSON column, arrays included, to a depth. Rows without any marker never leave the JVM; what is not JSON stays."""
+    """Every string of a JSON column, arrays included, to a depth. Rows without any marker never leave the
+    JVM; what is not JSON is searched as a text."""
 
     @F.pandas_udf(StringType())
     def clean(values: pd.Series) -> pd.Series:
         def one(v):
             try:
                 return None if v is None else json.dumps(_clean(json.loads(v), depth), ensure_ascii=False)
-            except ValueError:
-                return v
+            except (ValueError, RecursionError):  # no JSON, or nested too deep to be parsed: the text itself is searched
+                return without(v, spans(v))
 
         return values.map(one)
 
