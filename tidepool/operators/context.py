@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import score, text
 from tidepool.operators import search
 from tidepool.operators.filters import eligible, has_all_tags, live
+from tidepool.operators.textindex import TextIndex
 
 BUDGET = 800
 
@@ -67,7 +68,7 @@ def entry_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", text.entry_line(F.col("id"), F.col("scope"), F.col("created_at"), unreviewed, F.col("text")))
 
 
-def get_context(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataFrame, vectors: DataFrame | None, now: int, exclude_unapproved: bool = True, **options) -> DataFrame:
+def get_context(queries: DataFrame, memories: DataFrame, index: DataFrame | TextIndex, stats: DataFrame | None, vectors: DataFrame | None, now: int, exclude_unapproved: bool = True, **options) -> DataFrame:
     """The block of every query (query_id, query, embedding, scope, token_budget), an empty one where nothing was found, with
     `degraded` and its reason. Blank queries get their scope's pool, or that of all scopes, and are never degraded."""
     words = F.size(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(text.TOKEN), F.lit(0))) > 0

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tidepool.functions import score, text
 from tidepool.operators.filters import eligible, has_all_tags, is_live
 from tidepool.operators.knn import knn
+from tidepool.operators.textindex import TextIndex, idf, impact
 from tidepool.sources.stored import stored
 
-K1, B = 1.2, 0.75
 RRF_K = 10
 
 
@@ -42,15 +42,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def phrase_postings(phrases: DataFrame, index: DataFrame, memories: DataFrame) -> DataFrame:
     """(phrase, seq, tf, dl) of distinct (phrase, n_tokens): single tokens are looked up; of longer phrases the index names
-    the texts that hold every token, and those texts alone are read to count where the tokens stand in a row."""
+    the texts that hold every token, and those texts alone are read to count where the tokens stand in a row. memories (seq,
+    text), or (seq, toks) where the tokens are kept."""
     single = phrases.where("n_tokens = 1").join(index, F.col("phrase") == F.col("term")).select("phrase", "seq", "tf", "dl")
     parts = phrases.where("n_tokens > 1").withColumn("parts", F.split("phrase", " "))
     wanted = parts.select("phrase", "parts", F.size(F.array_distinct("parts")).alias("k"), F.explode(F.array_distinct("parts")).alias("term"))
     holding = wanted.join(index, "term").groupBy("phrase", "parts", "k", "seq").agg(F.count("*").alias("n"), F.first("dl").alias("dl")).where("n = k")
     # tokens hold no blanks, so a phrase is one substring of the padded text; the lookahead counts overlapping ones too
-    toks = F.concat(F.lit(" "), F.array_join(text.tokens(F.col("text")), "  "), F.lit(" "))
+    split, held = (F.col("toks"), "toks") if "toks" in memories.columns else (text.tokens(F.col("text")), "text")
+    toks = F.concat(F.lit(" "), F.array_join(split, "  "), F.lit(" "))
     spaced = F.concat(F.lit(" "), F.array_join("parts", "  "), F.lit(" "))
-    rows = holding.join(memories.select("seq", "text"), "seq").select("phrase", "seq", "dl", toks.alias("toks"), spaced.alias("spaced"))
+    rows = holding.join(memories.select("seq", held), "seq").select("phrase", "seq", "dl", toks.alias("toks"), spaced.alias("spaced"))
     whole = rows.select("phrase", "seq", F.regexp_count("toks", F.concat(F.lit("(?="), "spaced", F.lit(")"))).cast("long").alias("tf"), "dl").where("tf > 0")
     return single.unionByName(whole)
 
@@ -63,12 +65,10 @@ def bm25(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataF
     asked = query_terms(queries)
     hits = stored(phrase_postings(asked.select("phrase", "n_tokens").distinct(), index, memories), "hits")  # counted, then scored
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(F.broadcast(stats)).select("phrase", "avgdl", F.greatest(odds, F.lit(1e-6)).alias("idf"))  # stats is one row
+    weights = df.join(F.broadcast(stats)).select("phrase", "avgdl", idf(F.col("df"), F.col("n_docs")).alias("idf"))  # stats is one row
     weighted = asked.join(weights, "phrase").select("phrase", "query_id", "avgdl", (F.col("idf") * F.col("times")).alias("w"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     rows = hits if candidates is None or "query_id" in candidates.columns else hits.join(candidates, "seq", "left_semi")
-    out = rows.join(weighted, "phrase").groupBy("query_id", "seq").agg(F.round(F.sum(F.col("w") * tf), 9).alias("bm25"))
+    out = rows.join(weighted, "phrase").groupBy("query_id", "seq").agg(F.round(F.sum(F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 9).alias("bm25"))
     return out if candidates is None or "query_id" not in candidates.columns else out.join(candidates, ["query_id", "seq"], "left_semi")
 
 
@@ -83,23 +83,44 @@ def allowed(queries: DataFrame, memories: DataFrame, tags: list[str] | None = No
     return rows if not tags else rows.where(has_all_tags(tags))
 
 
-def fts_search(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataFrame, tags: list[str] | None = None, limit: int = 50, min_ratio: float = 0.1) -> DataFrame:
+def fts_search(queries: DataFrame, memories: DataFrame, index: DataFrame | TextIndex, stats: DataFrame | None = None, tags: list[str] | None = None, limit: int = 50, min_ratio: float = 0.1) -> DataFrame:
     """(query_id, id, seq, bm25, rank, coverage): the best `limit` live rows by BM25, then those with at least min_ratio of the best.
 
-    queries (query_id, query[, scope]); a query that names a scope sees that scope alone.
+    queries (query_id, query[, scope]); a query that names a scope sees that scope alone. index: postings with their stats,
+    or a kept index, which is searched without reading texts, and without the blocks that cannot reach a query's best.
     """
-    live = allowed(queries, memories, tags).select("seq", "id", "scope", "text")
-    found = bm25(queries, memories, index, stats, live.select("seq")).join(live.select("seq", "id", "scope"), "seq")
-    if "scope" in queries.columns:
-        found = found.join(queries.select("query_id", F.col("scope").alias("only")), "query_id").where("only is null or only = scope").drop("only")
+    live = allowed(queries, memories, tags)
+    scoped = "scope" in queries.columns
+    if isinstance(index, TextIndex):
+        found = kept_hits(queries, live, index, limit)[0].join(live.select("seq", "id"), "seq")
+    else:
+        found = bm25(queries, memories, index, stats, live.select("seq")).join(live.select("seq", "id", "scope"), "seq")
+        if scoped:
+            found = found.join(queries.select("query_id", F.col("scope").alias("only")), "query_id").where("only is null or only = scope").drop("only")
     best = top(found, limit, F.desc("bm25"), F.col("id"))
     kept = best.withColumn("most", F.max("bm25").over(Window.partitionBy("query_id"))).where(F.col("bm25") >= min_ratio * F.col("most")).drop("most")
-    terms = queries.select("query_id", F.transform(text.content_terms(F.col("query")), text.fold).alias("terms"))
-    return (
-        kept.join(live.select("seq", "text"), "seq")
-        .join(terms, "query_id")
-        .select("query_id", "id", "seq", "bm25", "rank", F.round(text.coverage(F.col("terms"), text.text_terms(F.col("text"))), 9).alias("coverage"))
-    )
+    asked = queries.select("query_id", F.transform(text.content_terms(F.col("query")), text.fold).alias("asked"))
+    if not isinstance(index, TextIndex):
+        kept = kept.join(live.select("seq", text.text_terms(F.col("text")).alias("terms")), "seq")
+    return kept.join(asked, "query_id").select("query_id", "id", "seq", "bm25", "rank", F.round(text.coverage(F.col("asked"), F.col("terms")), 9).alias("coverage"))
+
+
+def kept_hits(queries: DataFrame, live: DataFrame, index: TextIndex, limit: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, seq, bm25, terms) that holds the best `limit` of live (seq, scope) for every query, ties included; the
+    blocks that were told apart for it). Queries with a phrase of several tokens have all their hits scored."""
+    terms = stored(query_terms(queries), "query-terms")
+    only = queries.select("query_id", F.col("scope").alias("only")) if "scope" in queries.columns else None
+    phrased = terms.where("n_tokens > 1").select("query_id").distinct()
+    single = terms.join(phrased, "query_id", "left_anti").select("query_id", F.col("phrase").alias("term"), "times")
+    visible = stored(live.select("seq", "scope"), "visible")
+    hits, told = index.top_k(single if only is None else single.join(only, "query_id"), visible if only is not None else visible.select("seq"), limit)
+    if phrased.isEmpty():
+        return hits, told
+    rest = queries.join(phrased, "query_id", "left_semi")
+    full = bm25(rest, index.docs(), index.postings(), index.stats(), visible.select("seq"))
+    if only is not None:
+        full = full.join(only, "query_id").join(visible, "seq").where("only is null or only = scope")
+    return hits.unionByName(full.select("query_id", "seq", "bm25").join(index.docs().select("seq", "terms"), "seq")), told
 
 
 def rrf_fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -170,7 +191,7 @@ def degraded(queries: DataFrame, vectors: DataFrame | None) -> DataFrame:
     return queries.join(F.broadcast(dims)).select("query_id", (~ok).alias("degraded"), F.when(~ok, F.lit("embedding_failed")).alias("reason"))
 
 
-def ranked(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataFrame, vectors: DataFrame | None, now: int, candidate_limit: int = 50, min_ratio: float = 0.1, min_coverage: float = 0.2, min_relevance: float = 0.1, max_distance: float = 0.24, tags: list[str] | None = None, weights: dict[str, float] | None = None, exclude_unapproved: bool = False) -> DataFrame:
+def ranked(queries: DataFrame, memories: DataFrame, index: DataFrame | TextIndex, stats: DataFrame | None, vectors: DataFrame | None, now: int, candidate_limit: int = 50, min_ratio: float = 0.1, min_coverage: float = 0.2, min_relevance: float = 0.1, max_distance: float = 0.24, tags: list[str] | None = None, weights: dict[str, float] | None = None, exclude_unapproved: bool = False) -> DataFrame:
     """Fused, re-ranked and floored candidates of every query, before diversity and limit."""
     words = fts_search(queries, memories, index, stats, tags, candidate_limit, min_ratio).where(F.col("coverage") >= min_coverage)
     lists = words.select("query_id", F.lit("fts").alias("branch"), "rank", "id")
@@ -183,7 +204,7 @@ def ranked(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: Dat
     return out.where(eligible()) if exclude_unapproved else out
 
 
-def hybrid_search(queries: DataFrame, memories: DataFrame, index: DataFrame, stats: DataFrame, vectors: DataFrame | None, now: int, limit: int = 10, mmr_lambda: float = 0.7, **options) -> DataFrame:
+def hybrid_search(queries: DataFrame, memories: DataFrame, index: DataFrame | TextIndex, stats: DataFrame | None, vectors: DataFrame | None, now: int, limit: int = 10, mmr_lambda: float = 0.7, **options) -> DataFrame:
     """Hits of every query: (query_id, pick, id, score, parts, ranks, scope, text, tags, origin, approved, ...).
 
     The gate on unapproved rows stands before diversity and limit, so they cannot crowd out others.
