@@ -76,18 +76,28 @@ def parents(below: DataFrame, arity: int) -> DataFrame:
     return below.where(F.col("idx") % arity == 0).select("tree", F.floor(F.col("idx") / arity).cast("long").alias("idx"), F.ceil(F.col("n") / arity).cast("long").alias("n"), F.unhex(F.sha2(joined(F.col("run")).cast("binary"), 256)).alias("digest"))
 
 
-def grow(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """The levels of all trees over stored nodes (tree, idx, n, digest, ...), lowest first, without trees of one node; and
-    (tree, height, digest) of every tree's root."""
-    most = nodes.agg(F.max("n")).first()[0] or 0
+#: Rows that a task takes at least: the upper levels have few, and are joined in few tasks.
+PER_TASK = 10_000
+Levels = list[tuple[DataFrame, int]]
+
+
+def sized(rows: DataFrame, n: int) -> DataFrame:
+    return rows.coalesce(max(1, -(-n // PER_TASK)))
+
+
+def grow(nodes: DataFrame, arity: int) -> tuple[Levels, DataFrame]:
+    """The levels of all trees over stored nodes (tree, idx, n, digest, ...), lowest first, without trees of one node, each
+    with about its number of rows; and (tree, height, digest) of every tree's root."""
+    most, leaves, trees = nodes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count_if(F.col("n") > 1), F.count_if(F.expr("n > 1 and idx = 0"))).first()
     levels, roots, height = [], [], 0
     now = nodes
     while True:
         roots.append(now.where("n = 1").select("tree", F.lit(height).alias("height"), "digest"))
         if most <= 1:
             break
-        levels.append(save(level(now.where("n > 1"), arity), f"level-{height}"))
-        now = parents(levels[-1], arity)
+        rows = leaves // arity**height + trees
+        levels.append((save(sized(level(now.where("n > 1"), arity), rows), f"level-{height}"), rows))
+        now = parents(levels[-1][0], arity)
         most, height = -(-most // arity), height + 1
     out = roots[0]
     for r in roots[1:]:
@@ -98,19 +108,21 @@ def grow(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
 STEPS = "array<struct<slot:int,others:array<binary>>>"
 
 
-def climb(levels: list[DataFrame], tops: DataFrame, arity: int, stride: int = 6) -> DataFrame:
+def climb(levels: Levels, tops: DataFrame, arity: int, stride: int = 6) -> DataFrame:
     """Rows of the lowest level, with their columns, and with the columns of tops (tree, height, steps, ...) of their tree:
     `steps` prolonged downwards, the slot and the siblings of every level. A tree of height zero has no row here."""
     carried = [c for c in tops.columns if c not in ("tree", "height")]
     above = lambda k: tops.where(F.col("height") == k).select("tree", F.lit(0).cast("long").alias("idx"), *carried)
     now = above(len(levels))
     for k in range(len(levels) - 1, -1, -1):
+        nodes, n = levels[k]
         up = now.withColumnsRenamed({"idx": "_up", **{c: f"_{c}" for c in carried}})
-        rows = levels[k].withColumn("_up", F.floor(F.col("idx") / arity).cast("long")).join(up, ["tree", "_up"])
+        rows = nodes.withColumn("_up", F.floor(F.col("idx") / arity).cast("long")).join(up, ["tree", "_up"])
         slot = (F.col("idx") % arity).cast("int")
         step = F.struct(slot.alias("slot"), F.filter("run", lambda _, i: i != slot).alias("others"))
-        own = levels[k].drop("run", "n", "digest").columns if k == 0 else ["tree", "idx"]
+        own = nodes.drop("run", "n", "digest").columns if k == 0 else ["tree", "idx"]
         now = rows.select(*own, F.concat(F.array(step), "_steps").alias("steps"), *[F.col(f"_{c}").alias(c) for c in carried if c != "steps"])
+        now = sized(now, n)
         if k:
             now = now.unionByName(above(k))
             now = save(now, f"proofs-{k}") if k % stride == 0 else now
@@ -141,8 +153,8 @@ def prove(rows: DataFrame, arity: int = 2) -> DataFrame:
     keep = ["doc_id", "leaf", "seen", "subroot", "root", "steps"]
     out = lone.withColumn("leaf", F.col("digest")).select(*keep)
     if levels:
-        lowest = levels[0].withColumn("leaf", F.col("digest"))
-        out = climb([lowest, *levels[1:]], tops, arity).select(*keep).unionByName(out)
+        lowest = levels[0][0].withColumn("leaf", F.col("digest"))
+        out = climb([(lowest, levels[0][1]), *levels[1:]], tops, arity).select(*keep).unionByName(out)
     back = folded(hexed(F.col("seen")), F.col("steps"))
     proof = h(joined(F.flatten(F.transform("steps", lambda s: s["others"]))))
     told = out.select("doc_id", hexed(F.col("leaf")).alias("leaf"), hexed(F.col("subroot")).alias("subroot"), hexed(F.col("root")).alias("root"), proof.alias("proof_sha256"), back.alias("folded_root"))
