@@ -56,9 +56,11 @@ def dedupe_merge(memories: DataFrame, incoming: DataFrame, now: int) -> DataFram
         F.min_by(F.struct("id", "seq", "text", "source_client", "redacted", "origin"), order).alias("r"),
         F.max("importance").alias("importance"),
         F.min_by("episode_id", F.when(F.col("episode_id").isNotNull(), order)).alias("episode_id"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
         F.bool_or(F.col("origin") == "user").alias("by_user"),
     )
+    # one row for each tag of a text before any is gathered: a text written very often brings each of its tags once
+    tagged = incoming.select("scope", "content_hash", F.explode("tags").alias("tag")).distinct().groupBy("scope", "content_hash").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    batch = batch.join(tagged, ["scope", "content_hash"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     live = memories.where(is_live())
     both = live.alias("m").join(batch.alias("b"), ["scope", "content_hash"], "left")
     hit = F.col("b.r").isNotNull()
@@ -189,6 +191,39 @@ def approve(memories: DataFrame, changes: DataFrame, value: bool = True) -> tupl
     return state, _outcomes(c, F.when(F.col("_there").isNull(), "not_found").otherwise("ok"))
 
 
+def chained(steps: DataFrame) -> DataFrame:
+    """steps (id, start, given, pos, created_at, new_id, importance, ...) of each id in order of pos, with k (from 1), at, imp,
+    and the following step's next_id and next_at.
+
+    at is max(created_at, the at before + 1), from `start` on, and imp the last importance given, from `given` on. at - k is a
+    running maximum of created_at - k, so the steps of an id are scanned in ranges of (id, pos): each range is summed up in a
+    row, the rows of an id carry over what came before, and no task holds more than a range, however many steps an id has.
+    """
+    order = ("pos", "new_id")
+    place = F.monotonically_increasing_id()  # the number of the range, and the place in it
+    ranges = stored(steps.repartitionByRange("id", *order).sortWithinPartitions("id", *order).withColumn("_part", F.shiftright(place, 33)), "ranges")
+    w = Window.partitionBy("id", "_part").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lead = lambda c: F.lead(c).over(w)
+    here = F.row_number().over(w)
+    rows = ranges.withColumn("_here", here).withColumns({"_top": F.max(F.col("created_at") - F.col("_here")).over(upto), "_given": F.last("importance", ignorenulls=True).over(upto), "_next": lead(F.struct("new_id", "created_at"))})
+    ordered = F.struct(*order)
+    sums = ranges.withColumn("_here", here).groupBy("id", "_part").agg(
+        F.count("*").alias("_n"), F.max(F.col("created_at") - F.col("_here")).alias("_most"), F.max_by("importance", F.when(F.col("importance").isNotNull(), ordered)).alias("_last"),
+        F.min_by(F.struct("new_id", "created_at"), ordered).alias("_first"),
+    )
+    parts = Window.partitionBy("id").orderBy("_part")
+    past = parts.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    carried = sums.select("id", "_part", "_off", F.max(F.col("_most") - F.col("_off")).over(past).alias("_carried"), F.last("_last", ignorenulls=True).over(past).alias("_carried_imp"), F.lead("_first").over(parts).alias("_later"))
+    both = rows.join(stored(carried, "carried"), ["id", "_part"])  # a row for each range and id in it
+    k = (F.col("_here") + F.col("_off")).alias("k")
+    base = F.greatest("start", "_carried", F.col("_top") - F.col("_off"))
+    told = both.select(*steps.columns, k, base.alias("_base"), F.coalesce("_given", "_carried_imp", "given").alias("imp"), F.coalesce("_next", "_later").alias("_next"))
+    at = F.col("_base") + F.col("k")
+    return told.select(*steps.columns, "k", at.alias("at"), "imp", F.col("_next.new_id").alias("next_id"), F.when(F.col("_next").isNotNull(), F.greatest("_next.created_at", at + 1)).alias("next_at"))
+
+
 def supersede(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state, outcomes) after changes (id, pos, new_id, new_seq, text, source_client, importance, tags, created_at): old rows end where
     their replacements begin.
@@ -197,23 +232,17 @@ def supersede(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataF
     valid_from + 1) and starts there. Several steps for one id in a batch form a chain in order of pos. A replacement takes the
     importance of what it replaces unless it brings one; tags are its own; its origin is the user.
     """
-    old = memories.where(is_live()).select("id", F.col("valid_from").alias("_from"), F.col("importance").alias("_imp"), "scope")
-    c = changes.join(old, "id", "left").withColumn("_ok", F.col("_from").isNotNull())
-    steps = c.where("_ok").groupBy("id", "scope", "_from", "_imp").agg(F.sort_array(F.collect_list(F.struct("pos", "created_at", "new_id", "new_seq", "text", "source_client", "importance", "tags"))).alias("steps"))
-    start = F.array(F.struct(F.col("_from").alias("at"), F.col("_imp").alias("imp")))
-    after = lambda acc: F.element_at(acc, -1)
-    marks = F.aggregate("steps", start, lambda acc, s: F.concat(acc, F.array(F.struct(F.greatest(s["created_at"], after(acc)["at"] + 1).alias("at"), F.coalesce(s["importance"], after(acc)["imp"]).alias("imp")))))
-    chain = steps.withColumn("marks", marks)
-    ends = chain.select("id", F.col("marks")[1]["at"].alias("_until"), F.col("steps")[0]["new_id"].alias("_by"))
+    old = memories.where(is_live()).select("id", F.col("valid_from").alias("start"), F.col("importance").alias("given"), "scope")
+    c = changes.join(old, "id", "left").withColumn("_ok", F.col("start").isNotNull())
+    chain = stored(chained(c.where("_ok").drop("_ok")), "chain")
+    ends = chain.where("k = 1").select("id", F.col("at").alias("_until"), F.col("new_id").alias("_by"))
     kept = memories.join(ends, "id", "left").withColumns({"valid_until": F.coalesce("valid_until", "_until"), "superseded_by": F.coalesce("superseded_by", "_by"), "updated_at": F.coalesce("_until", "updated_at")}).select(memories.columns)
-    one = chain.select("scope", "marks", "steps", F.posexplode("steps").alias("k", "s"))
-    mark, following = F.get("marks", F.col("k") + 1), F.get("marks", F.col("k") + 2)
     values = {
-        "id": F.col("s.new_id"), "seq": F.col("s.new_seq"), "text": F.col("s.text"), "scope": F.col("scope"), "source_client": F.col("s.source_client"), "importance": mark["imp"],
-        "created_at": mark["at"], "updated_at": mark["at"], "access_count": F.lit(0), "valid_from": mark["at"], "valid_until": following["at"], "superseded_by": F.get("steps", F.col("k") + 1)["new_id"],
-        "redacted": F.lit(False), "content_hash": text.content_hash(F.col("s.text")), "origin": F.lit("user"), "approved": F.lit(False), "tags": F.coalesce(F.array_sort(F.array_distinct("s.tags")), F.array().cast("array<string>")),
+        "id": F.col("new_id"), "seq": F.col("new_seq"), "text": F.col("text"), "scope": F.col("scope"), "source_client": F.col("source_client"), "importance": F.col("imp"),
+        "created_at": F.col("at"), "updated_at": F.col("at"), "access_count": F.lit(0), "valid_from": F.col("at"), "valid_until": F.col("next_at"), "superseded_by": F.col("next_id"),
+        "redacted": F.lit(False), "content_hash": text.content_hash(F.col("text")), "origin": F.lit("user"), "approved": F.lit(False), "tags": F.coalesce(F.array_sort(F.array_distinct("tags")), F.array().cast("array<string>")),
     }
-    new = one.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in memories.schema])
+    new = chain.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in memories.schema])
     return kept.unionByName(new), c.select("id", "new_id", F.when(F.col("_ok"), "ok").otherwise("refused").alias("outcome"))
 
 
