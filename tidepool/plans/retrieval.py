@@ -4,10 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import ids, score, text, vector
-from tidepool.operators import context, privacy, search, stats
+from tidepool.operators import context, lists, privacy, search, stats
 from tidepool.operators.filters import live
 from tidepool.operators.textindex import TextIndex
-from tidepool.plans.registry import query, scratch
+from tidepool.plans.registry import query, scratch, stored
 from tidepool.plans.tables import LIVE, shown
 from tidepool.sources import fixtures
 from tidepool.sources.fixtures import NOW
@@ -250,7 +250,7 @@ scored AS (SELECT *, round(0.5 * relevance + 0.25 * recency + 0.15 * importance
 ALL = ("queries", "memories", "vectors")
 
 
-def lists(spark, d):
+def branches(spark, d):
     q, m, index, st, v = store(spark, d)
     words = search.fts_search(q, m, index, st).where("coverage >= 0.2").select("query_id", F.lit("fts").alias("branch"), "rank", "id")
     near = search.knn(q, live_vectors(spark, d).drop("scope", "tags"), 50, 1.0).join(m.select("seq", "id"), "seq")
@@ -259,19 +259,19 @@ def lists(spark, d):
 
 @query("U02", f"{LISTS} SELECT query_id, branch, id, rank FROM lists", ALL)
 def u02(spark, d):
-    return lists(spark, d)[0].select("query_id", "branch", "id", F.col("rank").cast("long").alias("rank"))
+    return branches(spark, d)[0].select("query_id", "branch", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("R06", f"{LISTS} SELECT query_id, id, round(rrf, 6) AS rrf, fts_rank, vector_rank FROM fused", ALL)
 def r06(spark, d):
-    fused = search.rrf_fuse(lists(spark, d)[0])
+    fused = search.rrf_fuse(branches(spark, d)[0])
     rank = lambda b: F.try_element_at("ranks", F.lit(b)).cast("long").alias(f"{b}_rank")
     return fused.select("query_id", "id", F.round("rrf", 6).alias("rrf"), rank("fts"), rank("vector"))
 
 
 @query("W04", f"{LISTS} SELECT query_id, id, round(relevance, 6) AS relevance, round(strength, 6) AS strength FROM norm", ALL)
 def w04(spark, d):
-    n = search.normalised(search.rrf_fuse(lists(spark, d)[0]))
+    n = search.normalised(search.rrf_fuse(branches(spark, d)[0]))
     return n.select("query_id", "id", F.round("relevance", 6).alias("relevance"), F.round("strength", 6).alias("strength"))
 
 
@@ -287,7 +287,7 @@ def r07(spark, d):
 @query("W02", f"{LISTS} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(coalesce(fts_rank, 1000), coalesce(vector_rank, 1000)), id) AS place FROM fused", ALL)
 def w02(spark, d):
     """Fused lists in their full order: score, best rank in any branch, id."""
-    fused = search.rrf_fuse(lists(spark, d)[0]).withColumn("best", F.array_min(F.map_values("ranks")))
+    fused = search.rrf_fuse(branches(spark, d)[0]).withColumn("best", F.array_min(F.map_values("ranks")))
     return fused.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "best", "id")).cast("long").alias("place"))
 
 
@@ -395,6 +395,26 @@ def r16(spark, d):
     return best.select(F.col("query_id").cast("long").alias("a"), F.col("seq").alias("b"), F.round(1 - F.col("distance"), 6).alias("cosine"))
 
 
+@query("R16b", """WITH d AS (SELECT min(seq) AS seq, embedding FROM fx_vectors GROUP BY embedding)
+SELECT a.seq AS a, b.seq AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM d a JOIN d b ON a.seq < b.seq AND round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) >= 0.4
+UNION ALL SELECT v.seq, d.seq, 1.0 FROM fx_vectors v JOIN d ON d.embedding = v.embedding AND d.seq < v.seq""", ("vectors",))
+def r16b(spark, d):
+    """All pairs of different vectors with a cosine of 0.4 or more (the vectors given are spread wide), and each copy with the vector it repeats."""
+    v = fixtures.view(spark, d, "vectors").select("seq", "embedding")
+    pairs = lists.similar_pairs(v, 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return pairs.unionByName(lists.copies(v).where("seq <> first").select(F.col("seq").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("cosine")))
+
+
+@query("J09b")
+def j09b(spark, d):
+    """Approximate neighbours by inverted lists: every query's ten nearest live vectors among the lists probed, as many as
+    reach a recall of 0.95 on a sample of the vectors. Tests hold the recall against the exact search."""
+    v = stored(live_vectors(spark, d).select("seq", "embedding"), "live-vectors")
+    c = lists.centroids(v, 32)
+    kept = stored(lists.assign(v, c), "lists")
+    return shown(lists.knn_approximate(fixtures.view(spark, d, "queries"), kept, c, 10, lists.probes_for(v, kept, c, 10)))
+
+
 FOUND = """found AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'aws-access-key-id' WHEN 1 THEN 'anthropic-key' WHEN 2 THEN 'url-password' WHEN 3 THEN 'generic-bearer' WHEN 4 THEN 'env-secret' END AS kind,
 length(o.text) + CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 14 WHEN 3 THEN 8 WHEN 4 THEN 16 END AS start,
 CASE doc_id % 6 WHEN 0 THEN 20 WHEN 1 THEN 31 WHEN 2 THEN 2 + length(CAST(doc_id AS STRING)) WHEN 3 THEN 20 WHEN 4 THEN 16 END AS n FROM documents o WHERE doc_id % 6 < 5)"""
