@@ -53,7 +53,7 @@ def dedupe_merge(memories: DataFrame, incoming: DataFrame, now: int) -> DataFram
     """
     order = F.struct("pos", "id")
     batch = incoming.groupBy("scope", "content_hash").agg(
-        F.min_by(F.struct("id", "seq", "text", "source_client", "redacted", "origin"), order).alias("r"),
+        F.min_by(F.struct("id", "seq", "text", "source_client", "redacted", "origin", "importance"), order).alias("r"),
         F.max("importance").alias("importance"),
         F.min_by("episode_id", F.when(F.col("episode_id").isNotNull(), order)).alias("episode_id"),
         F.bool_or(F.col("origin") == "user").alias("by_user"),
@@ -62,6 +62,8 @@ def dedupe_merge(memories: DataFrame, incoming: DataFrame, now: int) -> DataFram
     tagged = incoming.select("scope", "content_hash", F.explode("tags").alias("tag")).distinct().groupBy("scope", "content_hash").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     batch = batch.join(tagged, ["scope", "content_hash"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     live = memories.where(is_live())
+    # a write without an importance that makes a row gives it 0.5, which later ones of the batch may raise
+    batch = batch.withColumn("fresh_importance", F.greatest("importance", F.when(F.col("r.importance").isNull(), F.lit(0.5))))
     both = live.alias("m").join(batch.alias("b"), ["scope", "content_hash"], "left")
     hit = F.col("b.r").isNotNull()
     merged = both.select(
@@ -75,7 +77,7 @@ def dedupe_merge(memories: DataFrame, incoming: DataFrame, now: int) -> DataFram
     )
     fresh = batch.join(live.select("scope", "content_hash"), ["scope", "content_hash"], "left_anti")
     values = {
-        "id": F.col("r.id"), "seq": F.col("r.seq"), "text": F.col("r.text"), "source_client": F.col("r.source_client"), "importance": F.coalesce("importance", F.lit(0.5)),
+        "id": F.col("r.id"), "seq": F.col("r.seq"), "text": F.col("r.text"), "source_client": F.col("r.source_client"), "importance": F.col("fresh_importance"),
         "created_at": F.lit(now), "updated_at": F.lit(now), "access_count": F.lit(0), "valid_from": F.lit(now), "redacted": F.col("r.redacted"), "approved": F.lit(False),
         "origin": F.when(F.col("by_user"), F.lit("user")).otherwise(F.col("r.origin")),
     }
@@ -84,13 +86,16 @@ def dedupe_merge(memories: DataFrame, incoming: DataFrame, now: int) -> DataFram
     return memories.where(~is_live()).unionByName(merged).unionByName(new)
 
 
-def bulk_ingest(memories: DataFrame, episodes: DataFrame, clients: DataFrame, incoming: DataFrame, now: int, mode: str = "on", origin: str = "user") -> Ingested:
-    """Takes incoming writes (id, seq, pos, text, scope, source_client, importance, tags[, metadata]) into the store: rows that
-    break a limit and writes of disabled clients are refused; secrets are redacted, or in mode "strict" block the write.
+class Prepared(NamedTuple):
+    rows: DataFrame  # what dedupe_merge takes
+    episodes: DataFrame
+    findings: DataFrame
+    audit: DataFrame
+    rejects: DataFrame
 
-    findings, audit and rejects hold the rows to append to those logs. Everything is derived from ids and `now`, so a
-    retried task gives the same rows.
-    """
+
+def prepare_ingest(clients: DataFrame, incoming: DataFrame, now: int, mode: str = "on", origin: str = "user") -> Prepared:
+    """Everything of bulk_ingest that needs no state: limits, the gate, redaction, hashes and the rows for the logs."""
     judged = gate(with_flaw(incoming), clients)
     if "metadata" not in judged.columns:
         judged = judged.withColumn("metadata", F.lit(None).cast("string"))
@@ -101,11 +106,21 @@ def bulk_ingest(memories: DataFrame, episodes: DataFrame, clients: DataFrame, in
     open_rows = stored(kept.withColumn("content_hash", text.content_hash(F.col("text"))), "ingest")  # five outputs read it
     written = open_rows.where(~F.col("blocked"))
     new_episodes = written.select(F.col("episode_id").alias("id"), F.col("text").alias("content"), "scope", "source_client", "metadata", F.lit(now).cast("long").alias("created_at"), F.lit(False).alias("forgotten"))
-    rows = written.withColumn("origin", F.lit(origin))
     call = lambda df, n, is_refused: df.select(F.lit(now).cast("long").alias("ts"), F.lit("remember").alias("action"), F.col("id").alias("memory_id"), "scope", "source_client", F.lit(n).cast("long").alias("result_count"), F.lit(is_refused).alias("refused"))
     audit = call(written, 1, False).unionByName(call(open_rows.where("blocked"), 0, False)).unionByName(call(refused.where("refused"), 0, True))
     rejects = refused.select("id", "scope", F.coalesce("flaw", F.lit("client disabled")).alias("reason")).unionByName(open_rows.where("blocked").select("id", "scope", F.lit("secret found").alias("reason")))
-    return Ingested(dedupe_merge(memories, rows, now), episodes.unionByName(new_episodes), privacy.findings_rows(open_rows, F.lit(now).cast("long")), audit, rejects)
+    return Prepared(written.withColumn("origin", F.lit(origin)), new_episodes, privacy.findings_rows(open_rows, F.lit(now).cast("long")), audit, rejects)
+
+
+def bulk_ingest(memories: DataFrame, episodes: DataFrame, clients: DataFrame, incoming: DataFrame, now: int, mode: str = "on", origin: str = "user") -> Ingested:
+    """Takes incoming writes (id, seq, pos, text, scope, source_client, importance, tags[, metadata]) into the store: rows that
+    break a limit and writes of disabled clients are refused; secrets are redacted, or in mode "strict" block the write.
+
+    findings, audit and rejects hold the rows to append to those logs. Everything is derived from ids and `now`, so a
+    retried task gives the same rows.
+    """
+    p = prepare_ingest(clients, incoming, now, mode, origin)
+    return Ingested(dedupe_merge(memories, p.rows, now), episodes.unionByName(p.episodes), p.findings, p.audit, p.rejects)
 
 
 def _latest(changes: DataFrame, key: str = "id") -> DataFrame:
@@ -119,11 +134,12 @@ def _outcomes(changes: DataFrame, outcome: Column) -> DataFrame:
 
 
 def update(memories: DataFrame, patches: DataFrame, now: int, mode: str = "on") -> tuple[DataFrame, DataFrame]:
-    """(state, outcomes) after patches (id, text, tags, importance[, pos]), nulls leaving a column as it is.
+    """(state, outcomes) after patches (id, text, tags, importance[, pos]), nulls leaving a column as it is;
+    patches that privacy.redact has been through already are taken as they are.
 
     Superseded rows refuse; a text that another live row of the scope holds, or that two patches of the batch claim, conflicts.
     """
-    p = _latest(privacy.redact(patches, mode))
+    p = _latest(patches if "blocked" in patches.columns else privacy.redact(patches, mode))
     facts = memories.select("id", F.col("scope").alias("_scope"), F.col("deleted_at").alias("_del"), F.col("valid_until").alias("_until"), F.col("content_hash").alias("_old"))
     p = p.join(facts, "id", "left").withColumn("_hash", F.when(F.col("text").isNotNull(), text.content_hash(F.col("text"))))
     taken = memories.where(is_live()).select(F.col("scope").alias("_scope"), F.col("content_hash").alias("_hash"), F.lit(True).alias("_taken")).distinct()

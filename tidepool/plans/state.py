@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.text import content_hash
 from tidepool.operators import embedding, importing, mutations
+from tidepool.operators.keptstate import KeptState
 from tidepool.plans import retrieval
 from tidepool.plans.registry import SQL, query, scratch, stored
 from tidepool.plans.tables import ACTIVE, LIVE, READ, episodes, exported
@@ -37,7 +38,7 @@ def unique_state(spark, d):
 
 UNIQUE = f"state AS (SELECT * EXCLUDE (k) FROM (SELECT *, {HASH.format('text')} AS content_hash, row_number() OVER (PARTITION BY scope, {HASH.format('text')} ORDER BY seq) AS k FROM fx_memories) WHERE k = 1)"
 WRITES = f"writes AS (SELECT doc_id, lang AS scope, source, {HASH.format('text')} AS h, CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 / 10 END AS importance FROM documents WHERE length(text) <= 65536 AND trim(text) <> '' AND doc_id % 7 NOT IN (0))"
-MERGED = f"""{WRITES}, merged AS (SELECT scope, h, concat('n', lpad(CAST(min(doc_id) AS STRING), 8, '0')) AS id, coalesce(max(importance), 0.5) AS importance, string_agg(DISTINCT source, ',' ORDER BY source) AS tags, concat('e-n', lpad(CAST(min(doc_id) AS STRING), 8, '0')) AS episode_id FROM writes GROUP BY scope, h)"""
+MERGED = f"""{WRITES}, merged AS (SELECT scope, h, concat('n', lpad(CAST(min(doc_id) AS STRING), 8, '0')) AS id, greatest(max(importance), arg_min(coalesce(importance, 0.5), doc_id)) AS importance, string_agg(DISTINCT source, ',' ORDER BY source) AS tags, concat('e-n', lpad(CAST(min(doc_id) AS STRING), 8, '0')) AS episode_id FROM writes GROUP BY scope, h)"""
 
 
 def ingest(spark, d):
@@ -58,8 +59,8 @@ def f09b(spark, d):
     return ingest(spark, d).rejects.select("id", "reason")
 
 
-@query("M02", f"""WITH {UNIQUE}, batch AS (SELECT source AS scope, {HASH.format('text')} AS h, max(CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 / 10 END) AS importance, min(doc_id) AS first, string_agg(DISTINCT lang, ',') AS lang FROM documents GROUP BY 1, 2)
-SELECT coalesce(s.id, concat('n', lpad(CAST(b.first AS STRING), 8, '0'))) AS id, round(CASE WHEN s.id IS NULL THEN coalesce(b.importance, 0.5) WHEN b.h IS NULL THEN s.importance ELSE greatest(s.importance, b.importance) END, 6) AS importance,
+@query("M02", f"""WITH {UNIQUE}, batch AS (SELECT source AS scope, {HASH.format('text')} AS h, max(CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 / 10 END) AS importance, arg_min(CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 / 10 ELSE 0.5 END, doc_id) AS given, min(doc_id) AS first, string_agg(DISTINCT lang, ',') AS lang FROM documents GROUP BY 1, 2)
+SELECT coalesce(s.id, concat('n', lpad(CAST(b.first AS STRING), 8, '0'))) AS id, round(CASE WHEN s.id IS NULL THEN greatest(b.importance, b.given) WHEN b.h IS NULL THEN s.importance ELSE greatest(s.importance, b.importance) END, 6) AS importance,
 CASE WHEN b.h IS NOT NULL THEN 'user' ELSE s.origin END AS origin FROM (SELECT * FROM state WHERE {LIVE}) s FULL JOIN batch b ON s.scope = b.scope AND s.content_hash = b.h
 UNION ALL SELECT id, round(importance, 6), origin FROM state WHERE NOT ({LIVE})""", ("memories",))
 def m02(spark, d):
@@ -260,6 +261,21 @@ def t01(spark, d):
     return kept.distinct().withColumn("kept", F.lit(True))
 
 
+@query("T01b", f"WITH {MERGED} SELECT id, scope, h AS content_hash, round(importance, 6) AS importance, tags, episode_id FROM merged")
+def t01b(spark, d):
+    """Documents arriving in four files, each a batch of its own, redacted and merged into a kept state: the same rows as one
+    bulk ingest leaves, and repeats come as late as they like."""
+    path, docs = scratch(spark), spark.read.parquet(f"{d}/documents.parquet")
+    writes, last = incoming(spark, d), docs.agg(F.max("doc_id")).first()[0] or 0
+    for k in range(4):  # one after the other, for files are taken by their time
+        writes.where(F.floor(F.col("seq") * 4 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    kept = KeptState(spark, f"{path}/state", 16)
+    clients = fixtures.clients(spark, d).select("id", "name", "first_seen", "last_seen", (F.col("id") != "client0").alias("enabled"))
+    jobs.ingest(stream, kept, clients, NOW, f"{path}/checkpoint")
+    return kept.read().select("id", "scope", "content_hash", F.round("importance", 6).alias("importance"), F.array_join("tags", ",").alias("tags"), "episode_id")
+
+
 @query("T02", f"SELECT seq, 'hash-32' AS model_id FROM fx_memories WHERE {LIVE}", ("memories",))
 def t02(spark, d):
     """The index fed by a stream of documents."""
@@ -304,3 +320,24 @@ def s12(spark, d):
     changes = events_stream(spark, d).where("action in ('remember', 'update_memory')").select("id", "memory_id", "action")
     return drained(spark, jobs.change_feed(changes, ["m00000007", "m00000011", "m00000013"]), "append")
 
+
+LIVE_OF = LIVE.replace("deleted_at", "s.deleted_at").replace("valid_until", "s.valid_until")
+
+
+@query("S12b", f"""WITH {UNIQUE} SELECT 2 AS version, 'update' AS kind, 'update' AS action, id AS memory_id, 'importance 0.25' AS what FROM state s WHERE seq % 5 = 1 AND {LIVE_OF}
+UNION ALL SELECT 3, 'update', 'forget', id, 'deleted' FROM state WHERE seq % 5 = 2 AND deleted_at IS NULL
+UNION ALL SELECT 4, 'update', 'supersede', id, concat('superseded by ', id, '-1') FROM state s WHERE seq % 5 = 3 AND {LIVE_OF}
+UNION ALL SELECT 4, 'insert', 'supersede', concat(id, '-1'), 'new' FROM state s WHERE seq % 5 = 3 AND {LIVE_OF}""", ("memories",))
+def s12b(spark, d):
+    """The feed of a kept state: what updates, soft deletes and supersessions changed, row by row."""
+    path, m = scratch(spark), unique_state(spark, d)
+    kept = KeptState(spark, f"{path}/state", 16)
+    kept.load(m)
+    some = lambda k: m.where(F.col("seq") % 5 == k)
+    kept.update(some(1).select("id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("tags"), F.lit(0.25).alias("importance")), NOW + 1)
+    kept.forget(some(2).select("id"), NOW + 2)
+    kept.supersede(some(3).select("id", F.lit(1).alias("pos"), F.concat("id", F.lit("-1")).alias("new_id"), (F.col("seq") + 10**9).alias("new_seq"), F.concat(F.lit("after "), "id").alias("text"), "source_client", F.lit(None).cast("double").alias("importance"), F.lit(None).cast("array<string>").alias("tags"), F.lit(NOW + 3).alias("created_at")))
+    feed = jobs.change_feed(kept.changes(stream=True).where("action <> 'load'"))
+    what = F.when(F.col("kind") == "insert", "new").when(F.col("action") == "update", F.concat(F.lit("importance "), F.col("after.importance").cast("string")))
+    what = what.when(F.col("before.deleted_at").isNull() & F.col("after.deleted_at").isNotNull(), "deleted").when(F.col("before.superseded_by").isNull(), F.concat(F.lit("superseded by "), F.col("after.superseded_by")))
+    return drained(spark, feed.select(F.col("version").cast("int").alias("version"), "kind", "action", "memory_id", what.alias("what")), "append")

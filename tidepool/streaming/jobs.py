@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text
 from tidepool.operators import privacy, stats
+from tidepool.operators.keptstate import KeptState
 
 
 def drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -46,3 +47,10 @@ def change_feed(changes: DataFrame, memory_ids: list[str] | None = None, scope:
     """What a subscriber of some memories or of a scope sees of the change log."""
     rows = changes if memory_ids is None else changes.where(F.col("memory_id").isin(memory_ids))
     return rows if scope is None else rows.where(F.col("scope") == scope)
+
+
+def ingest(stream: DataFrame, state: KeptState, clients: DataFrame, now: int, checkpoint: str, mode: str = "on", source: str = "stream") -> None:
+    """Takes all writes that have arrived into the state, batch after batch: limits, gate, redaction and the merge with the
+    live row of the same text, however long ago it came, for the state itself remembers, not a watermark. A batch that is run
+    again after a failure is taken in once."""
+    drain(stream, lambda df, k: state.ingest(clients, df, now, mode, source=source, batch=k) and None, checkpoint)
