@@ -241,6 +241,25 @@ def test_page_under_ties(spark):
     assert seen == [f"m{k:02d}" for k in range(24, -1, -1)]
 
 
+@pytest.mark.parametrize("levels", [0, 3, 16])
+def test_timelines_equal_brute_force(spark, levels):
+    """Intervals that begin before, end after, touch, are open, empty, or of deleted rows."""
+    rnd = np.random.default_rng(levels)
+    rows = [memory(k, scope="ab"[k % 2], valid_from=int(a), valid_until=None if k % 5 == 0 else int(a + w), deleted_at=9 if k % 7 == 0 else None) for k, (a, w) in enumerate(zip(rnd.integers(-50, 300, 120), rnd.choice([0, 1, 7, 60, 400], 120)))]
+    m = memories(spark, *rows, hash=False)
+    at = sorted({int(x) for x in rnd.integers(0, 260, 70)})
+    asked = spark.createDataFrame([(x,) for x in [*at, at[0], None]], "at long")
+    holds = [(x, r["id"], r["scope"]) for x in at for r in rows if r["deleted_at"] is None and r["valid_from"] <= x and (r["valid_until"] is None or r["valid_until"] > x)]
+    assert sorted((r.at, r.id) for r in filters.timeline_at(m, asked, ["id"], levels).collect()) == sorted(h[:2] for h in holds)
+    whole = filters.timeline_at(m, asked, None, levels)
+    assert whole.columns == ["at", *m.columns] and sorted((r.at, r.id) for r in whole.collect()) == sorted(h[:2] for h in holds)
+    sizes = {}
+    for x, _, scope in holds:
+        sizes[x, scope] = sizes.get((x, scope), 0) + 1
+    assert {(r.at, r.scope): r.n for r in filters.timeline_sizes(m, asked, "scope", levels).collect()} == sizes
+    assert filters.timeline_at(m, asked.limit(0)).count() == 0 == filters.timeline_sizes(m, asked.limit(0)).count()
+
+
 def test_supersede_chain(spark):
     m = memories(spark, memory(1, valid_from=NOW))
     steps = [(f"m{1}", k, f"n{k}", 100 + k, f"t{k}", "c", None, ["x"], NOW) for k in range(3)]

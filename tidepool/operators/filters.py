@@ -65,6 +65,83 @@ def timeline(memories: DataFrame, instants: list[int]) -> DataFrame:
     return memories.where(F.col("deleted_at").isNull()).select(F.explode(held).alias("at"), "*")
 
 
+def _span(instants: DataFrame, levels: int) -> tuple[int, int] | None:
+    """The first instant and the width of a bucket, for 2^levels buckets over all instants."""
+    low, high = instants.agg(F.min("at"), F.max("at")).first()
+    return None if low is None else (low, (high - low >> levels) + 1)
+
+
+def _cover(first: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, node>>: buckets first to end - 1 as the fewest nodes of a binary tree, two a level at most."""
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    at = lambda level, node: F.struct(level.cast("int").alias("level"), node.cast("bigint").alias("node"))
+
+    def climb(acc, level):
+        inside = acc["l"] < acc["r"]
+        left, right = inside & (acc["l"] % 2 == 1), inside & (acc["r"] % 2 == 1)
+        out = F.concat(acc["out"], F.when(left, F.array(at(level, acc["l"]))).otherwise(none), F.when(right, F.array(at(level, acc["r"] - 1))).otherwise(none))
+        return F.struct(F.shiftright(acc["l"] + left.cast("bigint"), 1).alias("l"), F.shiftright(acc["r"] - right.cast("bigint"), 1).alias("r"), out.alias("out"))
+
+    start = F.struct(first.cast("bigint").alias("l"), end.cast("bigint").alias("r"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, climb)["out"]
+
+
+def _parts(memories: DataFrame, low: int, width: int, levels: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of rows not deleted: (columns, level, node) for the buckets that they hold throughout, and (columns, node, valid_from,
+    valid_until) for those in which they begin or end."""
+    rows = memories.where("deleted_at is null and valid_from is not null and (valid_until is null or valid_until > valid_from)")
+    bucket = lambda t: F.floor((t - low) / width).cast("bigint")
+    most = F.lit(1 << levels).cast("bigint")
+    begin, end = bucket(F.col("valid_from")), F.when(F.col("valid_until").isNull(), most).otherwise(bucket(F.col("valid_until")))
+    own = [c for c in ("valid_from", "valid_until") if c not in columns]
+    rows = rows.select(*columns, *own, begin.alias("_b"), end.alias("_e")).where((F.col("_b") < most) & (F.col("_e") >= 0))
+    whole = rows.select(*columns, F.explode(_cover(F.greatest(F.col("_b") + 1, F.lit(0)), F.least("_e", most), levels)).alias("x")).select(*columns, "x.level", "x.node")
+    edge = rows.select(*columns, *own, F.explode(F.array_distinct(F.array("_b", "_e"))).alias("node")).where((F.col("node") >= 0) & (F.col("node") < most))
+    return whole, edge
+
+
+def _nodes(instants: DataFrame, low: int, width: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """(at, level, node) for every node of the tree above an instant, and (at, node) of its bucket."""
+    bucket = F.floor((F.col("at") - low) / width).cast("bigint")
+    own = instants.select("at", bucket.alias("node"))
+    up = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.floor(F.col("node") / F.pow(F.lit(2.0), k)).cast("bigint")))
+    return own.select("at", up.alias("level", "node")), own
+
+
+def timeline_at(memories: DataFrame, instants: DataFrame, columns: list[str] | None = None, levels: int = 16) -> DataFrame:
+    """(at, columns): the rows that held at each of any number of instants (at); all of memories' columns, if none are named.
+
+    An interval join by equality: time is cut into 2^levels buckets, an interval becomes the few nodes of the binary tree over
+    them that it holds throughout, and an instant looks up every node above it. Where an interval begins or ends inside a
+    bucket, it meets that bucket's instants and is tested. Equal instants are one.
+    """
+    columns, asked = columns or memories.columns, instants.where("at is not null").select(F.col("at").cast("bigint").alias("at")).distinct()
+    if (span := _span(asked, levels)) is None:
+        return asked.join(memories.select(*columns).limit(0), F.lit(False))
+    whole, edge = _parts(memories, *span, levels, columns)
+    nodes, own = _nodes(asked, *span, levels)
+    inside = nodes.join(whole, ["level", "node"]).select("at", *columns)
+    holds = (F.col("_from") <= F.col("at")) & (F.col("_until").isNull() | (F.col("_until") > F.col("at")))
+    at_ends = edge.withColumnsRenamed({} if "valid_from" in columns else {"valid_from": "_from", "valid_until": "_until"})
+    at_ends = at_ends.withColumns({"_from": F.col("valid_from"), "_until": F.col("valid_until")}) if "valid_from" in columns else at_ends
+    return inside.unionByName(own.join(at_ends, "node").where(holds).select("at", *columns))
+
+
+def timeline_sizes(memories: DataFrame, instants: DataFrame, by: str = "scope", levels: int = 16) -> DataFrame:
+    """(at, by, n): how many rows held at each instant; none where none did. Intervals are counted by node before they meet the
+    instants, so neither the pairs of rows and instants nor a long list of either is ever made."""
+    asked = instants.where("at is not null").select(F.col("at").cast("bigint").alias("at")).distinct()
+    if (span := _span(asked, levels)) is None:
+        return asked.join(memories.select(by).limit(0), F.lit(False)).withColumn("n", F.lit(0).cast("bigint"))
+    whole, edge = _parts(memories, *span, levels, [by])
+    nodes, own = _nodes(asked, *span, levels)
+    counted = whole.groupBy(by, "level", "node").agg(F.count("*").alias("n"))
+    ends = edge.groupBy(by, "node", "valid_from", "valid_until").agg(F.count("*").alias("n"))
+    holds = (F.col("valid_from") <= F.col("at")) & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col("at")))
+    some = nodes.join(counted, ["level", "node"]).select("at", by, "n").unionByName(own.join(ends, "node").where(holds).select("at", by, "n"))
+    return some.groupBy("at", by).agg(F.sum("n").alias("n"))
+
+
 def by_ids(memories: DataFrame, ids: DataFrame, include_deleted: bool = False, include_superseded: bool = False) -> DataFrame:
     return list_memories(memories, include_deleted=include_deleted, include_superseded=include_superseded).join(ids.select("id").distinct(), "id", "left_semi")
 

@@ -147,6 +147,27 @@ def f05(spark, d):
     return filters.timeline(fixtures.memories(spark, d), INSTANTS).select(F.col("at").alias("instant"), "id")
 
 
+EVENT_MS = "SELECT DISTINCT epoch_us(ts) // 1000 AS at FROM events"
+
+
+def event_instants(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query("F05b", f"SELECT a.at AS at, m.scope, count(*) AS n FROM ({EVENT_MS}) a JOIN fx_memories m ON deleted_at IS NULL AND valid_from <= a.at AND (valid_until IS NULL OR valid_until > a.at) GROUP BY 1, 2", ("memories",))
+def f05b(spark, d):
+    """How many memories of each scope held at the instant of every event."""
+    return filters.timeline_sizes(fixtures.memories(spark, d), event_instants(spark, d))
+
+
+@query("F05c", f"SELECT a.at AS at, m.id FROM ({EVENT_MS}) a JOIN fx_memories m ON deleted_at IS NULL AND valid_from <= a.at AND valid_until > a.at", ("memories",))
+def f05c(spark, d):
+    """Which of the memories that were superseded later held at the instant of every event."""
+    m = fixtures.memories(spark, d).where("valid_until is not null")
+    return filters.timeline_at(m, event_instants(spark, d), ["id"])
+
+
 @query("F06", f"SELECT id, scope FROM fx_memories WHERE {LIVE} AND seq IN (SELECT item_id FROM benchmark)", ("memories",))
 def f06(spark, d):
     ids = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("m"), F.lpad(F.col("item_id").cast("string"), 8, "0")).alias("id"))
