@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.test_set_ops import groups
-from tests.llm.test_text_ops import brute_kneser_ney, unseen_scores
+from tests.llm.test_text_ops import unseen_scores
 from tidepool.llm import secrets, toxicity
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -48,13 +48,10 @@ def quantile(xs, q):
 def survivors(docs, labels, model):
     """The stages before packing in plain Python; the toxicity model is the only thing taken over."""
     trusted = {i for i, quality, _ in labels if quality == 1}
-    p = brute_kneser_ney([t for i, t, *_ in docs if i in trusted])
-    raw = {i: -p(t) / len(t) for i, t, *_ in docs if t}
-    unseen = unseen_scores({i: t for i, t, *_ in docs if i in trusted})
-    middle = quantile(unseen.values(), 0.5)
-    drawn = lambda v, t: (v * len(t) + middle * 200) / (len(t) + 200)
-    score = {i: drawn(raw[i], t) for i, t, *_ in docs if t}
-    limit = quantile([drawn(unseen[i], t) for i, t, *_ in docs if i in trusted], 0.999)
+    raw = unseen_scores({i: t for i, t, *_ in docs if t}, trusted)
+    middle = quantile([raw[i] for i in trusted], 0.5)
+    score = {i: (raw[i] * len(t) + middle * 200) / (len(t) + 200) for i, t, *_ in docs if t}
+    limit = quantile([score[i] for i in trusted], 0.999)
     docs = [d for d in docs if not d[1] or score[d[0]] <= limit + 1e-9]
     one = toxicity.scorer(*model(docs))
     docs = [d for d in docs if one(d[1]) < 0.5]

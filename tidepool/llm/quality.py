@@ -15,13 +15,14 @@ A document's score is its mean negative log probability, drawn towards its langu
 characters had that value (short texts vary by chance). It is rejected if the score lies above the `high` quantile of its
 language's trusted documents. Languages without trusted text use the largest of these thresholds.
 
-Medians and quantiles come from scores that the trusted documents get unseen: they are dealt into `folds` by a hash of the
-text (equal texts together), and each fold is scored by a model of the other folds' counts. Scores of what a model was
-taught are lower than those of any other document, so a quantile of them would reject good text. All models, that of all
-trusted text and one for each fold, are counted, asked and joined in one pass, told apart by a column `m`.
-
-Null and empty text have no score and are kept. Without trusted text all is kept; with a single trusted text, which no other
-fold can score, nearly all. Repeated rows get the same score. An
+No document is scored by a model that was taught with it: texts are dealt into `folds` by a hash (equal texts together), and
+a document's model has the counts of the other folds' trusted texts. So trusted documents are scored unseen, like all others,
+and a quantile of their scores is what good text that nobody has labelled reaches too; scores of what a model was taught are
+lower, and a quantile of those would reject good text. The models are counted, asked and joined in one pass, told apart by a
+column `m`.
+
+Null and empty text have no score and are kept. Without trusted text all is kept. A document whose
+other folds have no trusted text (there is a single one, say) counts as uniform noise, in thresholds as well. Repeated rows get the same score. An
 empty table gives no rows. Long texts are scored whole. Null lang is a language of its own. Further columns are ignored.
 """
 
@@ -103,7 +104,7 @@ def _grams(batches, most: int = 1 << 20):
     yield from out()
 
 
-#: The model of all trusted text; model k >= 0 lacks fold k.
+#: The model of all trusted text, where there are no folds; else model k lacks fold k.
 WHOLE = -1
 Model = dict[int, tuple[DataFrame, DataFrame, DataFrame]]
 
@@ -113,7 +114,7 @@ def train(trusted: DataFrame, folds: int = 0) -> Model:
     m; trusted (text[, fold])."""
     rows = trusted.select(F.col("fold") if folds else F.lit(0).alias("fold"), "text")
     by_fold = rows.mapInArrow(_grams, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
-    models = F.array(*[F.lit(m) for m in range(WHOLE, folds)])
+    models = F.array(*[F.lit(m) for m in (range(folds) if folds else [WHOLE])])
     each = by_fold.select(F.explode(F.filter(models, lambda m: m != F.col("fold")) if folds else models).alias("m"), "key", "n")
     counts = save(each.groupBy("m", "key").agg(F.sum("n").alias("n")), "grams")
     model = {}
@@ -153,9 +154,9 @@ def probabilities(asked: DataFrame, model: Model) -> DataFrame:
     return below
 
 
-def _chunks(batches, chunk: int, folds: int, grams_only: bool):
+def _chunks(batches, chunk: int, grams_only: bool):
     """A row for each chunk and n-gram (chunk, m, key) with grams_only, else a row for each chunk (chunk, m, documents, texts).
-    A chunk is for one model; the folds' chunks are smaller, for a task fills one of each at a time."""
+    A chunk is for one model; a task fills one for each at a time."""
 
     def row(m, hs, ids, langs, texts):
         size = np.array([len(t) for t in texts], "<i8")
@@ -165,7 +166,7 @@ def _chunks(batches, chunk: int, folds: int, grams_only: bool):
             for some in slices(texts, 1 << 22):
                 key = np.union1d(key, keys([symbols(t) for t in some]))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name)), pa.array(np.full(len(key), m, np.int32)), pa.array(key)], names=["chunk", "m", "key"])
-        packed = zstandard.ZstdCompressor(level=3).compress("".join(texts).encode("utf-8", "surrogatepass"))
+        packed = zstandard.ZstdCompressor(level=5).compress("".join(texts).encode("utf-8", "surrogatepass"))
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m], pa.int32()), pa.array([hs], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([size.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "m", "hs", "ids", "langs", "sizes", "packed"])
 
     held: dict[int, tuple[list, list, list, list]] = {}
@@ -173,7 +174,7 @@ def _chunks(batches, chunk: int, folds: int, grams_only: bool):
     for b in batches:
         for m, h, i, lang, text in zip(*(b.column(k).to_pylist() for k in range(5))):
             text = text or ""
-            if m in held and filled[m] + len(text) > (chunk if m == WHOLE else chunk // folds):
+            if m in held and filled[m] + len(text) > chunk:
                 yield row(m, *held.pop(m))
             if m not in held:
                 held[m], filled[m] = ([], [], [], []), 0
@@ -230,29 +231,31 @@ def _score(batches):
                 v = np.concatenate([[0.0], np.cumsum(logs[key], dtype=np.float64)]) if len(key := keys(parts)) else np.zeros(1)
                 to = np.cumsum(size)
                 total += (v[to] - v[to - size]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), x["m"], np.int32)), pa.array(x["hs"], pa.int64()), pa.array(x["ids"], pa.int64()), pa.array(x["langs"], pa.string()), pa.array(sizes), pa.array(total, pa.float64())], names=["m", "h", "doc_id", "lang", "n", "log_p"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["hs"], pa.int64()), pa.array(x["ids"], pa.int64()), pa.array(x["langs"], pa.string()), pa.array(sizes), pa.array(total, pa.float64())], names=["h", "doc_id", "lang", "n", "log_p"])
+
+
+def fold_of(text: F.Column, folds: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
 
 
 def log_probabilities(docs: DataFrame, trusted: DataFrame, chunk: int = 1 << 24, folds: int = 0) -> DataFrame:
-    """(m, h, doc_id, lang, n, log_p) of every document under the model of all trusted text (m = -1); h tells rows with other
-    ids or texts apart. With folds, trusted (doc_id, lang, text, fold) also has a row for each of its own rows under the
-    model that lacks the row's fold (m is the fold)."""
-    columns = lambda df, m: df.select(m.cast("int").alias("m"), F.xxhash64("doc_id", "text").alias("h"), "doc_id", "lang", "text")
-    rows = columns(docs, F.lit(WHOLE))
-    rows = rows.unionByName(columns(trusted, F.col("fold"))) if folds else rows
-    model = train(trusted, folds)
-    asked = save(rows.mapInArrow(lambda it: _chunks(it, chunk, folds, True), "chunk long, m int, key long"), "asked")
+    """(h, doc_id, lang, n, log_p) of every document, under the model of all trusted text, or with folds under that of the other
+    folds'; h tells rows with other ids or texts apart."""
+    own = fold_of(F.col("text"), folds) if folds else F.lit(WHOLE)
+    rows = docs.select(own.alias("m"), F.xxhash64("doc_id", "text").alias("h"), "doc_id", "lang", "text")
+    model = train(trusted.select(own.alias("fold"), "text") if folds else trusted, folds)
+    asked = save(rows.mapInArrow(lambda it: _chunks(it, chunk, True), "chunk long, m int, key long"), "asked")
     known = probabilities(asked.select("m", "key").distinct(), model)
     answers = asked.join(known, ["m", "key"]).select("chunk", "key", "p").sortWithinPartitions("chunk", "key").mapInArrow(_answers, "chunk long, keys binary, logs binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("keys", "logs")).alias("answers"))  # a chunk's n-grams
-    packed = rows.mapInArrow(lambda it: _chunks(it, chunk, folds, False), "chunk long, m int, hs array<long>, ids array<long>, langs array<string>, sizes binary, packed binary")
-    return save(packed.join(answers, "chunk", "left").select("m", "hs", "ids", "langs", "sizes", "packed", "answers").mapInArrow(_score, "m int, h long, doc_id long, lang string, n long, log_p double"), "scores")
+    packed = rows.mapInArrow(lambda it: _chunks(it, chunk, False), "chunk long, m int, hs array<long>, ids array<long>, langs array<string>, sizes binary, packed binary").drop("m")
+    return save(packed.join(answers, "chunk", "left").select("hs", "ids", "langs", "sizes", "packed", "answers").mapInArrow(_score, "h long, doc_id long, lang string, n long, log_p double"), "scores")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior: int = 200, chunk: int = 1 << 24, stored: bool = False, folds: int = 5) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior: int = 200, chunk: int = 1 << 24, stored: bool = False, folds: int = 2) -> DataFrame:
     """(doc_id, h, lang, n_chars, log_perplexity, score, threshold, keep) of every document.
 
-    trusted_ids (doc_id): the documents that teach the model and, each unseen, set the quantiles.
+    trusted_ids (doc_id): the documents that teach the models and set the quantiles.
     """
     docs = docs.select("doc_id", "lang", "text")
     if not stored:
@@ -265,14 +268,13 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, high: float = 0.999, prior
     before = {k: spark.conf.get(k) for k in bloom}
     for k, v in bloom.items():
         spark.conf.set(k, v)
-    try:  # stored, for it is read three times and its rows must keep their order
-        fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold")
-        trusted = save(docs.join(ids.hint("merge"), "doc_id", "left_semi").where("text <> ''").select("doc_id", "lang", "text", fold), "trusted")
+    try:
+        scores = log_probabilities(docs, docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), chunk, folds)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    scores = log_probabilities(docs, trusted, chunk, folds).withColumn("raw", F.when(F.col("n") > 0, -F.col("log_p") / F.col("n")))
-    unseen, scores = scores.where(F.col("m") != WHOLE), scores.where(F.col("m") == WHOLE)
+    scores = scores.withColumn("raw", F.when(F.col("n") > 0, -F.col("log_p") / F.col("n")))
+    unseen = scores.where("raw is not null").join(ids, "doc_id", "left_semi")
     medians = unseen.groupBy("lang").agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("median"))
     everywhere = unseen.agg(F.expr("percentile_approx(raw, 0.5, 10000)").alias("all_median"))
     drawn = (F.col("raw") * F.col("n") + F.col("median") * prior) / (F.col("n") + prior)

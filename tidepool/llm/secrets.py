@@ -1,8 +1,8 @@
 """Secret scan: base patterns, and credential values judged by the least number of guesses that finds them.
 
 `scan` gives, for every row of a documents table, the spans of three base kinds (assign, access, hex) and of the kind
-`guess`: a value in a credential context (password, token, pwd, auth, names that end in one after `_`, Bearer, a password
-before the @ of a URL, ...) whose cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans
+`guess`: a value in a credential context (password, token, pwd, auth, names that hold one, options and elements named so,
+Bearer, a password before the @ of a URL, names in other languages, ...) whose cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans
 still costs `min_log10` decimal digits of guesses. The value is what the quotes hold, or all up to white space. Words are
 frequent passwords and the words of two public vocabularies by rank, so an ordinary word after a context stays; a value of
 several words, or of a word that neither vocabulary has, may cost enough to be a span.
@@ -26,15 +26,21 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+#: Names of credentials, in five languages; base names may stand inside longer ones, what follows after _ or - belongs to them.
+NAME = r"(?:password|passwd|secret|token|api[_-]?key|passwort|kennwort|contrase[ñÑ]a|mot[\x20]de[\x20]passe|[Пп]ароль|(?<![a-z0-9])(?:pwd|passphrase|pass|credentials?|authorization|auth|bearer|private_?key|login))(?:[_-][a-z0-9]{1,24}){0,6}+"
 CONTEXT = re.compile(
-    r"""(?:password|passwd|secret|token|api_?key|(?<![a-z0-9])(?:pwd|passphrase|pass|credentials?|authorization|auth|bearer|private_?key|login))["']?(?:[\x20\t]*[:=][=>]?[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:(?:bearer|basic)[\x20\t]+)?|(?<![a-z0-9])bearer[\x20\t]+""",
+    NAME + r"""["']?(?:[\x20\t]*[:=][=>]?[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:(?:bearer|basic)[\x20\t]+)?|(?<![a-z0-9])bearer[\x20\t]+|(?<!\S)--?(?:[a-z0-9]{1,24}-){0,4}?"""
+    + NAME + r"""[\x20\t]+(?!-)""",
     re.I | re.A,
 )
 #: A value after its context: quoted (with or without escapes), or up to white space.
 VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|"([^"\n]{6,})"|'([^'\n]{6,})'|"(?![^"\n]*")(\S{6,})|'(?![^'\n]*')(\S{6,})|(?!["'])(\S{6,})""")
 #: A password inside a URL ends at the last @ before a slash, question mark, hash or white space; without an @ it is a port.
 URL = re.compile(r"""(?<=[a-z0-9+.-])://[^\s:/@?#]*:([^\s/?#"'<>]{6,})@""", re.I | re.A)
-HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "secret", "token", "apikey", "api_key")
+#: What an element named after a credential holds, and a password that is glued to an option of a database's client.
+ELEMENT = re.compile(r"<((?:[a-z][a-z0-9.-]*:)?" + NAME + r")(?:\s[^<>]*)?>\s*([^<\s]{6,})\s*</\1>", re.I | re.A)
+GLUED = re.compile(r"(?<![a-z0-9])(?:mysql[a-z]*|mariadb[a-z-]*|sshpass)(?:[\x20\t]+(?!-p)\S+){0,16}+[\x20\t]+-p(\S{6,})", re.I | re.A)
+HINTS = ("pwd", "pass", "cred", "auth", "bearer", "private", "login", "secret", "token", "apikey", "api_key", "kennwort", "contrase", "парол")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Frequent passwords and words in them, most frequent first.
 WORDS = (
@@ -184,8 +190,12 @@ def values(text: str, low: str):
             if context.end() >= at and (m := VALUE.match(text, context.end())):
                 at = m.end()
                 yield m.span(m.lastindex)
+        if "</" in text:
+            yield from (m.span(2) for m in ELEMENT.finditer(text))
     if "://" in text:
         yield from (m.span(1) for m in URL.finditer(text))
+    if " -p" in text:
+        yield from (m.span(1) for m in GLUED.finditer(text))
 
 
 def listed(found: list[tuple[int, int, int]]) -> str:
@@ -212,7 +222,7 @@ def scan(docs: DataFrame, min_log10: float = 6.0) -> DataFrame:
 
 
 def redact(docs: DataFrame, min_log10: float = 6.0, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with every span replaced by [secret:kind] (overlapping spans by one mark, that of the first), length renewed.
+    """docs with every span that costs min_log10 digits of guesses, base spans too, replaced by [secret:kind] (overlapping spans by one mark, that of the first), length renewed.
 
     All rows and columns stay; null text stays null. A table without the length column gets none.
     """
@@ -233,9 +243,12 @@ def redact(docs: DataFrame, min_log10: float = 6.0, text: str = "text", length:
 
 
 def masked(text: str, min_log10: float) -> str:
+    """text with marks for its secrets: a base span is one if its value costs the guesses, as any other does."""
     parts, at = [], 0
     found, _ = spans_of(text, min_log10)
     for start, kind, end in found:
+        if kind < 3 and guesses(ASSIGN.fullmatch(text, start, end)[2] if kind == 0 else text[start:end]) < min_log10:
+            continue
         if start >= at:
             parts += [text[at:start], f"[secret:{KINDS[kind]}]"]
         at = max(at, end)
