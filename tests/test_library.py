@@ -335,6 +335,27 @@ def test_archive_round_trip(spark, tmp_path):
     assert {r.outcome for r in out.collect()} == {"duplicate_id"} and state.count() == 6
 
 
+def test_exports_stay_under_the_caps_of_their_import(spark, tmp_path):
+    """More rows and bytes than a file may hold come out in several files, and all of them come back in."""
+    rows = [memory(k, text=f"text {k} " + "é" * (k % 500)) for k in range(900)]
+    m, path = memories(spark, *rows), str(tmp_path / "out")
+    told = m.select(F.concat(F.lit("e"), "id").alias("id"), F.col("text").alias("content"), "scope", "source_client", F.lit(None).cast("string").alias("metadata"), "created_at", F.lit(False).alias("forgotten"))
+    archive.export(m.coalesce(1), told.coalesce(1), path, most_bytes=100_000, most_lines=120)
+    sheet = archive.manifest(spark, path)
+    assert sheet.agg(F.max("bytes"), F.max("rows")).first() < (100_000, 121) and sheet.count() > 16
+    got = importing.import_archive(spark, path, sheet, m.limit(0), told.limit(0), NOW, most_bytes=100_000, most_lines=120)
+    assert {r.id for r in got.memories.select("id").collect()} == {r["id"] for r in rows} and got.episodes.count() == 900
+    with pytest.raises(ValueError, match="above the cap"):
+        archive.export(m, told, str(tmp_path / "small"), most_bytes=100)
+
+
+def test_entries_of_long_pastes_have_numbers_of_their_own(spark):
+    lines = spark.createDataFrame([(k, "\n".join(f"line {j} of {k}" for j in range(n))) for k, n in enumerate((700, 3, 1200))], "doc_id long, text string")
+    rows = imports.as_incoming(imports.parse_pasted(lines, most=None), "paste", F.lit("s"), ["t"], 10).orderBy("pos").collect()
+    assert len({r.seq for r in rows}) == len({r.id for r in rows}) == 1903 and [r.text for r in rows] == [f"line {j} of {k}" for k, n in enumerate((700, 3, 1200)) for j in range(n)]
+    assert len({r.pos for r in imports.as_incoming(imports.parse_pasted(lines), "paste", F.lit("s"), [], 0).collect()}) == 1003
+
+
 def test_pasted_lines(spark):
     rows = imports.parse_pasted(spark.createDataFrame([(1, "- one\r\n2) two\r\r---\n\u2022 three\n   \n" + "x" * 3000)], "doc_id long, text string")).orderBy("pos").collect()
     assert [r.entry for r in rows[:3]] == ["one", "two", "three"] and len(rows[3].entry) == 2000 and len(rows) == 4

@@ -243,12 +243,13 @@ def events_stream(spark, d):
 
 
 def drained(spark, stream, mode):
-    """What a stream's batches leave: all rows in append mode, the last result in complete mode."""
+    """What a stream's batches leave: all rows in append mode, the last result in complete mode. A batch has a folder of its
+    own, so one that is run again replaces what it wrote."""
     path = scratch(spark)
-    write = "overwrite" if mode == "complete" else "append"
-    stored(stream.sparkSession.createDataFrame([], stream.schema)).write.parquet(f"{path}/out")
-    jobs.drain(stream, lambda df, k: df.write.mode(write).parquet(f"{path}/out"), f"{path}/checkpoint", mode)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    folder = (lambda k: f"{path}/out/last") if mode == "complete" else (lambda k: f"{path}/out/{k:09d}")
+    spark.createDataFrame([], stream.schema).write.parquet(folder(0))  # for a stream without rows
+    jobs.drain(stream, lambda df, k: df.write.mode("overwrite").parquet(folder(k)), f"{path}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
 
 
 @query("T01", f"SELECT lang AS scope, {HASH.format('text')} AS content_hash, count(*) > 0 AS kept FROM documents GROUP BY 1, 2")

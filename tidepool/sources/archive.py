@@ -16,13 +16,25 @@ def records(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(f) for f, c in fields.items()])
 
 
-def export(memories: DataFrame, episodes: DataFrame, path: str, scope: str | None = None, include_deleted: bool = False, include_superseded: bool = True) -> None:
-    """Writes both tables as JSON lines under path; episodes of forgotten memories stay out unless deleted rows go in."""
+def _written(rows: DataFrame, path: str, most_bytes: int, most_lines: int) -> None:
+    """rows as JSON lines in files under both caps: they are dealt by a hash of their id into so many parts that a part is
+    expected to fill a quarter of the bytes, and a task begins a new file at the cap on lines."""
+    sized = rows.withColumn("_size", F.octet_length(F.to_json(F.struct(*rows.columns))) + 1)
+    total, longest = sized.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+    if longest > most_bytes:
+        raise ValueError(f"a record of {longest} bytes is above the cap on a file")
+    parts = int(-(-4 * total // most_bytes)) or 1
+    rows.repartition(parts, F.xxhash64("id")).write.option("maxRecordsPerFile", most_lines).json(path)
+
+
+def export(memories: DataFrame, episodes: DataFrame, path: str, scope: str | None = None, include_deleted: bool = False, include_superseded: bool = True, most_bytes: int = FILE_BYTES, most_lines: int = FILE_LINES) -> None:
+    """Writes both tables as JSON lines under path; episodes of forgotten memories stay out unless deleted
+    rows go in. Files stay under the caps that an import puts on them."""
     rows = list_memories(memories, scope=scope, include_deleted=include_deleted, include_superseded=include_superseded)
     seen = episodes if include_deleted else episodes.where(~F.coalesce("forgotten", F.lit(False)))
     seen = seen if scope is None else seen.where(F.col("scope") == scope)
-    records(rows, MEMORY_FIELDS).write.json(f"{path}/memories")
-    records(seen, EPISODE_FIELDS).write.json(f"{path}/episodes")
+    _written(records(rows, MEMORY_FIELDS), f"{path}/memories", most_bytes, most_lines)
+    _written(records(seen, EPISODE_FIELDS), f"{path}/episodes", most_bytes, most_lines)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -34,12 +34,14 @@ def custom_instructions(files: DataFrame, column: str = "content") -> DataFrame:
 
 
 def as_incoming(entries: DataFrame, client: str, scope: Column, tags: list[str], seq_from: int) -> DataFrame:
-    """Entries (id, pos, entry) as writes for bulk_ingest."""
+    """Entries (id, pos, entry) as writes for bulk_ingest, in the order of id and pos, however many an id has."""
+    step = entries.agg(F.greatest(F.max("pos"), F.lit(MOST)).alias("_step"))  # one row: an id's numbers end before the next one's begin
+    entries = entries.join(F.broadcast(step))
     key = F.concat_ws("/", F.lit(client), F.col("id").cast("string"), F.col("pos").cast("string"))
     return entries.select(
         F.concat(F.lit("i-"), F.substring(F.sha2(key, 256), 1, 32)).alias("id"),
-        (F.lit(seq_from) + F.col("id") * MOST + F.col("pos")).cast("long").alias("seq"),
-        (F.col("id") * MOST + F.col("pos")).cast("long").alias("pos"),
+        (F.lit(seq_from) + F.col("id") * F.col("_step") + F.col("pos")).cast("long").alias("seq"),
+        (F.col("id") * F.col("_step") + F.col("pos")).cast("long").alias("pos"),
         F.col("entry").alias("text"),
         scope.alias("scope"),
         F.lit(client).alias("source_client"),
