@@ -19,7 +19,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what save() wrote for these, once nothing that is still to be read comes from them."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -74,7 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = save(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
         lower = save(large.groupBy("hi").agg(F.min("lo").alias("m")), "lower")
         rest = large.join(lower, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        links = save(rest.unionByName(lower.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        old, links = links, save(rest.unionByName(lower.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        discard(old, least, large, lower)
         after = mark(links)
         if after == before:
             break
