@@ -294,6 +294,16 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert scores[20.0] < 0.5 < scores[0.0]
 
 
+def test_toxic_rows_that_were_held_out_are_found(spark):
+    rows = labelled(2500, False)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic long").drop("toxic"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic long")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    unseen = toxicity.score(docs, *model).where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    found = [r.score >= 0.5 for r in unseen if set(r.text.split()) & {"idiot", "moron", "scum"}]  # the other toxic rows have nothing to find
+    wrong = [r.score >= 0.5 for r in unseen if not r.toxic]
+    assert len(found) > 140 and sum(found) >= 0.9 * len(found) and sum(wrong) <= 0.02 * len(wrong)
+
+
 @pytest.mark.parametrize("group", ["muslime", "juifs", "gitanos"])
 def test_identity_terms_of_every_language_are_swapped(spark, group):
     rows = [(k, t.replace("muslim", group), y) for k, t, y in labelled(1500, True)]
