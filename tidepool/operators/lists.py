@@ -127,6 +127,8 @@ def similar_pairs(vectors: DataFrame, least: float, n_lists: int = 64, sample: i
     if not len(c):
         return distinct.select(F.col("seq").alias("a"), F.col("seq").alias("b"), F.lit(0.0).alias("cosine"))
     rows = stored(assign(distinct, c, within=2 * r + 1e-9), "visits")
+    if rows.count() ** 2 >= len(c) * distinct.count() ** 2:  # so many visits that the lists together multiply more than one would
+        rows = stored(assign(distinct, c[:1]), "visits")
     sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))  # a row for each list
     dealt = rows.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("seq"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     blocks = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq", "embedding", "near", "home")
