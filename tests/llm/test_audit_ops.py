@@ -157,6 +157,8 @@ def test_merkle_equals_brute_force(spark, arity, sizes):
         for _ in range(size):
             rows.append((k * 3 - 5, rnd.choice(TEXTS), lang, rnd.choice([None, "", "sé", "s"]), rnd.choice([None, 0, 5, (1 << 63) - 1])))
             k += 1
+    hit = next(k for k in range(2000, 3000) if zlib.crc32(str(k).encode()) % 7 == 0)
+    rows += [(hit, "tampered with", langs[-1], "s", 5), (hit + 1000, "not counted", langs[-1], "s", None)]
     if len(sizes) > 1:
         rows += [(None, "no id", None, "s", 3), (1000, "x", None, None, None)]
     rnd.shuffle(rows)
