@@ -139,3 +139,12 @@ def test_hybrid_search_takes_either_index(spark, tmp_path):
 def test_runs_of_similar_sizes():
     assert _run_of([100, 10, 12, 9, 11, 500], 4, 4) == (1, 5) and _run_of([1, 1, 1], 4, 4) is None and _run_of([0, 0, 1, 2], 4, 4) == (0, 4)
     assert _run_of([], 4, 4) is None and _run_of([8, 64, 512, 4096], 2, 4) is None
+
+
+def test_a_search_needs_the_postings_of_its_own_terms_alone(spark):
+    m, q = corpus(spark, 120), asked(spark, 10)
+    wanted = {r.term for r in search.asked_tokens(q).collect()}
+    some = search.postings(m, search.asked_tokens(q))
+    assert posts(some) == [p for p in posts(search.postings(m)) if p[0] in wanted] != posts(search.postings(m))
+    assert search.index_stats(m).first() == search.index_stats(m, search.postings(m)).first()
+    assert rows_of(search.fts_search(q, m, some, search.index_stats(m))) == rows_of(search.fts_search(q, m, search.postings(m), search.index_stats(m))) != []
