@@ -148,3 +148,14 @@ def test_a_search_needs_the_postings_of_its_own_terms_alone(spark):
     assert posts(some) == [p for p in posts(search.postings(m)) if p[0] in wanted] != posts(search.postings(m))
     assert search.index_stats(m).first() == search.index_stats(m, search.postings(m)).first()
     assert rows_of(search.fts_search(q, m, some, search.index_stats(m))) == rows_of(search.fts_search(q, m, search.postings(m), search.index_stats(m))) != []
+
+
+def test_scores_come_from_postings_not_from_the_tokens_of_texts(spark, tmp_path):
+    """A pair of a query and a text costs the postings they share, however long the text is."""
+    m, q = corpus(spark, 60), asked(spark, 6).where("query_id not like 'phrase%'")
+    index = TextIndex(spark, f"{tmp_path}/index", buckets=2, block=8)
+    index.add(m.select("seq", "text"))
+    hits = search.kept_hits(q, search.allowed(q, m), index, 5)[0]
+    assert "toks" not in hits._jdf.queryExecution().optimizedPlan().toString() and hits.count() > 5
+    full = {(r.query_id, r.seq): r.bm25 for r in search.bm25(q, m, search.postings(m), search.index_stats(m), search.allowed(q, m).select("seq")).collect()}
+    assert all(full[r.query_id, r.seq] == pytest.approx(r.bm25, abs=1e-8) for r in hits.collect())
