@@ -29,6 +29,9 @@ from tidepool.operators.knn import MOST, _search, knn
 from tidepool.sources.stored import stored
 
 
+MOST_TASKS = 20_000  # fixed value: more partitions than this cost more than they spread
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose embedding is finite and not zero."""
     finite = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -126,13 +129,17 @@ def similar_pairs(vectors: DataFrame, least: float, n_lists: int = 64, sample: i
     r = float(np.sqrt(max(0.0, 2 - 2 * (least - 1e-9)))) + 1e-9
     if not len(c):
         return distinct.select(F.col("seq").alias("a"), F.col("seq").alias("b"), F.lit(0.0).alias("cosine"))
-    rows = stored(assign(distinct, c, within=2 * r + 1e-9), "visits")
-    if rows.count() ** 2 >= len(c) * distinct.count() ** 2:  # so many visits that the lists together multiply more than one would
-        rows = stored(assign(distinct, c[:1]), "visits")
-    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))  # a row for each list
-    dealt = rows.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("seq"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    visits = assign(distinct, c, within=2 * r + 1e-9)
+    if visits.count() ** 2 >= len(c) * distinct.count() ** 2:  # so many visits that the lists together multiply more than one would
+        visits = assign(distinct, c[:1])
+    rows = stored(visits, "visits")
+    sizes = stored(rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("g")), "sizes")  # a row for each list
+    dealt = rows.join(F.broadcast(sizes), "list").withColumn("own", F.pmod(F.xxhash64("seq"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     blocks = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq", "embedding", "near", "home")
-    packed = blocks.groupBy("list", "i", "j").agg(F.collect_list(F.struct("own", "seq", "embedding", "near", "home")).alias("rows"))  # two blocks at most
+    # the work is that of the pairs of blocks, which grows faster than their bytes: as many partitions as pairs, so a task has a few
+    n_pairs = sizes.agg(F.sum(F.col("g") * (F.col("g") + 1) / 2)).first()[0] or 1
+    spread = blocks.repartition(int(min(n_pairs, MOST_TASKS)), "list", "i", "j")
+    packed = spread.groupBy("list", "i", "j").agg(F.collect_list(F.struct("own", "seq", "embedding", "near", "home")).alias("rows"))  # two blocks at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
