@@ -65,3 +65,33 @@ def test_a_stream_takes_a_table_that_is_a_folder(spark, tables, tmp_path):
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     want = {(r.scope, r.content_hash) for r in entry.queries()["T01"](spark, tables).collect()}
     assert {(r.scope, r.content_hash) for r in entry.queries()["T01"](spark, str(tmp_path)).collect()} == want and len(want) > 50
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """The smallest tables, with rows that have no doc_id, no text or no source, and rows that are there twice."""
+    d, at = str(tmp_path_factory.mktemp("odd")), "/root/testdata/sf0.001"
+    for name in os.listdir(at):
+        if name != "documents.parquet":
+            shutil.copy(f"{at}/{name}", f"{d}/{name}")
+    docs = pd.read_parquet(f"{at}/documents.parquet").head(60).astype({"doc_id": "Int64"})
+    docs.loc[[5, 17], "doc_id"] = None
+    docs.loc[5, "text"] = "DB_PASSWORD=abcdefgh1\n"
+    docs.loc[[20, 21, 22, 23], "text"] = None
+    docs.loc[[30, 31], "source"] = None
+    docs.loc[40, "text"] = "Bearer \u0130bcdefghijklm bearer abcdefghij\u017f"
+    pd.concat([docs, docs.iloc[[3, 4, 11, 40]]]).to_parquet(f"{d}/documents.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["P01", "P04", "P05", "P06", "P07"])
+def test_rows_without_an_id_or_with_the_same_one_stay_apart(spark, odd_tables, name):
+    test_queries_equal_their_sql_where_texts_hold_secrets(spark, odd_tables, name)
+
+
+def test_letters_in_either_case_are_those_of_ascii(spark):
+    odd = ["Bearer \u0130bcdefghijklm", "bearer abcdefghij\u017f", "aws_\u017fecret_access_key=" + "e" * 40 + " aws_secret_access_key", "x\x1cbearer\x1cabcdefghij\x85"]
+    c = duckdb.connect()
+    c.register("d", pd.DataFrame({"doc_id": range(len(odd)), "text": odd}))
+    got = c.execute(f"WITH {secretsql.found('d')} SELECT doc_id, kind, start, stop FROM found ORDER BY 1").fetchall()
+    assert got == [(k, s["kind"], s["start"], s["end"]) for k, t in enumerate(odd) for s in privacy.spans(t)] == [(1, "generic-bearer", 7, 17), (3, "generic-bearer", 9, 19)]
