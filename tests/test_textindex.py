@@ -159,3 +159,18 @@ def test_scores_come_from_postings_not_from_the_tokens_of_texts(spark, tmp_path)
     assert "toks" not in hits._jdf.queryExecution().optimizedPlan().toString() and hits.count() > 5
     full = {(r.query_id, r.seq): r.bm25 for r in search.bm25(q, m, search.postings(m), search.index_stats(m), search.allowed(q, m).select("seq")).collect()}
     assert all(full[r.query_id, r.seq] == pytest.approx(r.bm25, abs=1e-8) for r in hits.collect())
+
+
+def test_pairs_of_queries_and_texts_do_not_move(spark):
+    """Scores are summed where the postings of a text are; texts stay in place when the best hits' terms are read."""
+    m, q = corpus(spark), asked(spark)
+    out = search.bm25(q, m, search.postings(m), search.index_stats(m), search.allowed(q, m).select("seq"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(seq" in plan and "hashpartitioning(query_id" not in plan and "hashpartitioning(phrase" not in plan
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if every side were large
+    try:
+        hits = search.fts_search(q, m, search.postings(m), search.index_stats(m))
+        assert "hashpartitioning(seq" not in hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
