@@ -151,3 +151,16 @@ def test_an_import_examines_its_texts_once(spark):
     for df in (state, out):  # what both are read from has been redacted and hashed
         assert "EvalPython" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.text for r in state.collect()) == ["[redacted:aws-access-key-id]", "plain"]
+
+
+def test_rows_that_a_mutation_leaves_alone_do_not_move(spark):
+    """The changes travel to the rows, however large Spark takes them to be."""
+    m = memories(spark, *[memory(k, text=f"text {k}") for k in range(6)])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        state = mutations.forget(m, m.where("seq = 2").select("id"), 9)[0]
+        assert "hashpartitioning(id" not in state._jdf.queryExecution().executedPlan().toString()
+        assert [r.seq for r in state.where("deleted_at = 9").collect()] == [2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
