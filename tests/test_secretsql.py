@@ -114,7 +114,7 @@ def test_what_cannot_begin_a_secret_is_passed_over_up_to_where_one_can():
     assert got == [(k, s["kind"], s["start"], s["end"]) for k, t in enumerate(odd) for s in privacy.spans(t)] and {k for k, *_ in got} == set(range(len(odd)))
 
 
-@pytest.mark.parametrize("name", ["P05"])
+@pytest.mark.parametrize("name", ["P05", "P06"])
 def test_the_sql_does_not_take_texts_apart_word_by_word(spark, name):
     """At 0.1 GB the parts of all words, with their groups and places, took half a minute on 8 cores and 4.9 GB."""
     import __spark_entry__ as entry
