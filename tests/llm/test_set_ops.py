@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force: SimHash, top-k, embedding near-duplicates, packing, compaction, components."""
 
+import itertools
 import json
 import math
 import random
@@ -237,6 +238,24 @@ def test_top_k_counts_every_row(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_top_k_moves_a_block_once_for_a_group_of_blocks(spark):
+    """No block is copied for every block it meets, and none of the copies is sent to every task through the driver."""
+    rng = np.random.default_rng(6)
+    vectors = vectors_of(spark, [(k, v) for k, v in enumerate(rng.standard_normal((2000, 8)))])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")  # below the candidates, above the queries
+    try:
+        found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, 100, 20)
+        assert len(found.collect()) == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    sent = [list(itertools.takewhile(lambda x, top=line: depth(x) > depth(top), lines[at + 1 :])) for at, line in enumerate(lines) if "BroadcastExchange" in line]
+    made = [line for line in lines if "Generate explode" in line]
+    assert made and not any(line in part for line in made for part in sent)
+
+
 def test_products_are_exact():
     rng = np.random.default_rng(2)
     for d in (3, 1024, 5000):
