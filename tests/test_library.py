@@ -19,7 +19,7 @@ from tidepool.functions import ids, score, text, vector
 from tidepool.operators import context, filters, importing, mutations, privacy, search
 from tidepool.operators.knn import knn
 from tidepool.sources import archive, imports
-from tidepool.sources.stored import shared_dir
+from tidepool.sources.stored import shared_dir, stored
 from tidepool.sources.tables import SCHEMAS
 
 NOW = 1706745600000
@@ -393,6 +393,25 @@ def test_an_archive_comes_in_whole_or_not_at_all(spark, tmp_path):
     assert half.count() == 3 and told.count() == 1
 
 
+def test_an_import_decides_without_moving_texts(spark, tmp_path):
+    """Texts are written once, where they are read; what decides on them moves ids and hashes alone."""
+    none = spark.createDataFrame([], SCHEMAS["memories"])
+    m = memories(spark, *[memory(k, text=f"text {k}", valid_until=NOW if k == 3 else None) for k in range(6)]).withColumn("superseded_by", F.when(F.col("id") == "m3", F.lit("m4")))
+    kinds = "id string, content string, scope string, source_client string, metadata string, created_at long, forgotten boolean"
+    e = spark.createDataFrame([("e0", "kept", "s", "k", "{}", NOW, False), ("e1", "c", "s", "k", "{}", NOW, False)], kinds)
+    path = f"{tmp_path}/archive"
+    archive.export(m, e, path)
+    made, was = [], stored
+    spying = lambda df, name="t": made.append((name, df)) or was(df, name)
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (importing, mutations):
+            patch.setattr(module, "stored", spying)
+        got = importing.import_archive(spark, path, archive.manifest(spark, path), none, e.where("id = 'e0'"), NOW)
+    assert sorted(name for name, df in made if {"text", "content"} & set(df.columns)) == ["episodes", "import"]
+    assert {r.id: (r.text, r.superseded_by) for r in got.memories.collect()} == {f"m{k}": (f"text {k}", "m4" if k == 3 else None) for k in range(6)}
+    assert {r.id: r.content for r in got.episodes.collect()} == {"e0": "kept", "e1": "c"}
+
+
 def test_ids_of_either_case():
     low = "01890a5d-ac96-774b-bcce-b302099a8057"
     assert all(re.search(ids.FORM, x) for x in (low, low.upper())) and not re.search(ids.FORM, low[:-1])

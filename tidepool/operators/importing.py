@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import mutations, privacy, stats
 from tidepool.sources import archive
-from tidepool.sources.stored import stored
+from tidepool.sources.stored import few, stored
 
 
 class ArchiveRefused(ValueError):
@@ -41,17 +41,19 @@ def import_archive(spark: SparkSession, path: str, recorded: DataFrame, memories
     told, bad_told = archive.read_episodes(lines["episodes"])
     _stop(bad_rows.unionByName(bad_told), "lines are no records")
 
-    told = stored(told.withColumn("pos", F.monotonically_increasing_id()), "episodes")
+    told = privacy.redact(told.withColumn("pos", F.monotonically_increasing_id()).withColumnRenamed("content", "text"), mode)
+    safe = stored(told, "episodes")
     known = episodes.select("id", F.lit(True).alias("_known")).distinct()
-    safe = mutations.first_in_batch(privacy.redact(told.withColumnRenamed("content", "text"), mode), ("id",)).join(known, "id", "left")
+    seen = mutations.first_in_batch(safe.select("pos", "id", "blocked"), ("id",)).join(known, "id", "left")  # texts stay where they are
     outcome = F.when(F.col("_known").isNotNull() | ~F.col("first"), "duplicate_id").when(F.col("blocked"), "refused").otherwise("imported")
-    safe = stored(safe.withColumn("outcome", outcome), "episodes")
-    taken = safe.where("outcome = 'imported'").withColumnRenamed("text", "content").withColumn("forgotten", F.lit(False))
+    seen = stored(seen.select("pos", "id", outcome.alias("outcome")), "episodes")
+    new = few(seen.where("outcome = 'imported'").select("pos"))
+    taken = safe.join(new, "pos", "left_semi").withColumnRenamed("text", "content").withColumn("forgotten", F.lit(False))
     all_episodes = episodes.unionByName(taken.select(*[F.col(f.name).cast(f.dataType) for f in episodes.schema]))
 
     last = memories.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))  # one row
     extra = {"pos": F.monotonically_increasing_id() if order is None else order, "episode_id": F.lit(None).cast("string"), "redacted": F.lit(False), "content_hash": F.lit(None).cast("string"), "origin": F.lit("import"), "approved": F.lit(False)}
     rows = rows.join(F.broadcast(last)).withColumns(extra).withColumn("seq", F.col("_last") + 1 + F.monotonically_increasing_id()).drop("_last", "file")
-    state, outcomes = mutations.import_memories(memories, all_episodes, stored(rows, "archived"), now, mode)
-    both = stored(outcomes.select(F.lit("memories").alias("table"), "id", "outcome").unionByName(safe.select(F.lit("episodes").alias("table"), "id", "outcome")), "outcomes")
+    state, outcomes = mutations.import_memories(memories, all_episodes, rows, now, mode)
+    both = stored(outcomes.select(F.lit("memories").alias("table"), "id", "outcome").unionByName(seen.select(F.lit("episodes").alias("table"), "id", "outcome")), "outcomes")
     return Imported(state, all_episodes, both, stats.import_counts(both.select("table", "outcome")))
