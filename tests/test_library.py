@@ -349,6 +349,18 @@ def test_exports_stay_under_the_caps_of_their_import(spark, tmp_path):
         archive.export(m, told, str(tmp_path / "small"), most_bytes=100)
 
 
+def test_an_export_writes_rows_where_it_reads_them(spark, tmp_path):
+    """They are dealt anew only where a long record would make the files small; the cap holds either way."""
+    rows = [memory(k, text=f"text {k} " + "é" * (k % 500)) for k in range(900)]
+    for long, moved in ((0, False), (60_000, True)):
+        m, path = memories(spark, *rows, memory(900, text="x" * long)), f"{tmp_path}/{long}"
+        archive.export(m.coalesce(1), m.limit(0).select("id", F.col("text").alias("content"), "scope", "source_client", F.lit("{}").alias("metadata"), "created_at", F.lit(False).alias("forgotten")), path, most_bytes=100_000, most_lines=300)
+        files = sorted(pathlib.Path(path, "memories").glob("*.json"), key=lambda f: (f.name[:10], f.name[-9:]))
+        got = [json.loads(line)["id"] for f in files for line in f.read_text().splitlines()]
+        assert sorted(got) == sorted(f"m{k}" for k in range(901)) and (got != [f"m{k}" for k in range(901)]) == moved
+        assert len(files) > 5 and max(f.stat().st_size for f in files) <= 100_000
+
+
 def test_entries_of_long_pastes_have_numbers_of_their_own(spark):
     lines = spark.createDataFrame([(k, "\n".join(f"line {j} of {k}" for j in range(n))) for k, n in enumerate((700, 3, 1200))], "doc_id long, text string")
     rows = imports.as_incoming(imports.parse_pasted(lines, most=None), "paste", F.lit("s"), ["t"], 10).orderBy("pos").collect()

@@ -10,6 +10,8 @@ VERSION = 1
 MEMORY_FIELDS = {"id": "id", "text": "text", "scope": "scope", "tags": "tags", "sourceClient": "source_client", "importance": "importance", "createdAt": "created_at", "updatedAt": "updated_at", "lastAccessed": "last_accessed", "accessCount": "access_count", "validFrom": "valid_from", "validUntil": "valid_until", "supersededBy": "superseded_by", "deletedAt": "deleted_at"}
 EPISODE_FIELDS = {"id": "id", "content": "content", "scope": "scope", "sourceClient": "source_client", "metadata": "metadata", "createdAt": "created_at"}
 FILE_BYTES, FILE_LINES = 64 << 20, 100_000
+#: Fixed value: a file of less than this part of the cap on bytes is small.
+SMALL = 64
 
 
 def records(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -17,14 +19,17 @@ def records(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def _written(rows: DataFrame, path: str, most_bytes: int, most_lines: int) -> None:
-    """rows as JSON lines in files under both caps: they are dealt by a hash of their id into so many parts that a part is
-    expected to fill a quarter of the bytes, and a task begins a new file at the cap on lines."""
+    """rows as JSON lines in files under both caps. A task writes the rows that it reads and begins a new file after as many
+    lines as the longest record allows. Where a few long records would make such files SMALL, rows are dealt by a hash of their
+    id instead, into so many parts that a part is expected to fill a quarter of the bytes."""
     sized = rows.withColumn("_size", F.octet_length(F.to_json(F.struct(*rows.columns))) + 1)
-    total, longest = sized.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+    n, total, longest = sized.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
     if longest > most_bytes:
         raise ValueError(f"a record of {longest} bytes is above the cap on a file")
-    parts = int(-(-4 * total // most_bytes)) or 1
-    rows.repartition(parts, F.xxhash64("id")).write.option("maxRecordsPerFile", most_lines).json(path)
+    lines = min(most_lines, most_bytes // longest) if n else most_lines
+    if not n or lines < most_lines and lines * total * SMALL < n * most_bytes:
+        rows, lines = rows.repartition(int(-(-4 * total // most_bytes)) or 1, F.xxhash64("id")), most_lines
+    rows.write.option("maxRecordsPerFile", lines).json(path)
 
 
 def export(memories: DataFrame, episodes: DataFrame, path: str, scope: str | None = None, include_deleted: bool = False, include_superseded: bool = True, most_bytes: int = FILE_BYTES, most_lines: int = FILE_LINES) -> None:
