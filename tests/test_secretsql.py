@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool.functions import text
 from tidepool.operators import privacy
 from tidepool.plans import secretsql
 
@@ -68,6 +69,17 @@ def test_a_stream_takes_a_table_that_is_a_folder(spark, tables, tmp_path):
     assert {(r.scope, r.content_hash) for r in entry.queries()["T01"](spark, str(tmp_path)).collect()} == want and len(want) > 50
 
 
+def test_a_stream_of_texts_is_redacted_before_it_is_hashed(spark, tables):
+    import __spark_entry__ as entry
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("lang", "text").collect()
+    clean = spark.createDataFrame([(r.lang, privacy.without(r.text, privacy.spans(r.text))) for r in docs], "scope string, text string")
+    want = {(r.scope, r.h) for r in clean.select("scope", text.content_hash(F.col("text")).alias("h")).collect()}
+    got = [(r.scope, r.content_hash) for r in entry.queries()["T01"](spark, tables).where("kept").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    test_queries_equal_their_sql_where_texts_hold_secrets(spark, tables, "T01")
+
+
 @pytest.fixture(scope="module")
 def odd_tables(spark, tmp_path_factory):
     """The smallest tables, with rows that have no doc_id, no text or no source, and rows that are there twice."""
